@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours, packing, quality, toxicity
+from . import extraction, licenses, links, neighbours, ngram_join, packing, quality, toxicity
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
@@ -37,10 +45,25 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, neighbours.stated_queries(rows))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_url_filters": op3_url_filters,
+    "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op6_neighbours": op6_neighbours,
+    "op7_license_scans": op7_license_scans,
+    "op10_ngram_join": op10_ngram_join,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": links.oracle_sql(),
+    "op7_license_scans": licenses.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -15,6 +15,7 @@ Columns other than doc_id and text are not looked at.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ CAPACITY = 2048
 PART = 128
 GROUP = 512
 END_ID = 1
+_PARTS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
 CACHE = 400_000
 
 
@@ -68,11 +70,14 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
         k += 1
 
 
-class WordIds(dict):
-    """Ids of a text between white space, as little-endian bytes; emptied when full.
+class WordIds:
+    """Ids of texts as little-endian bytes, with those of words and of their parts kept until a cache is full.
 
     Both the normaliser and the splitter of this tokenizer work within white space, so
-    the ids of a text are those of its words in turn.
+    the ids of a text are those of its words in turn. A word of Latin letters followed by
+    marks is split there by the tokenizer too, and its case is dropped; so new words are
+    looked up by their parts, and the letters still unknown are encoded in one call a text:
+    each ends with a token that ends a word.
     """
 
     def __init__(self, path: str):
@@ -80,17 +85,47 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+
+    def ask(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words, which are kept if they are short."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        split = [(w, _PARTS(w)) for w in words]
+        letters = sorted({x for _, m in split if m and (x := m[1].lower()) not in self.parts})
+        if letters:
+            ids = self.ask(" ".join(letters))
+            for x, run in zip(letters, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1), strict=True):
+                self.parts[x] = run.tobytes()
+        out = {}
+        for w, m in split:
+            if m:
+                if m[2] and m[2] not in self.parts:
+                    self.parts[m[2]] = self.ask(m[2]).tobytes()
+                out[w] = self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+            else:
+                out[w] = self.ask(w).tobytes()
+        self.words.update((w, i) for w, i in out.items() if len(w) < 64)
+        return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
+            return self.ask(text).tobytes()
+        words = text.split()
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            new = self.learn({w for w, i in zip(words, ids) if i is None})
+            ids = [i if i is not None else new[w] for w, i in zip(words, ids)]
+        return b"".join(ids)
 
 
 def cuts(n: int) -> list[tuple[int, int]]:

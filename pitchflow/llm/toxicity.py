@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 LEAK = 0.002
 SPAN = 0.3
 THRESHOLD = 0.3
@@ -56,26 +57,28 @@ class BagModel:
     def fit(self, bags: list[tuple[str, int]], rounds: int = 200, ridge: float = 2e-4) -> BagModel:
         if len({y for _, y in bags}) < 2:
             return self
+        # two passes over the texts, so that no more than the kept words are held
         found, bad = Counter(), Counter()
-        split = []
         for text, y in bags:
-            bag = [s for s in (set(_WORD.findall(x)) for x in _SENTENCE.findall(text.lower())) if s]
-            split.append((bag, y))
-            found.update(words := set().union(*bag))
+            words = set(_WORD.findall(text.lower()))
+            found.update(words)
             if y:
                 bad.update(words)
         rate = sum(y for _, y in bags) / len(bags)
         vocabulary = {w: i for i, w in enumerate(sorted(w for w, t in bad.items() if telling(t, found[w], rate)))}
-        item, sent, owner, labels = [], [], [], []
+        del found, bad
+        item, sent, owner = array("i"), array("i"), array("i")
         n = 0
-        for d, (bag, y) in enumerate(split):
-            labels.append(y)
-            for s in bag:
-                at = [vocabulary[w] for w in s if w in vocabulary]
-                item += at
-                sent += [n] * len(at)
-                owner.append(d)
-                n += 1
+        for d, (text, _) in enumerate(bags):
+            for m in _SENTENCE.finditer(text.lower()):
+                words = set(_WORD.findall(m[0]))
+                if words:
+                    at = [vocabulary[w] for w in words if w in vocabulary]
+                    item.extend(at)
+                    sent.extend([n] * len(at))
+                    owner.append(d)
+                    n += 1
+        labels = [y for _, y in bags]
         item, sent, owner, y = np.array(item), np.array(sent), np.array(owner), np.array(labels, float)
         w, b = np.zeros(len(vocabulary)), -4.0
         gw2, gb2 = np.full(len(w), 1e-8), 1e-8

@@ -116,8 +116,8 @@ def oracle_sql(rules: list[tuple[str, str, str]] = RULES, steps: int = STEPS) ->
 ruled AS MATERIALIZED (SELECT page_id, host, path, CASE {case[0]} END AS rule, CASE {case[1]} END AS ruled FROM named),
 links AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{href}', 1), lambda x: {low("x")}))) AS dst FROM named),
 edges AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM links WHERE src <> '' AND src <> dst GROUP BY ALL),
-both AS (SELECT 'trust' AS kind, src AS host, dst AS "to", w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
-shares AS MATERIALIZED (SELECT kind, host, "to", CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY kind, host) AS DOUBLE) AS share FROM both),
+twoway AS (SELECT 'trust' AS kind, src AS host, dst AS "to", w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
+shares AS MATERIALIZED (SELECT kind, host, "to", CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY kind, host) AS DOUBLE) AS share FROM twoway),
 seeds AS (SELECT host, CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, count(*) AS pages FROM ruled WHERE rule IS NOT NULL GROUP BY ALL),
 at0 AS MATERIALIZED (SELECT kind, host, CAST(floor(1e15 * (CAST(pages AS DOUBLE) / CAST(sum(pages) OVER (PARTITION BY kind) AS DOUBLE))) AS BIGINT) AS mass FROM seeds)"""
     for s in range(1, steps + 1):

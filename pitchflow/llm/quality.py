@@ -200,18 +200,32 @@ def content_share(crf: LineCrf, text: bytes) -> tuple[int, int]:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long, content_lines long"
 
 
-def judge(docs: DataFrame, crf: LineCrf) -> DataFrame:
-    """A row of counts and verdict for each row of docs (doc_id, text); no shuffle."""
+def verdict(crf: LineCrf, text: bytes) -> tuple:
+    """The columns of SCHEMA after doc_id."""
+    n, *counts = base_counts(text)
+    failed = n < MIN_WORDS or 100 * counts[3] > 30 * n
+    good, lines = content_share(crf, text)
+    return n, *counts, failed, not failed and good >= CONTENT_SHARE * n, good, lines
+
+
+def judge(docs: DataFrame, crf: LineCrf, passing: bool = False) -> DataFrame:
+    """A row of counts and verdict for each row of docs (doc_id, text); no shuffle.
+
+    With `passing`, the rows of docs that are kept, all columns as they are.
+    """
+    if passing:
+
+        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[[t is not None and verdict(crf, t.encode())[6] for t in b["text"]]]
+
+        return docs.mapInPandas(keep, docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, t in zip(b["doc_id"], b["text"]):
-                text = bytes(t) if t is not None else b""
-                n, *counts = base_counts(text)
-                failed = n < MIN_WORDS or 100 * counts[3] > 30 * n
-                good, lines = content_share(crf, text)
-                out.append((i, n, *counts, failed, not failed and good >= CONTENT_SHARE * n, good, lines))
+                out.append((i, *verdict(crf, bytes(t) if t is not None else b"")))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, licenses, links, neighbours, ngram_join, packing, quality, toxicity
+from . import extraction, licenses, line_dedup, links, mixing, neighbours, ngram_join, packing, quality, toxicity
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_neighbours": op6_neighbours,
     "op7_license_scans": op7_license_scans,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -91,7 +91,7 @@ class Scheme:
         """(parts, spare) for partners whose sizes lie in this group or the one below."""
         most = self.low[group + 1] - 1
         differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        spare = -(-(differ + 1) * 6 // 100)
+        spare = 2 + (differ + 1) * 13 // 100
         return differ + 1 + spare, spare
 
     def least_overlap(self, size: int) -> int:
@@ -141,7 +141,7 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for lo in range(0, len(whole), 1000):
                 b = whole.iloc[lo : lo + 1000]
                 sets = [shingles(bytes(t) if t is not None else b"", n, words) for t in b["text"]]
-                node = [int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None for h in sets]
+                node = [digest(h) if len(h) else None for h in sets]
                 terms = []
                 for k, h in zip(node, sets):
                     # a set's terms are listed once a task
@@ -154,28 +154,36 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInPandas(run, _SETS)
 
 
+def digest(h: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """node, h (its n-grams' hashes); texts: node, text."""
+    """node, h (its n-grams' hashes); texts: node, text. A text with another set than its node's is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for whole in batches:
             for lo in range(0, len(whole), 1000):
                 b = whole.iloc[lo : lo + 1000]
-                yield pd.DataFrame({"node": b["node"], "h": [shingles(bytes(t), n, words).view(np.int64) for t in b["text"]]})
+                sets = [shingles(bytes(t) if t is not None else b"", n, words) for t in b["text"]]
+                own = [digest(h) == k for k, h in zip(b["node"], sets)]
+                yield pd.DataFrame({"node": b["node"], "h": [h.view(np.int64) for h in sets]})[own]
 
     return texts.select("node", F.col("text").cast("binary")).mapInPandas(run, "node long, h array<long>")
 
 
+def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link; sizes: node, n."""
+    a, b = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
+    return pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those that link, by the exact overlap of their sets."""
-    one = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias("h" + c))
-    size = sets.select("node", F.size("h").alias("n"))
-    sized = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    fit = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    both = fit.join(one("a"), "a").join(one("b"), "b")
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     common = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("common"))
-    return common.where(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b")
+    return common.where(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b").distinct()
 
 
 def _apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
@@ -189,34 +197,39 @@ def _apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    base = Stored(signed(docs, n, percent)).df
-    rows = base.select("doc_id", "n_shingles", "node")
-    # one row a set: a task lists a set once, so at most one row a task is left to drop
-    terms = base.where(F.size("terms") > 0).select("node", "terms").dropDuplicates(["node"]).select("node", F.explode("terms").alias("term"))
+    base = Stored(signed(docs, n, percent))
+    rows = Stored(base.df.select("doc_id", "n_shingles", "node")).df
+    # a task lists a set once; what other tasks repeat adds no node to a list
     by = Window.partitionBy("term")
     lists = Stored(
-        terms.select("term", "node", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi")).where("lo < hi")
+        base.df.select("node", F.explode("terms").alias("term"))
+        .select("term", "node", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi")).where("lo < hi")
     ).df
+    base.drop()
     needed = lists.select("node").distinct()
-    first = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(first, "doc_id")
-    sets = Stored(whole_sets(texts, n).dropDuplicates(["node"])).df
+    first = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(needed, "node", "left_semi")
+    first = Stored(first.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))).df
+    sizes = first.select("node", "n")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(first, "doc_id").select("node", "text")
+    sets = Stored(whole_sets(texts, n)).df
+
+    def linking(pairs: DataFrame) -> DataFrame:
+        return Stored(verified(Stored(fitting(pairs, sizes, percent)).df, sets, percent)).df
 
-    links = Stored(verified(lists.where("node <> lo").groupBy("node").agg(F.min("lo").alias("a")).select("a", F.col("node").alias("b")), sets, percent)).df
+    links = linking(lists.where("node <> lo").groupBy("node").agg(F.min("lo").alias("a")).select("a", F.col("node").alias("b")))
     at = components(links)
     ends = lists.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(
         lists.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
     )
-    tried = Stored(_apart(ends.distinct(), at)).df
-    links = links.unionByName(Stored(verified(tried, sets, percent)).df)
+    links = links.unionByName(linking(_apart(ends.distinct(), at)))
     at = components(links)
     # lists of three or more nodes that are still apart, in full
     known = lists.join(at, "node", "left").select("term", "node", "lo", "hi", F.coalesce("root", "node").alias("root"))
     open_terms = known.groupBy("term").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("term")
-    left = known.where("node <> lo and node <> hi").join(open_terms, "term", "left_semi").select("term", "node", "root")
+    left = known.where("node <> lo and node <> hi").join(open_terms, "term", "left_semi").select("term", "node", "root").distinct()
     a, b = left.toDF("term", "a", "ra"), left.toDF("term", "b", "rb")
     rest = a.join(b, "term").where("a < b and ra <> rb").select("a", "b").distinct()
-    links = links.unionByName(Stored(verified(rest, sets, percent)).df)
+    links = links.unionByName(linking(rest))
     at = components(links)
     # equal sets are one node; rows without a set stand alone
     named = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))

@@ -57,10 +57,15 @@ HITS = DETECTIONS + """,
 hits AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY track_id, frame ORDER BY det_id DESC) AS rn FROM detections) WHERE rn = 1)"""
 
 
+def _line():
+    """The place of a line in its order: line numbers repeat there."""
+    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of a project (order): name, probe text, file time, seconds, frame size and rate."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("project"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("part"),
+        F.col("l_orderkey").alias("project"), _line().alias("pos"), F.col("l_partkey").alias("part"),
         F.expr("CASE WHEN l_linenumber % 3 = 1 THEN concat('cam_DST', date_format(l_shipdate, 'yyyyMMdd'), '_', lpad(cast(l_partkey % 24 as string), 2, '0'), '0102_a.MP4') ELSE concat('clip', cast(l_linenumber as string), CASE WHEN l_linenumber % 2 = 0 THEN '.txt' ELSE '.mov' END) END").alias("name"),
         F.expr("concat('Stream #0:0: Video: ', CASE l_returnflag WHEN 'R' THEN 'hevc' ELSE 'h264' END, ' (High), yuv420p', CASE WHEN l_linestatus = 'O' THEN '; Stream #0:1(und): Audio: aac (LC)' ELSE '' END)").alias("probe"),
         F.expr("CASE WHEN l_linenumber % 3 = 2 THEN date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss') END").alias("tag_time"),
@@ -70,7 +75,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CLIPS = """clips AS (SELECT l_orderkey AS project, CAST(l_linenumber AS BIGINT) AS pos, l_partkey AS part,
+CLIPS = """clips AS (SELECT l_orderkey AS project, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_partkey AS part,
   CASE WHEN l_linenumber % 3 = 1 THEN concat('cam_DST', strftime(l_shipdate, '%Y%m%d'), '_', lpad(cast(l_partkey % 24 as varchar), 2, '0'), '0102_a.MP4') ELSE concat('clip', cast(l_linenumber as varchar), CASE WHEN l_linenumber % 2 = 0 THEN '.txt' ELSE '.mov' END) END AS name,
   concat('Stream #0:0: Video: ', CASE l_returnflag WHEN 'R' THEN 'hevc' ELSE 'h264' END, ' (High), yuv420p', CASE WHEN l_linestatus = 'O' THEN '; Stream #0:1(und): Audio: aac (LC)' ELSE '' END) AS probe,
   CASE WHEN l_linenumber % 3 = 2 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS tag_time, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS file_time, l_quantity AS seconds,
@@ -96,13 +101,13 @@ JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey AS owner, o_orderkey A
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stages (lines) of jobs: position, name, status and seconds taken."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey AS job_id", "CAST(l_linenumber AS BIGINT) AS stage_pos", "element_at(array('concat','track','classify','campath','render','interpolate','audio_mux'), l_linenumber) AS stage",
+    return table(spark, sf_dir, "lineitem").withColumn("stage_pos", _line()).selectExpr(
+        "l_orderkey AS job_id", "stage_pos", "element_at(array('concat','track','classify','campath','render','interpolate','audio_mux'), l_linenumber) AS stage",
         "CASE WHEN l_linestatus = 'F' THEN 'done' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_suppkey % 4 = 0 THEN 'running' ELSE 'pending' END AS status", "l_quantity AS seconds",
     )
 
 
-STAGES = """stages AS (SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS stage_pos, ['concat','track','classify','campath','render','interpolate','audio_mux'][l_linenumber] AS stage,
+STAGES = """stages AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS stage_pos, ['concat','track','classify','campath','render','interpolate','audio_mux'][l_linenumber] AS stage,
   CASE WHEN l_linestatus = 'F' THEN 'done' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_suppkey % 4 = 0 THEN 'running' ELSE 'pending' END AS status, l_quantity AS seconds FROM lineitem)"""
 
 

@@ -54,10 +54,10 @@ def look_ahead(spark, sf_dir):
     return rounded(C.look_ahead(C.fill(frames, kept, ["yaw", "hfov"]), RULES, ("yaw",)).select("match_id", "frame", "yaw_t", "hfov_t"))
 
 
-@query("look_ahead_mean", sql=f"WITH {_FILLED} SELECT match_id, frame, round(avg(yaw) OVER (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING), 6) AS yaw_t FROM filled")
+@query("look_ahead_mean", sql=f"WITH {_FILLED} SELECT match_id, frame, round(avg(yaw) OVER (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING), 9) AS yaw_t FROM filled")
 def look_ahead_mean(spark, sf_dir):
     frames, kept = _sparse(spark, sf_dir)
-    return rounded(C.look_ahead(C.fill(frames, kept, ["yaw", "hfov"]), CameraRules(aggregator="mean"), ("yaw",), ()).select("match_id", "frame", "yaw_t"), 6)
+    return rounded(C.look_ahead(C.fill(frames, kept, ["yaw", "hfov"]), CameraRules(aggregator="mean"), ("yaw",), ()).select("match_id", "frame", "yaw_t"))
 
 
 @query(

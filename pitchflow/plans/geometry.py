@@ -199,11 +199,9 @@ def tile_plan(spark, sf_dir):
 @query("box_to_ground")
 def box_to_ground(spark, sf_dir):
     tile = {"yaw": 0.0, "pitch": 14.0, "vfov": 60.0, "out_w": 1920, "out_h": 960}
-    p = positions(spark, sf_dir)
     x1, y1 = (F.col("x") + 52) * 18, (F.col("z") + 4) * 20
-    x2, y2 = x1 + 20 + F.col("tile") * 12, y1 + 70
-    x, z = boxes.to_ground(x1, y1, x2, y2, tile, LENS, GROUND)
-    return rounded(p.select(*_ROW, x.alias("gx"), z.alias("gz")).where("gx is not null"), 6)
+    box = positions(spark, sf_dir).select(*_ROW, x1.alias("x1"), y1.alias("y1"), (x1 + 20 + F.col("tile") * 12).alias("x2"), (y1 + 70).alias("y2"))
+    return rounded(boxes.to_ground(box, tile, LENS, GROUND).select(*_ROW, "gx", "gz"), 6)
 
 
 @query(

@@ -1,32 +1,8 @@
-"""All registered queries of the engine and their SQL.
-
-A plan module registers with `@query("name", sql=...)`; sql is absent where SQL cannot say
-the same (true recurrences that are tested against loops instead).
-"""
+"""All registered queries of the engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-from .plans import load_all  # noqa: E402
+from .plans import camera, chunks, clips, geometry, jobs, positions, tracking  # noqa: F401  they register
+from .registry import ORACLE_SQL, QUERIES
 
-load_all()
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -142,7 +142,7 @@ class Ground:
         return float(np.clip(math.degrees(math.asin(np.clip(-v[1], -1, 1))) - 6.0, -2.0, 10.0))
 
 
-def synthetic_ground(height: float = 6.0, back: float = 8.0, pitch_deg: float = 12.0, field: Field = Field()) -> Ground:
+def synthetic_ground(height: float = 6.0, back: float = 8.0, pitch_deg: float = 0.0, field: Field = Field()) -> Ground:
     """The homography of a camera behind the near sideline that looks down by pitch_deg."""
     # a ground point (x, z) stands at (x, -height, z + back) from the camera, before the tilt
     plane = np.array([[1.0, 0, 0], [0, 0, -height], [0, 1.0, back]])

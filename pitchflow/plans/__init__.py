@@ -1,5 +1 @@
 """Plans: operators bound to the tables of the driver."""
-
-
-def load_all() -> None:
-    from . import camera, chunks, clips, geometry, jobs, positions, tracking  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..operators import camera as C
 from ..schema import CameraRules
 from .bindings import POSITIONS, positions, rounded

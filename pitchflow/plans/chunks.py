@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..operators import chunks as C
 from .bindings import DETECTIONS, HITS, POSITIONS, detections, hits, positions, rounded, table
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..operators import clips as C
 from .bindings import CLIPS, clips, rounded, table
 

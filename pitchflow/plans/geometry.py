@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..functions import boxes, fitting
 from ..functions import geometry as G
 from ..schema import Field, Lens
@@ -39,12 +39,13 @@ def _rays(spark, sf_dir):
     return p.select(*_ROW, "x", "z", *[c.alias(f"r{i}") for i, c in enumerate(r)])
 
 
-_V = (F.col("r0"), F.col("r1"), F.col("r2"))
+def _v():
+    return F.col("r0"), F.col("r1"), F.col("r2")
 
 
 @query("ground_rays", sql=f"WITH {_RAYS} SELECT match_id, track_id, frame, round(r0, 9) AS r0, round(r1, 9) AS r1, round(r2, 9) AS r2, round(degrees(atan2(r0, r2)), 6) AS az, round(degrees(asin(greatest(least(-r1, 1), -1))), 6) AS el FROM rays")
 def ground_rays(spark, sf_dir):
-    az, el = G.azimuth_elevation(_V)
+    az, el = G.azimuth_elevation(_v())
     return rounded(_rays(spark, sf_dir).select(*_ROW, "r0", "r1", "r2", F.round(az, 6).alias("az"), F.round(el, 6).alias("el")))
 
 
@@ -53,7 +54,7 @@ _BACK = _mul(_I, ("r0", "r1", "r2"))
 
 @query("ray_to_ground", sql=f"WITH {_RAYS} SELECT match_id, track_id, frame, round({_BACK[0]} / {_BACK[2]}, 6) AS gx, round({_BACK[1]} / {_BACK[2]}, 6) AS gz FROM rays")
 def ray_to_ground(spark, sf_dir):
-    x, z = GROUND.point(_V)
+    x, z = GROUND.point(_v())
     return rounded(_rays(spark, sf_dir).select(*_ROW, x.alias("gx"), z.alias("gz")), 6)
 
 
@@ -67,14 +68,14 @@ pixels AS (SELECT *, {_CX} + nx * (1 + {LENS.k1}::DOUBLE * (nx * nx + ny * ny) +
 
 @query("source_pixels", sql=f"WITH {_PIXELS} SELECT match_id, track_id, frame, round(sx, 6) AS sx, round(sy, 6) AS sy FROM pixels")
 def source_pixels(spark, sf_dir):
-    x, y = G.pixel_of(_V, LENS)
+    x, y = G.pixel_of(_v(), LENS)
     return rounded(_rays(spark, sf_dir).select(*_ROW, x.alias("sx"), y.alias("sy")), 6)
 
 
 @query("pixel_round_trip", sql=f"WITH {_RAYS} SELECT match_id, track_id, frame, round(r0, 6) AS v0, round(r1, 6) AS v1, round(r2, 6) AS v2 FROM rays")
 def pixel_round_trip(spark, sf_dir):
     """Ray to distorted pixel and back: the ray again, to six decimals."""
-    x, y = G.pixel_of(_V, LENS)
+    x, y = G.pixel_of(_v(), LENS)
     p = _rays(spark, sf_dir).select(*_ROW, x.alias("sx"), y.alias("sy"))
     v = G.direction_of(F.col("sx"), F.col("sy"), LENS)
     return rounded(p.select(*_ROW, *[c.alias(f"v{i}") for i, c in enumerate(v)]), 6)
@@ -93,7 +94,7 @@ _P, _Q, _M, _WV = _m(_R1), _m(_R3), _m(_RHS), ["(-r0)", "(-r1)", "(-r2)"]
 
 @query("head_to_ground", sql=f"WITH {_RAYS}, dets AS (SELECT *, nullif({_det(_P, _Q, _WV)}, 0) AS d, {_det(_P, _Q, _M)} AS l, {_det(_M, _Q, _WV)} AS a, {_det(_P, _M, _WV)} AS b FROM rays) SELECT match_id, track_id, frame, round(CASE WHEN l / d > 0 THEN a / d END, 6) AS hx, round(CASE WHEN l / d > 0 THEN b / d END, 6) AS hz FROM dets")
 def head_to_ground(spark, sf_dir):
-    x, z = GROUND.below_head(_V)
+    x, z = GROUND.below_head(_v())
     return rounded(_rays(spark, sf_dir).select(*_ROW, x.alias("hx"), z.alias("hz")), 6)
 
 
@@ -104,7 +105,7 @@ _FL = 1080 / 2 / math.tan(math.radians(60.0) / 2)
 
 @query("view_pixels", sql=f"WITH {_RAYS}, cam AS (SELECT *, {_VC[0]} AS c0, {_VC[1]} AS c1, {_VC[2]} AS c2 FROM rays) SELECT match_id, track_id, frame, round(CASE WHEN c2 > 1e-6 THEN {_FL!r}::DOUBLE * c0 / c2 + 959.5 END, 6) AS u, round(CASE WHEN c2 > 1e-6 THEN -{_FL!r}::DOUBLE * c1 / c2 + 539.5 END, 6) AS v FROM cam")
 def view_pixels(spark, sf_dir):
-    u, v = G.view_pixel(_V, 15.0, 4.0, 60.0, 1920, 1080)
+    u, v = G.view_pixel(_v(), 15.0, 4.0, 60.0, 1920, 1080)
     return rounded(_rays(spark, sf_dir).select(*_ROW, u.alias("u"), v.alias("v")), 6)
 
 
@@ -149,7 +150,7 @@ def projection_round_trip(spark, sf_dir):
     for name, fov, blend in (("cylindrical", 100.0, 0.6), ("panini", 100.0, 0.8), ("rectilinear", 60.0, 1.0)):
         ray = G.turn(G.rotation(3.0, -20.0), G.view_ray(F.col("px") - 639.5, F.col("py") - 359.5, fov, 1280, 720, name, blend))
         w = o.select("side", "i", *[c.alias(f"r{k}") for k, c in enumerate(ray)])
-        u, v = G.view_pixel(_V, -20.0, 3.0, fov, 1280, 720, projection=name, blend=blend)
+        u, v = G.view_pixel(_v(), -20.0, 3.0, fov, 1280, 720, projection=name, blend=blend)
         one = w.select(F.lit(name).alias("projection"), "side", "i", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -229,7 +230,7 @@ def required_pad(spark, sf_dir):
     sql=f"WITH {_PIXELS}, b AS (SELECT match_id, frame, greatest(0, CAST(floor(min(sx)) AS BIGINT)) AS x0, least(4607, CAST(ceil(max(sx)) AS BIGINT)) AS x1, greatest(0, CAST(floor(min(sy)) AS BIGINT)) AS y0, least(1727, CAST(ceil(max(sy)) AS BIGINT)) AS y1 FROM pixels GROUP BY ALL) SELECT match_id, frame, x1 - x0 + 1 AS crop_w, y1 - y0 + 1 AS crop_h, CAST(x1 - x0 + 1 >= 8 AND y1 - y0 + 1 >= 8 AND greatest(1920.0::DOUBLE / (x1 - x0 + 1), 1080.0::DOUBLE / (y1 - y0 + 1)) >= 1.2 AS INT) AS upscale FROM b",
 )
 def crop_decision(spark, sf_dir, least: float = 1.2):
-    x, y = G.pixel_of(_V, LENS)
+    x, y = G.pixel_of(_v(), LENS)
     p = _rays(spark, sf_dir).select("match_id", "frame", F.round(x, 9).alias("sx"), F.round(y, 9).alias("sy"))
     lo = lambda c: F.greatest(F.lit(0).cast("long"), F.floor(F.min(c)))
     b = p.groupBy("match_id", "frame").agg((F.least(F.lit(4607).cast("long"), F.ceil(F.max("sx"))) - lo("sx") + 1).alias("crop_w"), (F.least(F.lit(1727).cast("long"), F.ceil(F.max("sy"))) - lo("sy") + 1).alias("crop_h"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..operators import activity as A
 from ..operators import features as P
 from ..operators import sampling as S

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..operators import densify as D
 from ..operators import fusion, tracker
 from ..schema import TrackRules

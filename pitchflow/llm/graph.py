@@ -11,7 +11,7 @@ MOST_ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for each node of edges (a, b: long); root is the smallest node reached.
+    """node, root for each node of edges (a, b: long) but the roots; root is the smallest node reached.
 
     Each round hangs a node's larger neighbours, then its smaller ones, under the smallest
     it knows. Rounds end when the edges stay as they are: then all are (node, root). Every

@@ -38,7 +38,7 @@ def _words(text: Column) -> Column:
 
 
 def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+    return F.when(word.isNotNull(), F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int"))
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], column: str) -> tuple[list[float], dict[str, list[float]]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,12 +56,11 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/pitchflow-{uuid.uuid4().hex}"
         _written.append((self.spark, self.path))
-        schema = df.schema
-        df.write.parquet(self.path)
-        del df
-        # shuffle files go when the driver's collector sees that their plan is gone
+        # shuffle files of plans that are gone are deleted once the driver's collector has run
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        self.df = self.spark.read.schema(schema).parquet(self.path)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         _remove(self.spark, self.path)

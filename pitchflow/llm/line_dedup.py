@@ -2,8 +2,8 @@
 
 Equal lines fall together by a 128-bit hash. For fuzzy ones, a line's set is its runs of
 `WIDTH` characters. Its signature is the minimum, under `BANDS * ROWS` hash functions, of
-those runs that begin a word (or stand at a character that needs no spaces); `BANDS` bands
-of `ROWS` minima are the keys under which lines meet. With a Jaccard of 0.8, eight bands of
+all of them, so lines meet by the set that is verified; `BANDS` bands of `ROWS` minima are
+the keys under which they do. With a Jaccard of 0.8, eight bands of
 three miss one pair in three hundred. Pairs that meet are verified over all runs of both
 lines. Components are found by stars (see graph.py); the line with the smallest (doc_id,
 place) of each component stays, all others go.
@@ -28,15 +28,16 @@ from .graph import components
 WIDTH = 8
 BANDS, ROWS = 8, 3
 PERCENT = 80
-# a run that starts a line or a word, or stands at a character of a script without spaces
-_STARTS = f"(?s)(?:^|(?<=[ \\t])|(?=[\\x{{2E80}}-\\x{{10FFFF}}]))(?=([^ \\t].{{0,{WIDTH - 1}}}))"
 _RUNS = f"(?s)(?=(.{{{WIDTH}}}))"
 
 
+def _every(line: Column) -> Column:
+    return F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_RUNS), 1))
+
+
 def runs(line: Column) -> Column:
     """All runs of WIDTH characters, as hashes; a shorter line is one run."""
-    every = F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_RUNS), 1))
-    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(_every(line), lambda x: F.xxhash64(x)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,12 +50,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """h and its bands' keys."""
-    shingle = lines.select("h", F.explode(F.regexp_extract_all("line", F.lit(_STARTS), 1)).alias("s")).select("h", F.xxhash64("s").alias("s"))
-    minima = shingle.groupBy("h").agg(*[F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+def signatures(lines: DataFrame) -> Stored:
+    """h and its bands' keys, an array.
+
+    A 64-bit hash serves as two functions of 32 bits. The keys of a line are written as one row before they are dealt out, so that the minima leave the disk first.
+    """
+    shingle = lines.select("h", F.explode(_every(F.col("line"))).alias("s")).select("h", F.xxhash64("s").alias("s"))
+    two = lambda x: (F.shiftright(x, 32), x.bitwiseAND(0xFFFFFFFF))
+    halves = [half for i in range((BANDS * ROWS + 1) // 2) for half in two(F.xxhash64("s", F.lit(i)))]
+    minima = shingle.groupBy("h").agg(*[F.min(halves[i]).alias(f"m{i}") for i in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return minima.select("h", F.explode(F.array(*keys)).alias("key"))
+    return Stored(minima.select("h", F.array(*keys).alias("keys")))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -80,7 +86,10 @@ def _apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
 def fuzzy_components(lines: DataFrame) -> DataFrame:
     """node, root over the hashes of lines that are similar to others."""
     by = Window.partitionBy("key")
-    met = Stored(signatures(lines).select("key", "h", F.min("h").over(by).alias("lo"), F.max("h").over(by).alias("hi")).where("lo < hi")).df
+    signed = signatures(lines)
+    keys = signed.df.select("h", F.explode("keys").alias("key"))
+    met = Stored(keys.select("key", "h", F.min("h").over(by).alias("lo"), F.max("h").over(by).alias("hi")).where("lo < hi")).df
+    signed.drop()
     needed = met.select("h").distinct()
     texts = Stored(lines.select("h", "line").join(needed, "h", "left_semi").dropDuplicates(["h"]).withColumn("n", F.size(runs(F.col("line"))))).df
     first = met.where("h <> lo").groupBy("h").agg(F.min("lo").alias("a")).select("a", F.col("h").alias("b"))

@@ -342,6 +342,27 @@ def test_line_dedup(spark):
     assert line_dedup.report(awkward(spark)).count() == 11 and line_dedup.report(empty(spark)).count() == 0
 
 
+def test_line_dedup_recall(spark):
+    """One character replaced in short, single-token and no-space lines, against the exact Jaccard."""
+    r = random.Random(12)
+    word = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(of) for _ in range(n))
+    thai = "".join(map(chr, range(0x0E01, 0x0E2F)))
+    makers = {
+        "two words": lambda: word(70) + " " + word(50), "three words": lambda: " ".join(word(40) for _ in range(3)),
+        "one token": lambda: word(160), "url": lambda: "https://" + word(9) + ".org/" + word(130), "thai": lambda: word(150, thai),
+    }
+    for kind, make in makers.items():
+        pairs = []
+        while len(pairs) < 120:
+            a = make()
+            at = r.randrange(len(a))
+            b = a[:at] + "#" + a[at + 1 :]
+            if 100 * len(line_runs(a) & line_runs(b)) >= 80 * len(line_runs(a) | line_runs(b)):
+                pairs.append(f"{a}\n{b}")
+        got = {x.doc_id for x in line_dedup.dropped(docs(spark, pairs)).collect()}
+        assert len(got) >= 118, (kind, len(got))
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(-50, 200), r.randint(-50, 200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1040)]

@@ -3,8 +3,8 @@
 Equal lines fall together by a 128-bit hash. For fuzzy ones, a line's set is its runs of
 `WIDTH` characters. Its signature is the minimum, under `BANDS * ROWS` hash functions, of
 all of them, so lines meet by the set that is verified; `BANDS` bands of `ROWS` minima are
-the keys under which they do. With a Jaccard of 0.8, eight bands of
-three miss one pair in three hundred. Pairs that meet are verified over all runs of both
+the keys under which they do. With a Jaccard of 0.8, ten bands of
+three miss one pair in a thousand. Pairs that meet are verified over all runs of both
 lines. Components are found by stars (see graph.py); the line with the smallest (doc_id,
 place) of each component stays, all others go.
 
@@ -26,7 +26,7 @@ from .common import Stored
 from .graph import components
 
 WIDTH = 8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
 PERCENT = 80
 _RUNS = f"(?s)(?=(.{{{WIDTH}}}))"
 

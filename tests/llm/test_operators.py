@@ -363,6 +363,11 @@ def test_line_dedup_recall(spark):
         assert len(got) >= 118, (kind, len(got))
 
 
+def test_line_dedup_bands():
+    """At the Jaccard asked for, fewer than one pair in a thousand never meets."""
+    assert (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS < 1e-3
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(-50, 200), r.randint(-50, 200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1040)]

@@ -3,12 +3,15 @@
 A naive Bayes classifier over `SLOTS` hashed words is counted from at most `TRAIN_ROWS`
 documents that the labelled table names and whose domain is known. It gives each document
 a posterior over the domains, tempered as if it had `TEMPER` words. Rates r >= 0 are then
-fitted by projected gradient least squares so that the expected tokens of each domain,
-sum(r * tokens * posterior), meet the targets times all tokens. A step moves a document's
-rate by the residuals weighted by its posterior (the gradient over its tokens) and clips
-at 0; each step is one aggregation of as many sums as there are domains.
-
-Sums are of whole milli-tokens, so results do not depend on their order. Columns and SQL
+fitted by projected least squares so that the expected tokens of each domain,
+sum(r * tokens * posterior), meet the targets times all tokens within `CLOSE`. A document's
+rate is 1 moved by its posterior times one weight a domain and clipped at 0. A step changes
+the weights by the residuals, preconditioned by the second moments of the documents not
+clipped, so that small domains move as fast as large ones; it is halved until the objective
+falls. Each is one aggregation. Targets that no rates meet end at the least squares and a
+warning with the residuals; a fit that ends at neither in `STEPS` aggregations raises.
+
+Sums are of decimals, so results do not depend on their order. Columns and SQL
 functions only. Domains are those of the targets; labelled documents of others are left
 out of training. Null and empty texts have no tokens, the prior as posterior and rate 1.
 Rows with one doc_id are one document: its words add up and its rows share the rate; rows
@@ -19,6 +22,7 @@ Other columns are passed over.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,7 @@ SLOTS = 1024
 TEMPER = 24
 STEPS = 40
 CLOSE = 2e-4
+RIDGE = 1e-7
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
 
@@ -71,35 +76,62 @@ def members(docs: DataFrame, model: tuple[list[float], dict[str, list[float]]],
     return e.select("doc_id", "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(domains))])
 
 
+def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Gaussian elimination with pivots."""
+    rows = [[*row, x] for row, x in zip(matrix, right)]
+    for k in range(len(rows)):
+        best = max(range(k, len(rows)), key=lambda i: abs(rows[i][k]))
+        rows[k], rows[best] = rows[best], rows[k]
+        rows[k] = [x / rows[k][k] for x in rows[k]]
+        rows = [row if i == k else [x - row[k] * y for x, y in zip(row, rows[k])] for i, row in enumerate(rows)]
+    return [row[-1] for row in rows]
+
+
 def fit(soft: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
     """soft with `rate`; soft: n_tokens and the posteriors p0, p1, ..."""
     n = len(targets)
     goal = [t / sum(targets) for t in targets]
-    milli = lambda x: F.sum(F.round(x * 1000).cast("long"))
-    base = Stored(soft.withColumn("rate", F.lit(1.0)))
-    first = base.df.agg(F.sum("n_tokens").alias("all"), *[milli(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(n) for j in range(n)]).first()
-    if not first["all"]:
-        return base.df
-    total = first["all"]
-    gram = [[(first[f"g{i}_{j}"] or 0) / 1000 / total for j in range(n)] for i in range(n)]
-    v, top = [1.0] * n, 1.0
-    for _ in range(100):  # the largest eigenvalue bounds the step
-        v = [sum(a * b for a, b in zip(row, v)) for row in gram]
-        top = max(map(abs, v)) or 1.0
-        v = [x / top for x in v]
-    at, kept = base.df, base
-    for step in range(1, steps + 1):
-        sums = at.agg(*[milli(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(n)]).first()
-        off = [(sums[f"t{i}"] or 0) / 1000 / total - goal[i] for i in range(n)]
+    exact = lambda x: F.sum(x.cast("decimal(28,6)"))
+    at = Stored(soft).df
+    total = at.agg(F.sum("n_tokens").alias("all")).first()["all"]
+    if not total:
+        return at.withColumn("rate", F.lit(1.0))
+    rate = lambda v: F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(x) * F.col(f"p{i}") for i, x in enumerate(v)), F.lit(0.0)))
+
+    def measure(v: list[float]) -> tuple[float, list[float], list[float], list[list[float]]]:
+        """Objective, residuals, its descent and its second derivatives at weights v."""
+        w = at.withColumn("rate", rate(v)).withColumn("live", F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0))
+        sums = w.agg(
+            exact(F.col("n_tokens") * F.col("rate") * F.col("rate")).alias("q"),
+            *[exact(F.col("n_tokens") * F.col("rate") * F.col(f"p{i}")).alias(f"t{i}") for i in range(n)],
+            *[exact(F.col("live") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1)],
+        ).first()
+        of = lambda name: float(sums[name] or 0) / total
+        off = [of(f"t{i}") - goal[i] for i in range(n)]
+        second = [[of(f"g{max(i, j)}_{min(i, j)}") + (RIDGE if i == j else 0) for j in range(n)] for i in range(n)]
+        value = of("q") / 2 + sum(g * x + RIDGE / 2 * x * x for g, x in zip(goal, v))
+        return value, off, [o - RIDGE * x for o, x in zip(off, v)], second
+
+    v, size = [0.0] * n, 1.0
+    value, off, down, second = measure(v)
+    move = _solve(second, down)
+    for _ in range(steps):
         if max(map(abs, off)) < CLOSE:
-            break
-        move = sum((F.lit(x / top) * F.col(f"p{i}") for i, x in enumerate(off)), F.lit(0.0))
-        at = at.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
-        if step % 10 == 0:
-            last, kept = kept, Stored(at)
-            at = kept.df
-            last.drop()
-    return at
+            return at.withColumn("rate", rate(v))
+        if max(map(abs, down)) < CLOSE / 20:
+            warnings.warn(f"no rates meet the targets; residuals of the nearest: {[round(x, 6) for x in off]}", RuntimeWarning, stacklevel=2)
+            return at.withColumn("rate", rate(v))
+        tried = [x + size * y for x, y in zip(v, move)]
+        found = measure(tried)
+        if found[0] <= value - 1e-4 * size * sum(a * b for a, b in zip(down, move)) or max(map(abs, found[2])) < max(map(abs, down)) / 2:
+            v, size = tried, 1.0
+            value, off, down, second = found
+            move = _solve(second, down)
+        else:
+            size /= 2
+    if max(map(abs, off)) < CLOSE:
+        return at.withColumn("rate", rate(v))
+    raise RuntimeError(f"rates not fitted in {steps} steps; residuals {off}")
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, column: str = "lang") -> DataFrame:

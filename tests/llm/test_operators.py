@@ -409,6 +409,20 @@ def test_mixing(spark):
     assert mixing.mix(awkward(spark).drop("rate"), lab.limit(0)).where("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize("own", [1.0, 0.85])
+def test_mixing_small_domains(spark, own):
+    """A domain with a hundredth of the tokens meets its target; targets out of reach are reported."""
+    kinds = [0] * 900 + [1] * 60 + [2] * 30 + [3] * 10
+    rows = [(i, 100 + i % 7, *[own if j == k else (1 - own) / 3 for j in range(4)]) for i, k in enumerate(kinds)]
+    soft = spark.createDataFrame(rows, "doc_id long, n_tokens long, p0 double, p1 double, p2 double, p3 double")
+    out = mixing.fit(soft, [0.4, 0.2, 0.2, 0.2]).toPandas()
+    for k, t in enumerate([0.4, 0.2, 0.2, 0.2]):
+        assert abs((out.rate * out.n_tokens * out[f"p{k}"]).sum() / out.n_tokens.sum() - t) < 2 * mixing.CLOSE
+    assert (out.rate >= 0).all()
+    with pytest.warns(RuntimeWarning, match="residuals"):
+        mixing.fit(soft.where("p0 > 0.5"), [0.4, 0.2, 0.2, 0.2])
+
+
 # n-gram join
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _own: dict[int, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = id(spark.sparkContext)
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="pitchflow-")
@@ -48,23 +50,27 @@ def _clean() -> None:
 class Stored:
     """A DataFrame written once as Parquet in the shared folder, which cuts its lineage.
 
-    The files outlive lost executors. `drop` removes them once nothing reads them any
-    more; what is left goes when Python ends.
+    The files outlive lost executors. Shuffle files of the write go with its end, as nothing
+    reads them again. `drop` removes the table once nothing reads it any more; what is left
+    goes when Python ends.
     """
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/pitchflow-{uuid.uuid4().hex}"
         _written.append((self.spark, self.path))
-        # shuffle files of plans that are gone are deleted once the driver's collector has run
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        _remove(self.spark, self.path)
-        _written.remove((self.spark, self.path))
+        if (self.spark, self.path) in _written:
+            _remove(self.spark, self.path)
+            _written.remove((self.spark, self.path))
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import Stored
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of edges (a, b: long) but the roots; root is the smallest node reached.
 
     Each round hangs a node's larger neighbours, then its smaller ones, under the smallest
-    it knows. Rounds end when the edges stay as they are: then all are (node, root). Every
+    it knows. Rounds end when the edges stay as they are: then all are (node, root); the number of
+    rounds grows with the square of the logarithm of the nodes at most. Every
     round is written to the shared folder. No group is collected: minima are partial sums,
     and the joins have both sides shuffled, so a large star can be split.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = Stored(edges.where(F.col("a") != F.col("b")).select(u, v).distinct())
     mark = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         state = now.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)).alias("h")).first()
         if (state.n, state.h) == mark or not state.n:
             return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -34,4 +33,3 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, Stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         last.drop()
-    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

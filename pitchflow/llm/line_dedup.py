@@ -1,113 +1,114 @@
 """Line dedup: fuzzy lines by MinHash, verified by exact Jaccard, one line per component.
 
 Equal lines fall together by a 128-bit hash. For fuzzy ones, a line's set is its runs of
-`WIDTH` characters. Its signature is the minimum, under `BANDS * ROWS` hash functions, of
-all of them, so lines meet by the set that is verified; `BANDS` bands of `ROWS` minima are
-the keys under which they do. With a Jaccard of 0.8, ten bands of
-three miss one pair in a thousand. Pairs that meet are verified over all runs of both
-lines. Components are found by stars (see graph.py); the line with the smallest (doc_id,
-place) of each component stays, all others go.
-
-A band's lines are held against its smallest and largest line, and in full only where the
-line still stands apart from the band's other components.
-
-Columns and SQL functions only. Lines are what stands between line feeds. Lines without a
-visible character stay. Rows without doc_id or text are passed on as they are. Rows that
-share a doc_id are one document: lines at the same place are the same line. Very long lines
-are read whole. Other columns are passed on.
+`WIDTH` characters (UTF-16 units). The signature comes from all of them, the set that is
+verified: one 64-bit hash deals the runs to `BANDS * ROWS` bins and the least of each bin is
+kept, so a bin of two lines agrees as often as their Jaccard says, or is empty in both.
+`BANDS` bands of `ROWS` bins are the keys under which lines meet; with a Jaccard of 0.8
+fewer than one pair in a thousand never does. Short lines leave bins empty; a band without
+any run is no key. What meets is linked as pairs.py says: exact bounds, then the exact
+overlap of the runs. Components are found by stars (see graph.py); the line with the
+smallest (doc_id, place) of each component stays, all others go.
+
+Columns and SQL functions only. Lines are what stands between line feeds. Lines of white
+space alone (blank, tab, vertical tab, form feed, carriage return) stay. Rows without doc_id
+or text are passed on as they are. Rows that share a doc_id are one document: lines at the
+same place are the same line. Of equal lines of one document the first stays. Very long
+lines are read whole. Other columns are passed on, whatever their names; `n_gone` alone is
+replaced where the input has it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pairs
 from .common import Stored
-from .graph import components
 
 WIDTH = 8
 BANDS, ROWS = 10, 3
 PERCENT = 80
-_RUNS = f"(?s)(?=(.{{{WIDTH}}}))"
+_BLANK = " \t\x0b\x0c\r"
 
 
-def _every(line: Column) -> Column:
-    return F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_RUNS), 1))
+def visible(line: Column) -> Column:
+    return F.trim(line, F.lit(_BLANK)) != ""
 
 
-def runs(line: Column) -> Column:
-    """All runs of WIDTH characters, as hashes; a shorter line is one run."""
-    return F.array_distinct(F.transform(_every(line), lambda x: F.xxhash64(x)))
+def runs(lines: DataFrame, *keep: str) -> DataFrame:
+    """keep, s: the hash of each run of WIDTH characters of `line`; a shorter line is one run."""
+    last = F.greatest((F.length("u") / 2).cast("int") - WIDTH, F.lit(0))
+    return (
+        lines.select(*keep, F.encode("line", "UTF-16BE").alias("u"))
+        .select(*keep, "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+        .select(*keep, F.xxhash64(F.substring("u", 2 * F.col("i") + 1, F.lit(2 * WIDTH))).alias("s"))
+    )
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, place, line, h, g of each line with a visible character."""
+    """doc_id, place, line, h, g (two hashes) of each line with a visible character."""
     return (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-        .where(F.col("line").rlike(r"\S"))
+        .where(visible(F.col("line")))
         .withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
     )
 
 
 def signatures(lines: DataFrame) -> Stored:
-    """h and its bands' keys, an array.
-
-    A 64-bit hash serves as two functions of 32 bits. The keys of a line are written as one row before they are dealt out, so that the minima leave the disk first.
-    """
-    shingle = lines.select("h", F.explode(_every(F.col("line"))).alias("s")).select("h", F.xxhash64("s").alias("s"))
-    two = lambda x: (F.shiftright(x, 32), x.bitwiseAND(0xFFFFFFFF))
-    halves = [half for i in range((BANDS * ROWS + 1) // 2) for half in two(F.xxhash64("s", F.lit(i)))]
-    minima = shingle.groupBy("h").agg(*[F.min(halves[i]).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return Stored(minima.select("h", F.array(*keys).alias("keys")))
-
-
-def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) those whose lines (h, line, n: its number of runs) have the Jaccard asked for.
-
-    Sizes come first, as they rule most pairs out. The sets of runs are built here and not kept: they are many times their lines' size.
-    """
-    one = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias("l" + c))
-    size = lambda c: texts.select(F.col("h").alias(c), F.col("n").alias("n" + c))
-    fit = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    both = fit.join(one("a"), "a").join(one("b"), "b").select("a", "b", runs(F.col("la")).alias("ra"), runs(F.col("lb")).alias("rb"))
-    common = both.select("a", "b", (F.size("ra") + F.size("rb")).alias("n"), F.size(F.array_intersect("ra", "rb")).alias("common"))
-    return common.where(100 * F.col("common") >= percent * (F.col("n") - F.col("common"))).select("a", "b")
-
-
-def _apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
-    return (
-        pairs.join(at.toDF("a", "ra"), "a", "left").join(at.toDF("b", "rb"), "b", "left")
-        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    )
+    """h, copies (how many lines have it) and its bands' keys, an array. Each text is hashed once; all that follows stays in its task."""
+    kinds = lines.groupBy("h").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
+    bins = runs(kinds, "h", "copies").groupBy("h", "copies", F.pmod("s", F.lit(BANDS * ROWS)).cast("int").alias("bin")).agg(F.min("s").alias("m"))
+    row = lambda r: F.coalesce(F.min(F.when(F.pmod("bin", F.lit(ROWS)) == r, F.col("m"))), F.lit(r).cast("long"))
+    band = F.floor(F.col("bin") / ROWS).cast("int").alias("band")
+    keys = bins.groupBy("h", "copies", band).agg(*[row(r).alias(f"m{r}") for r in range(ROWS)])
+    keys = keys.select("h", "copies", F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("key"))
+    return Stored(keys.groupBy("h", "copies").agg(F.collect_list("key").alias("keys")))
+
+
+def features(texts: DataFrame) -> DataFrame:
+    """node, n, bits of each text (h, line): see pairs.py."""
+    word = F.pmod(F.shiftright("s", 6), F.lit(pairs.WORDS)).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
+    words = runs(texts, "h").distinct().groupBy("h", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    of = lambda j: F.coalesce(F.max(F.when(F.col("word") == j, F.col("bits"))), F.lit(0).cast("long"))
+    flat = words.groupBy("h").agg(F.sum("n").alias("n"), *[of(j).alias(f"w{j}") for j in range(pairs.WORDS)])
+    return flat.select(F.col("h").alias("node"), "n", F.array(*[f"w{j}" for j in range(pairs.WORDS)]).alias("bits"))
+
+
+def similar(met: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) those whose lines (h, line) have the Jaccard asked for, by all runs of both."""
+    one = lambda c, name: texts.select(F.col("h").alias(c), F.col("line").alias(name))
+    both = met.join(one("a", "la"), "a").join(one("b", "lb"), "b")
+    sides = both.select("a", "b", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("la").alias("line")), F.struct(F.lit(2).alias("side"), F.col("lb").alias("line")))))
+    of = runs(sides, "a", "b", "side").groupBy("a", "b", "s").agg(F.bit_or("side").alias("in"))
+    count = of.groupBy("a", "b").agg(F.count("*").alias("all"), F.count_if(F.col("in") == 3).alias("common"))
+    return count.where(100 * F.col("common") >= percent * F.col("all")).select("a", "b")
 
 
 def fuzzy_components(lines: DataFrame) -> DataFrame:
     """node, root over the hashes of lines that are similar to others."""
-    by = Window.partitionBy("key")
     signed = signatures(lines)
-    keys = signed.df.select("h", F.explode("keys").alias("key"))
-    met = Stored(keys.select("key", "h", F.min("h").over(by).alias("lo"), F.max("h").over(by).alias("hi")).where("lo < hi")).df
+    ends, met = pairs.shared(signed.df.select(F.explode("keys").alias("key"), F.col("h").alias("node"), "copies"))
+    ends.drop()
     signed.drop()
-    needed = met.select("h").distinct()
-    texts = Stored(lines.select("h", "line").join(needed, "h", "left_semi").dropDuplicates(["h"]).withColumn("n", F.size(runs(F.col("line"))))).df
-    first = met.where("h <> lo").groupBy("h").agg(F.min("lo").alias("a")).select("a", F.col("h").alias("b"))
-    links = Stored(similar(first, texts)).df
-    at = components(links)
-    ends = met.where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b")).unionByName(met.where("h <> hi").select(F.col("h").alias("a"), F.col("hi").alias("b")))
-    links = links.unionByName(Stored(similar(_apart(ends.distinct(), at), texts)).df)
-    at = components(links)
-    known = met.join(at.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "lo", "hi", F.coalesce("root", "h").alias("root"))
-    still = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    left = known.where("h <> lo and h <> hi").join(still, "key", "left_semi").select("key", "h", "root")
-    rest = left.toDF("key", "a", "x").join(left.toDF("key", "b", "y"), "key").where("a < b and x <> y").select("a", "b").distinct()
-    return components(links.unionByName(Stored(similar(rest, texts)).df))
+    needed = Stored(met.df.select(F.col("node").alias("h")).distinct())
+    texts = lines.select("h", "line").join(needed.df, "h", "left_semi").dropDuplicates(["h"])
+    # as many files as Spark shuffles to: what follows costs far more a byte than reading it
+    texts = Stored(texts.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h"))
+    needed.drop()
+    feats = Stored(features(texts.df))
+    out = pairs.linked(met.df, feats.df, lambda p: similar(p, texts.df), PERCENT)
+    for x in (met, texts, feats):
+        x.drop()
+    return out
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, gone: the places (from 0, rising) of the lines that go; documents that lose none are absent."""
-    lines = lines_of(docs)
+    kept = Stored(lines_of(docs))
+    lines = kept.df
     found = fuzzy_components(lines)
     at = found.select(F.col("node").alias("h"), "root").unionByName(found.select(F.col("root").alias("h"), "root").distinct())
     # the second hash tells unequal lines apart, except within a component
@@ -115,6 +116,7 @@ def dropped(docs: DataFrame) -> DataFrame:
         "doc_id", "place", F.coalesce("root", "h").alias("k"), F.when(F.col("root").isNull(), F.col("g")).otherwise(F.lit(0)).alias("g")
     )
     placed = Stored(placed).df
+    kept.drop()
     first = placed.groupBy("k", "g").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = placed.join(first, ["k", "g"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("gone"))
@@ -122,15 +124,17 @@ def dropped(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines gone from text, and `n_gone`."""
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    return docs.join(dropped(docs), "doc_id", "left").withColumns({
-        "n_gone": F.coalesce(F.array_size("gone"), F.lit(0)), "text": F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
-    }).drop("gone")
+    own = [c for c in docs.columns if c != "n_gone"]
+    gone = dropped(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    both = docs.select(F.struct(*own).alias("_row")).join(gone, F.col("_row.doc_id") == F.col("_id"), "left")
+    kept = F.array_join(F.filter(F.split("_row.text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    text = F.when(F.size("_gone") > 0, kept).otherwise(F.col("_row.text")).alias("text")
+    return both.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in own], F.coalesce(F.array_size("_gone"), F.lit(0)).alias("n_gone"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept, gone for each row of docs."""
     rows = docs.select("doc_id", F.coalesce(F.array_size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    return rows.join(dropped(docs), "doc_id", "left").select(
+    return rows.join(dropped(docs.select("doc_id", "text")), "doc_id", "left").select(
         "doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.array_size("gone"), F.lit(0))).alias("n_kept"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone")
     )

@@ -6,9 +6,11 @@ verified: one 64-bit hash deals the runs to `BANDS * ROWS` bins and the least of
 kept, so a bin of two lines agrees as often as their Jaccard says, or is empty in both.
 `BANDS` bands of `ROWS` bins are the keys under which lines meet; with a Jaccard of 0.8
 fewer than one pair in a thousand never does. Short lines leave bins empty; a band without
-any run is no key. What meets is linked as pairs.py says: exact bounds, then the exact
-overlap of the runs. Components are found by stars (see graph.py); the line with the
-smallest (doc_id, place) of each component stays, all others go.
+any run is no key. Long lines look for their bins' least hashes among the least of all
+first, and among all runs where those leave bins empty (`signatures`). What meets is linked
+as pairs.py says: exact bounds, then the exact overlap of the runs. Components are found by
+stars (see graph.py); the line with the smallest (doc_id, place) of each component stays,
+all others go.
 
 Columns and SQL functions only. Lines are what stands between line feeds. Lines of white
 space alone (blank, tab, vertical tab, form feed, carriage return) stay. Rows without doc_id
@@ -28,6 +30,8 @@ from .common import Stored
 
 WIDTH = 8
 BANDS, ROWS = 10, 3
+BINS = BANDS * ROWS
+PER_BIN, SPARE = 4, 2
 PERCENT = 80
 _BLANK = " \t\x0b\x0c\r"
 
@@ -36,14 +40,20 @@ def visible(line: Column) -> Column:
     return F.trim(line, F.lit(_BLANK)) != ""
 
 
+def _positions(lines: DataFrame, *keep: str) -> DataFrame:
+    """keep, u (the line in UTF-16), n (its runs) and i, the place of each run."""
+    n = F.greatest((F.length("u") / 2).cast("int") - (WIDTH - 1), F.lit(1))
+    units = lines.select(*keep, F.encode("line", "UTF-16BE").alias("u")).select(*keep, "u", n.alias("n"))
+    return units.select(*keep, "u", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+
+
 def runs(lines: DataFrame, *keep: str) -> DataFrame:
     """keep, s: the hash of each run of WIDTH characters of `line`; a shorter line is one run."""
-    last = F.greatest((F.length("u") / 2).cast("int") - WIDTH, F.lit(0))
-    return (
-        lines.select(*keep, F.encode("line", "UTF-16BE").alias("u"))
-        .select(*keep, "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-        .select(*keep, F.xxhash64(F.substring("u", 2 * F.col("i") + 1, F.lit(2 * WIDTH))).alias("s"))
-    )
+    return _positions(lines, *keep).select(*keep, _hash().alias("s"))
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.substring("u", 2 * F.col("i") - 1, F.lit(2 * WIDTH)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -56,22 +66,46 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def signatures(lines: DataFrame) -> Stored:
-    """h, copies (how many lines have it) and its bands' keys, an array. Each text is hashed once; all that follows stays in its task."""
+def _bands(lines: DataFrame, all_runs: bool) -> DataFrame:
+    """h, copies, n, filled (bins with a run) and the bands' keys of each text; all but the first shuffle stays in its task."""
     kinds = lines.groupBy("h").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
-    bins = runs(kinds, "h", "copies").groupBy("h", "copies", F.pmod("s", F.lit(BANDS * ROWS)).cast("int").alias("bin")).agg(F.min("s").alias("m"))
+    hashed = _positions(kinds, "h", "copies").select("h", "copies", "n", _hash().alias("s"))
+    if not all_runs:
+        # long lines: the least hashes, PER_BIN a bin as expected, hold the least of nearly every bin;
+        # the first run keeps a line in the table whose least hashes all lie higher
+        low = F.lit(-(1 << 63)) + F.expr(f"9223372036854775807L div n * {2 * PER_BIN * BINS}L")
+        hashed = hashed.where((F.col("n") <= 2 * PER_BIN * BINS) | (F.col("i") == 1) | (F.col("s") < F.when(F.col("n") > 2 * PER_BIN * BINS, low)))
+    by = ["h", "copies", "n"]
+    bins = hashed.groupBy(*by, F.pmod("s", F.lit(BINS)).cast("int").alias("bin")).agg(F.min("s").alias("m"))
     row = lambda r: F.coalesce(F.min(F.when(F.pmod("bin", F.lit(ROWS)) == r, F.col("m"))), F.lit(r).cast("long"))
     band = F.floor(F.col("bin") / ROWS).cast("int").alias("band")
-    keys = bins.groupBy("h", "copies", band).agg(*[row(r).alias(f"m{r}") for r in range(ROWS)])
-    keys = keys.select("h", "copies", F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("key"))
-    return Stored(keys.groupBy("h", "copies").agg(F.collect_list("key").alias("keys")))
+    keys = bins.groupBy(*by, band).agg(*[row(r).alias(f"m{r}") for r in range(ROWS)], F.count("*").alias("filled"))
+    keys = keys.select(*by, "filled", F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("key"))
+    return keys.groupBy(*by).agg(F.sum("filled").alias("filled"), F.collect_list("key").alias("keys"))
+
+
+def signatures(lines: DataFrame) -> tuple[Stored, Stored]:
+    """h, copies and the keys of a line's bands, in two tables.
+
+    The first pass reads long lines by their least hashes. Lines that fill fewer bins so than
+    they should (they repeat themselves) are left to the second one, over all their runs.
+    """
+    whole = F.col("filled") >= BINS - SPARE
+    seen = Stored(_bands(lines, False))
+    first = Stored(seen.df.where(whole | (F.col("n") <= 2 * PER_BIN * BINS)).select("h", "copies", "keys"))
+    weak = Stored(seen.df.where(~whole & (F.col("n") > 2 * PER_BIN * BINS)).select("h"))
+    seen.drop()
+    second = Stored(_bands(lines.join(weak.df, "h", "left_semi"), True).select("h", "copies", "keys"))
+    weak.drop()
+    return first, second
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """node, n, bits of each text (h, line): see pairs.py."""
+    """node, n, bits of each text (h, line): see pairs.py. Texts are dealt by h first; the rest stays in its task."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     word = F.pmod(F.shiftright("s", 6), F.lit(pairs.WORDS)).cast("int").alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
-    words = runs(texts, "h").distinct().groupBy("h", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    words = runs(texts.repartition(parts, "h"), "h").distinct().groupBy("h", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
     of = lambda j: F.coalesce(F.max(F.when(F.col("word") == j, F.col("bits"))), F.lit(0).cast("long"))
     flat = words.groupBy("h").agg(F.sum("n").alias("n"), *[of(j).alias(f"w{j}") for j in range(pairs.WORDS)])
     return flat.select(F.col("h").alias("node"), "n", F.array(*[f"w{j}" for j in range(pairs.WORDS)]).alias("bits"))
@@ -90,13 +124,13 @@ def similar(met: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFra
 def fuzzy_components(lines: DataFrame) -> DataFrame:
     """node, root over the hashes of lines that are similar to others."""
     signed = signatures(lines)
-    ends, met = pairs.shared(signed.df.select(F.explode("keys").alias("key"), F.col("h").alias("node"), "copies"))
-    ends.drop()
-    signed.drop()
+    keys = signed[0].df.unionByName(signed[1].df).select(F.explode("keys").alias("key"), F.col("h").alias("node"), "copies")
+    ends = pairs.ends(keys)
+    met = pairs.members(keys, ends.df)
+    for x in (ends, *signed):
+        x.drop()
     needed = Stored(met.df.select(F.col("node").alias("h")).distinct())
-    texts = lines.select("h", "line").join(needed.df, "h", "left_semi").dropDuplicates(["h"])
-    # as many files as Spark shuffles to: what follows costs far more a byte than reading it
-    texts = Stored(texts.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h"))
+    texts = Stored(lines.select("h", "line").join(needed.df, "h", "left_semi").dropDuplicates(["h"]))
     needed.drop()
     feats = Stored(features(texts.df))
     out = pairs.linked(met.df, feats.df, lambda p: similar(p, texts.df), PERCENT)

@@ -1,43 +1,43 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard of T or more.
 
-The size-aware heavy-light join. A set is light where it has few enough subsets that two
-partners must share: then all subsets of each size that the threshold allows are
-enumerated, and partners meet in one. Larger sets are heavy: they are found by scanning
-inverted lists. The lists' terms are not single n-grams, whose lists grow with every common
-passage, but the parts of a set: n-grams are dealt by hash into k + 1 + e parts, where k is
-the most n-grams by which two partners of such sizes differ; so partners agree in 1 + e
-parts, and up to e parts with fewer than two n-grams may go unlisted. The boundary is the
-size up to which the subsets cost no more terms than the parts (`boundary`).
-
-Every pair met is verified by the exact overlap. Equal sets are one node. As only
-components are asked for, a list is not turned into all its pairs at once: first each node
-is held against the smallest node of its lists, then the smallest and the largest of every
-list against its members, each time leaving out pairs that a path joins already; what is
-left is compared in full. No link between components is lost, nor is any list cut.
+The size-aware heavy-light join. Heavy sets are found by scanning inverted lists: a set is
+listed under its rarest n-grams, as many as two partners cannot miss each other in (all but
+the overlap they must have, and one). Rarity is counted over all documents, in a table of
+`SLOTS` counters by hash; where n-grams share a counter the order is less sharp, never
+wrong. Light sets are those with few subsets as large as a partner's overlap: all of them
+are enumerated, and partners meet in one. The boundary between the two is the size at which
+the measured lengths of the lists that light sets would scan, summed, cost more than their
+subsets (`boundary`). A light set whose partner may be heavy is listed as well.
+
+Sets that meet are linked as pairs.py says: stars, exact bounds by size and bitmap, and the
+exact overlap of both texts' n-grams. Equal sets are one node. No link between components
+is lost, nor is any list cut.
 
 N-grams and sets are held as 64-bit hashes. Null and empty texts have no n-grams and no
-links; texts with fewer words than n are one n-gram. Repeated rows with one doc_id are one
-document in the components and keep a row each. Columns other than doc_id and text are not
-looked at.
+links; texts with fewer words than n are one n-gram. Rows that share a doc_id are one
+document: its sets are in one component, and it keeps a row each; a row without n-grams has
+its own doc_id, a row without doc_id that of equal sets, if any, else null. Columns other
+than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pairs
 from .common import Stored
-from .graph import components
 
+SLOTS, BLOCK = 1 << 20, 1 << 12
+MOST_SUBSETS = 200
 CACHE = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -74,25 +74,16 @@ def shingles(text: bytes, n: int, words: WordHashes) -> np.ndarray:
 
 
 class Scheme:
-    """Sizes, groups and terms for a threshold of percent / 100."""
+    """Sizes and terms for a threshold of percent / 100; rarity: a byte for each slot, rising with the count."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, rarity: np.ndarray | None = None):
         self.percent = percent
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(self.low[-1] * 100 // percent + 1)
-        self.boundary = self._boundary()
-
-    def group(self, size: int) -> int:
-        return int(np.searchsorted(self.low, size, "right")) - 1
-
-    @cache  # noqa: B019  one scheme a task
-    def parts(self, group: int) -> tuple[int, int]:
-        """(parts, spare) for partners whose sizes lie in this group or the one below."""
-        most = self.low[group + 1] - 1
-        differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + (differ + 1) * 13 // 100
-        return differ + 1 + spare, spare
+        self.rarity = np.zeros(SLOTS, np.uint8) if rarity is None else rarity
+        # smaller sets link with equal ones alone
+        self.least = -(-percent // (100 - percent)) if percent < 100 else 1 << 60
+        self.most_light = self.least - 1
+        while self.subsets(self.most_light + 1) <= MOST_SUBSETS and self.most_light < 60:
+            self.most_light += 1
 
     def least_overlap(self, size: int) -> int:
         return -(-size * self.percent // 100)
@@ -100,139 +91,180 @@ class Scheme:
     def subsets(self, size: int) -> int:
         return sum(comb(size, o) for o in range(self.least_overlap(size), size + 1))
 
-    def _boundary(self) -> int:
-        """The largest size up to which subsets are no more than the terms of the parts."""
-        size = 1
-        while self.subsets(size + 1) <= 2 + sum(self.parts(g)[0] for g in (self.group(size + 1), self.group(size + 1) + 1)):
-            size += 1
-        return size
-
-    def terms(self, h: np.ndarray) -> np.ndarray:
-        size, out = len(h), []
-        if not size:
+    def listed(self, h: np.ndarray) -> np.ndarray:
+        """The rarest n-grams, enough to share one with every partner; a term starts with its rarity."""
+        size = len(h)
+        if size < self.least:
+            return np.zeros(0, np.int64)
+        k = size - self.least_overlap(size) + 1
+        term = (self.rarity[slot(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+        return np.partition(term, k - 1)[:k].view(np.int64)
+
+    def enumerated(self, h: np.ndarray) -> np.ndarray:
+        """Digests of all subsets that may be the overlap with a partner, of light sets."""
+        size = len(h)
+        if not self.least <= size <= self.most_light:
             return np.zeros(0, np.int64)
-        if size <= self.boundary:
-            for o in range(self.least_overlap(size), size + 1):
-                at = np.array(list(combinations(range(size), o)))
-                out.append(mixed(h[at].sum(1) + times(o, _M1)))
-        if size > self.boundary or size * 100 // self.percent > self.boundary:
-            own = self.group(size)
-            for g in (own, own + 1):
-                n, spare = self.parts(g)
-                part = ((h >> np.uint64(7)) % np.uint64(n)).astype(np.int64)
-                count = np.bincount(part, minlength=n)
-                total = np.zeros(n, np.uint64)
-                np.add.at(total, part, mixed(h + times(g, _M1)))
-                term = mixed(total + np.arange(n, dtype=np.uint64) * _M2 + times(g + 1, _M3))
-                strong = count > 1
-                out.append(term[strong] if n - strong.sum() <= spare else term)
+        out = [mixed(h[np.array(list(combinations(range(size), o)))].sum(1) + times(o, _M1)) for o in range(self.least_overlap(size), size + 1)]
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
-_SETS = "doc_id long, n_shingles long, node long, terms array<long>"
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(SLOTS)).astype(np.int64)
 
 
-def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's digest, null if empty), terms."""
+def sets_of(texts: pd.Series, n: int, words: WordHashes) -> list[np.ndarray]:
+    return [shingles(bytes(t) if t is not None else b"", n, words) for t in texts]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, scheme, seen = WordHashes(), Scheme(percent), {}
+
+def rarity(docs: DataFrame, n: int) -> np.ndarray:
+    """A byte for each slot: eight times the binary logarithm of how many sets have an n-gram there."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, total = WordHashes(), np.zeros(SLOTS, np.int64)
         for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                b = whole.iloc[lo : lo + 1000]
-                sets = [shingles(bytes(t) if t is not None else b"", n, words) for t in b["text"]]
-                node = [digest(h) if len(h) else None for h in sets]
-                terms = []
-                for k, h in zip(node, sets):
-                    # a set's terms are listed once a task
-                    terms.append(scheme.terms(h) if k is not None and k not in seen else np.zeros(0, np.int64))
-                    if len(seen) > CACHE:
-                        seen.clear()
-                    seen[k] = True
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(h) for h in sets], "node": pd.array(node, "Int64"), "terms": terms})
+            for lo in range(0, len(whole), 500):
+                sets = sets_of(whole["text"].iloc[lo : lo + 500], n, words)
+                total += np.bincount(slot(np.concatenate(sets)), minlength=SLOTS)
+        blocks = total.reshape(-1, BLOCK)
+        some = [i for i in range(len(blocks)) if blocks[i].any()]
+        yield pd.DataFrame({"block": some, "counts": [blocks[i].astype("<u4" if blocks[i].max() < 1 << 32 else "<u8").tobytes() for i in some]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInPandas(run, _SETS)
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b["block"], b["counts"]):
+                total[k] = total.get(k, 0) + np.frombuffer(c, "<u4" if len(c) == 4 * BLOCK else "<u8").astype(np.int64)
+        yield pd.DataFrame({"block": list(total), "counts": [c.astype("<u8").tobytes() for c in total.values()]})
 
+    schema = "block int, counts binary"
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, schema)
+    out = np.zeros((SLOTS // BLOCK, BLOCK))
+    for r in parts.repartition("block").mapInPandas(add, schema).collect():  # SLOTS counters, whatever the input
+        out[r.block] = np.frombuffer(bytes(r.counts), "<u8")
+    return np.minimum(8 * np.log2(out.ravel() + 1), 127).astype(np.uint8)
 
-def digest(h: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+_SETS = "doc_id string, n_shingles long, node long, bits array<long>, listed array<long>, enumerated array<long>"
 
 
-def whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """node, h (its n-grams' hashes); texts: node, text. A text with another set than its node's is left out."""
+def signed(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
+    """doc_id, n_shingles, node (the set's digest, null if empty); for the first row of a set in a task bits and terms, else empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
+        words, scheme, seen, none = WordHashes(), Scheme(percent, order), set(), np.zeros(0, np.int64)
         for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                b = whole.iloc[lo : lo + 1000]
-                sets = [shingles(bytes(t) if t is not None else b"", n, words) for t in b["text"]]
-                own = [digest(h) == k for k, h in zip(b["node"], sets)]
-                yield pd.DataFrame({"node": b["node"], "h": [h.view(np.int64) for h in sets]})[own]
+            for lo in range(0, len(whole), 500):
+                b = whole.iloc[lo : lo + 500]
+                sets = sets_of(b["text"], n, words)
+                node = [digest(h) if len(h) else None for h in sets]
+                bits, listed, enumerated = [], [], []
+                for k, h in zip(node, sets):
+                    new = k is not None and k not in seen
+                    bits.append(bitmap(h) if new else none)
+                    listed.append(scheme.listed(h) if new else none)
+                    enumerated.append(scheme.enumerated(h) if new else none)
+                    if len(seen) > CACHE:
+                        seen.clear()
+                    seen.add(k)
+                yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(h) for h in sets], "node": pd.array(node, "Int64"), "bits": bits, "listed": listed, "enumerated": enumerated})
 
-    return texts.select("node", F.col("text").cast("binary")).mapInPandas(run, "node long, h array<long>")
+    # ids go as text: pandas would turn them to doubles beside a null
+    rows = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("binary")).mapInPandas(run, _SETS)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow a link; sizes: node, n."""
-    a, b = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
-    return pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+def digest(h: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that link, by the exact overlap of their sets."""
-    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-    common = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("common"))
-    return common.where(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b").distinct()
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """Parity of the members that fall on each bit."""
+    bits = 64 * pairs.WORDS
+    odd = np.bincount((h >> np.uint64(30)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
-    """The pairs whose ends no path joins yet; at: node, root."""
-    a, b = at.toDF("a", "ra"), at.toDF("b", "rb")
-    return (
-        pairs.join(a, "a", "left").join(b, "b", "left")
-        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    )
+def verified(both: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of a, b, ta, tb (nodes and texts) the pairs that link, by the exact overlap. A text with another set than its node's is passed over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, known = WordHashes(), {}
+
+        def members(node: int, text: bytes) -> np.ndarray | None:
+            if node not in known:
+                h = shingles(bytes(text), n, words)
+                if digest(h) != node:
+                    return None
+                if len(known) >= 200:
+                    known.clear()
+                known[node] = h
+            return known[node]
+
+        for b in batches:
+            out = []
+            for i, j, ti, tj in zip(b["a"], b["b"], b["ta"], b["tb"]):
+                x, y = members(i, ti), members(j, tj)
+                if x is not None and y is not None:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        out.append((i, j))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return both.mapInPandas(run, "a long, b long").distinct()
+
+
+def boundary(scheme: Scheme, sets: DataFrame, ends: DataFrame) -> int:
+    """The size up to which subsets cost fewer terms than the lists, by their measured lengths, have rows to scan."""
+    small = sets.where(F.col("n_shingles").between(scheme.least, scheme.most_light))
+    terms = small.select("n_shingles", "node", F.explode("listed").alias("key")).distinct()
+    rows = terms.join(ends, "key", "left").groupBy("n_shingles").agg(F.sum(F.coalesce("length", F.lit(1))).alias("scan"), F.count_distinct("node").alias("sets")).collect()
+    heavy = {r.n_shingles: r.scan for r in rows}  # a row for each of a few sizes
+    light = {r.n_shingles: r.sets * scheme.subsets(r.n_shingles) for r in rows}
+    cost = lambda x: sum(v for k, v in light.items() if k <= x) + sum(v for k, v in heavy.items() if k > x)
+    return min(range(scheme.least - 1, scheme.most_light + 1), key=lambda x: (cost(x), x))
 
 
 def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    base = Stored(signed(docs, n, percent))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scheme = Scheme(percent)
+    base = Stored(signed(docs, n, percent, rarity(docs, n)))
     rows = Stored(base.df.select("doc_id", "n_shingles", "node")).df
-    # a task lists a set once; what other tasks repeat adds no node to a list
-    by = Window.partitionBy("term")
-    lists = Stored(
-        base.df.select("node", F.explode("terms").alias("term"))
-        .select("term", "node", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi")).where("lo < hi")
-    ).df
+    sets = base.df.where(F.size("bits") > 0)
+    terms = lambda which, rows: rows.select(F.explode(which).alias("key"), "node", F.lit(1).alias("copies"))
+    ends = pairs.ends(terms("listed", sets))
+    light = boundary(scheme, sets, ends.df)
+    heavy = sets.where(F.floor(F.col("n_shingles") * 100 / percent) > light)
+    met = pairs.members(terms("listed", heavy), ends.df)
+    ends.drop()
+    if light >= scheme.least:
+        few = terms("enumerated", sets.where(F.col("n_shingles") <= light))
+        ends = pairs.ends(few)
+        more = pairs.members(few, ends.df)
+        ends.drop()
+        met = Stored(met.df.unionByName(more.df))
+        more.drop()
+    needed = Stored(met.df.select("node").distinct())
+    feats = Stored(sets.join(needed.df, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"]))
     base.drop()
-    needed = lists.select("node").distinct()
-    first = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(needed, "node", "left_semi")
-    first = Stored(first.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))).df
-    sizes = first.select("node", "n")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(first, "doc_id").select("node", "text")
-    sets = Stored(whole_sets(texts, n)).df
-
-    def linking(pairs: DataFrame) -> DataFrame:
-        return Stored(verified(Stored(fitting(pairs, sizes, percent)).df, sets, percent)).df
-
-    links = linking(lists.where("node <> lo").groupBy("node").agg(F.min("lo").alias("a")).select("a", F.col("node").alias("b")))
-    at = components(links)
-    ends = lists.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(
-        lists.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
-    )
-    links = links.unionByName(linking(_apart(ends.distinct(), at)))
-    at = components(links)
-    # lists of three or more nodes that are still apart, in full
-    known = lists.join(at, "node", "left").select("term", "node", "lo", "hi", F.coalesce("root", "node").alias("root"))
-    open_terms = known.groupBy("term").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("term")
-    left = known.where("node <> lo and node <> hi").join(open_terms, "term", "left_semi").select("term", "node", "root").distinct()
-    a, b = left.toDF("term", "a", "ra"), left.toDF("term", "b", "rb")
-    rest = a.join(b, "term").where("a < b and ra <> rb").select("a", "b").distinct()
-    links = links.unionByName(linking(rest))
-    at = components(links)
+    needed.drop()
+    named = Stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))).df
+
+    def verify(met: DataFrame) -> DataFrame:
+        ends = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+        where = Stored(ends.join(named, "node").select("node", F.col("least").alias("doc_id")))
+        texts = Stored(docs.join(where.df, "doc_id").select("node", F.col("text").cast("binary").alias("text"))).df
+        one = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias("t" + c))
+        return verified(met.join(one("a"), "a").join(one("b"), "b"), n, percent)
+
+    own = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    same = own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    at = pairs.linked(met.df, feats.df, verify, percent, same)
+    met.drop()
+    feats.drop()
     # equal sets are one node; rows without a set stand alone
-    named = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     rooted = named.join(at, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members"))
     ids = rooted.join(best.where("members > 1"), "root").select("node", "component_id")

@@ -40,15 +40,16 @@ def spread(feats: DataFrame, c: str, *more: Column) -> DataFrame:
     return feats.select(F.col("node").alias(c), F.coalesce("n", F.lit(0).cast("long")).alias("n" + c), *words, *more)
 
 
-def shared(lists: DataFrame) -> tuple[Stored, Stored]:
-    """(key, lo, length) of the keys with several nodes, and key, node, lo, length of their rows.
+def ends(lists: DataFrame) -> Stored:
+    """key, lo, length of the keys with several nodes; lists: key, node, copies. lo is the node with the most copies."""
+    most = F.call_function("shiftleft", F.least("copies", F.lit(1 << 20)).cast("long"), F.lit(42)) + F.pmod("node", F.lit(1 << 42))
+    found = lists.groupBy("key").agg(F.max_by("node", most).alias("lo"), F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("length"))
+    return Stored(found.where("a < b").select("key", "lo", "length"))
 
-    lists: key, node, copies; a node once a key. lo is the node with the most copies.
-    """
-    most = F.call_function("shiftleft", F.least("copies", F.lit(1 << 20)), F.lit(42)) + F.pmod("node", F.lit(1 << 42))
-    ends = lists.groupBy("key").agg(F.max_by("node", most).alias("lo"), F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("length"))
-    ends = Stored(ends.where("a < b").select("key", "lo", "length"))
-    return ends, Stored(lists.join(ends.df, "key").select("key", "node", "lo", "length"))
+
+def members(lists: DataFrame, ends: DataFrame) -> Stored:
+    """key, node, lo of those keys' rows, a node once a key."""
+    return Stored(lists.select("key", "node").join(ends.select("key", "lo"), "key").distinct().select("key", "node", "lo"))
 
 
 def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, more: DataFrame | None = None) -> DataFrame:

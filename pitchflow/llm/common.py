@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -77,6 +77,16 @@ def stored(df: DataFrame) -> DataFrame:
     return Stored(df).df
 
 
+def text_id(name: str) -> Column:
+    """A long id as text, for Python workers: pandas would turn it to a double beside a null."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def exact_ids(df: DataFrame, name: str) -> DataFrame:
+    """df with the id that went as text a long again."""
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> list[tuple[bytes, int]]:
     """At most `most` labelled rows as (text bytes, label), the same ones on every run.
 

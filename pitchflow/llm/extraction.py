@@ -19,23 +19,28 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import exact_ids, text_id
 
 TRAIN_PAGES = 700
 PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 384, 32, 8, 20
 SEED = 4
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|title|iframe|object|canvas|math|audio|video)\b[^>]*(?<!/)>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+# possessive: each attempt reads a character once; quotes count after an equals sign alone
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""")
+_NAMED = re.compile(r"</?[a-zA-Z]")
+_OTHER = re.compile(r"<[!?/][^>]*+>")
+# all up to the end tag goes; without one, only of the first four the rest of the page does
+_RAW = frozenset("script style title textarea noscript template svg iframe object canvas math audio video".split())
+_TO_END = frozenset("script style title textarea".split())
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 _ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PIECE = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -59,43 +64,78 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             run.clear()
         links = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    at, size, no_end, opened = 0, len(page), set(), Counter()
+
+    def leave(name: str) -> None:
+        while True:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == name:
+                return
+
+    while at < size:
+        lt = page.find("<", at)
+        m = skip = None
+        while lt >= 0:
+            if page.startswith("<!--", lt):
+                shut = page.find("-->", lt + 4)
+                skip = size if shut < 0 else shut + 3
+                break
+            if m := _TAG.match(page, lt):
+                break
+            if page.find(">", lt) < 0 or (_NAMED.match(page, lt)):
+                lt = -1  # no tag ends from here on
+            elif other := _OTHER.match(page, lt):
+                skip = other.end()
+                break
+            else:
+                lt = page.find("<", lt + 1)
+        end = lt if lt >= 0 else size
+        if end > at:
+            piece = page[at:end]
             run.append(piece)
             if in_link:
                 links += len(piece.strip())
+        if lt < 0:
+            break
+        if m is None:
+            at = skip
+            continue
         at = m.end()
-        name = m[3]
-        if not name:
-            if m[1]:
+        name = m[2].lower()
+        if name in _RAW and not m[1] and not m[3].endswith("/"):
+            found = None if name in no_end else re.compile(rf"</{name}\s*+>", re.IGNORECASE).search(page, at)
+            if found:
+                at = found.end()
                 run.append(" ")
+                continue
+            no_end.add(name)
+            if name in _TO_END:
+                at = size
             continue
-        name = name.lower()
         if name == "a":
-            in_link = not m[2]
+            in_link = not m[1]
         if name in _INLINE:
             continue
         if name == "br":
             run.append(" ")
             continue
         close()
-        if m[2]:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+        if m[1]:
+            if opened[name]:
+                leave(name)
             in_link = 0
         else:
+            if opened["head"] and name not in _IN_HEAD and name != "head":
+                leave("head")
             if name in _ENDS_P and stack and stack[-1][0] == "p":
-                stack.pop()
+                leave("p")
             if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            if name not in _VOID and not m[4].endswith("/"):
-                words = _PIECE.findall(" ".join(filter(None, (x for g in _ATTR.findall(m[4]) for x in g))).lower()) if m[4] else ()
+                leave("li")
+            if name not in _VOID and not m[3].endswith("/"):
+                words = _PIECE.findall(" ".join(filter(None, (x for g in _ATTR.findall(m[3]) for x in g))).lower()) if m[3] else ()
+                opened[name] += 1
                 stack.append((name, " ".join([name, *("." + w for w in words)])))
-    if at < len(page):
-        run.append(page[at:])
     close()
     return [b for b in out if not (b[0] and any(x.split(" ", 1)[0] == "head" for x in b[0]))]
 
@@ -401,8 +441,8 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
                 labels = model.label(found)
                 texts = [" ".join(x for (_, x, _), y in zip(f, l) if y) for f, l in zip(found, labels)]
                 yield pd.DataFrame({
-                    "page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(x) for x in texts],
+                    "page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(x) for x in texts],
                     "n_blocks": [len(f) for f in found], "n_main": [int(l.sum()) for l in labels],
                 })
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
+    return exact_ids(pages.select(text_id("page_id"), "url", "html").mapInPandas(run, "page_id string, url string, text string, n_chars long, n_blocks long, n_main long"), "page_id")

@@ -6,7 +6,8 @@ digest is SHA-256 of that form. The known table has a fixed number of rows (some
 it is broadcast; documents are read once and never shuffled.
 
 A text matches only as a whole. Null texts have no digest, texts whose canonical form is
-empty match nothing. Repeated rows are answered each for itself. Columns other than doc_id
+empty match nothing. Very long texts are read whole. Repeated rows are answered each for
+itself. Columns other than doc_id
 and text are not looked at.
 """
 
@@ -67,45 +68,80 @@ SPELLINGS = [
 
 _BIG, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # valid and alike in Java's, RE2's and Python's patterns
-_CLAIM = r"(^|\n)[^a-z0-9\n]*(copyright +(\(c\)|©|[0-9])|\(c\) +(copyright|[0-9])|© *[0-9]|copyright +(holder|owner|statement|notice)s? *:|all +rights +reserved)[^\n]*"
+_CLAIM = r"(^|\n)[^a-z0-9\n]*(portions +)?(copyright +(\(c\)|©|[0-9])|\(c\) +(copyright|[0-9])|© *[0-9]|copyright +(holder|owner|statement|notice)s? *:|all +rights +reserved)[^\n]*"
+# a holder's name, which starts with a capital, but for the words holder, owner, licence, law and notice
+_NAMED = r"(^|\n)[^A-Za-z0-9\n]*(Portions +)?Copyright +([A-GI-KMP-Z]|H[^o]|L[^ia]|N[^o]|O[^w])[^\n]*"
 _GAP = "[^a-z0-9]+"
 
+# Digests of the canonical forms of published texts too long to hold here.
+DIGESTS = {
+    "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25": "Apache-2.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0-Perl",
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60": "GFDL-1.2",
+    "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+}
+
 
 def canonical(text: str) -> str:
     """The same form in Python, for the known texts and for tests."""
-    x = text.translate(str.maketrans(_BIG, _LOW))
-    x = " " + re.sub(_GAP, " ", re.sub(_CLAIM, r"\1", x)) + " "
-    for a, b in SPELLINGS:
-        x = x.replace(f" {a} ", f" {b} ")
+    x = re.sub(_NAMED, r"\1", text).translate(str.maketrans(_BIG, _LOW))
+    x = " " + re.sub(_GAP, "  ", re.sub(_CLAIM, r"\1", x)) + " "
+    for a, b in _spellings():
+        x = x.replace(a, b)
     return re.sub(" +", " ", x).strip(" ")
 
 
+def _spellings() -> list[tuple[str, str]]:
+    """With two spaces between words, so that neighbours do not share one."""
+    return [(f" {a} ".replace(" ", "  ")[1:-1], f" {b} ") for a, b in SPELLINGS]
+
+
 def canonical_column(text: Column) -> Column:
-    x = F.translate(text, _BIG, _LOW)
-    x = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(x, _CLAIM, "$1"), _GAP, " "), F.lit(" "))
-    for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
+    x = F.translate(F.regexp_replace(text, _NAMED, "$1"), _BIG, _LOW)
+    x = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(x, _CLAIM, "$1"), _GAP, "  "), F.lit(" "))
+    for a, b in _spellings():
+        x = F.replace(x, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(x, " +", " "))
 
 
+def digest_column(text: Column) -> Column:
+    return F.sha2(F.encode(canonical_column(text), "UTF-8"), 256)
+
+
 def known() -> dict[str, str]:
     """Digest to licence."""
-    return {hashlib.sha256(canonical(f"{t}\n{BODIES[k]}").encode()).hexdigest(): k for k, titles in TITLES.items() for t in titles}
+    return DIGESTS | {hashlib.sha256(canonical(f"{t}\n{BODIES[k]}").encode()).hexdigest(): k for k, titles in TITLES.items() for t in titles}
+
 
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, license (null if unknown) for each row of docs (doc_id, text).
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license (null if unknown) for each row of docs (doc_id, text)."""
+    `more` (license, text) adds known texts; of equal ones the least name counts. It is
+    joined by hash, and broadcast only where Spark finds it small.
+    """
+    digest = docs.select("doc_id", digest_column(F.col("text")).alias("digest"))
     table = docs.sparkSession.createDataFrame(sorted(known().items()), "digest string, license string")
-    form = docs.select("doc_id", canonical_column(F.col("text")).alias("form"))
-    digest = form.select("doc_id", F.sha2(F.encode("form", "UTF-8"), 256).alias("digest"))
-    return digest.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license")
+    if more is None:
+        return digest.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license")
+    given = more.where("license is not null and text is not null").select(digest_column(F.col("text")).alias("digest"), "license")
+    table = table.unionByName(given).groupBy("digest").agg(F.min("license").alias("license"))
+    return digest.join(table, "digest", "left").select("doc_id", "digest", "license")
 
 
 def oracle_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    x = f"' ' || regexp_replace(regexp_replace(translate(text, '{_BIG}', '{_LOW}'), {q(_CLAIM)}, '\\1', 'g'), {q(_GAP)}, ' ', 'g') || ' '"
-    for a, b in SPELLINGS:
-        x = f"replace({x}, ' {a} ', ' {b} ')"
+    x = f"' ' || regexp_replace(regexp_replace(translate(regexp_replace(text, {q(_NAMED)}, '\\1', 'g'), '{_BIG}', '{_LOW}'), {q(_CLAIM)}, '\\1', 'g'), {q(_GAP)}, '  ', 'g') || ' '"
+    for a, b in _spellings():
+        x = f"replace({x}, '{a}', '{b}')"
     rows = ", ".join(f"({q(d)}, {q(k)})" for d, k in sorted(known().items()))
     return f"""WITH known(digest, license) AS (VALUES {rows}),
 forms AS (SELECT doc_id, sha256(trim(regexp_replace({x}, ' +', ' ', 'g'), ' ')) AS digest FROM documents)

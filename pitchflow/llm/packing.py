@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import exact_ids, text_id
 
 CAPACITY = 2048
 PART = 128
@@ -142,7 +143,7 @@ def cuts(n: int) -> list[tuple[int, int]]:
 
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
@@ -172,7 +173,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
 
         def frame() -> pd.DataFrame:
             f = pd.DataFrame(out, columns=[*COLUMNS, "ids"])
-            f["doc_id"] = f["doc_id"].astype("Int64")
             if with_ids:
                 f["ids"] = [np.frombuffer(x, "<u4").astype(np.int32) for x in f["ids"]]
             else:
@@ -182,7 +182,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
 
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"]):
-                doc = None if pd.isna(doc) else int(doc)
                 ids = words.encode(text or "") + end
                 total = len(ids) // 4
                 for start, size in cuts(total):
@@ -205,4 +204,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
             deal(loose)
             yield frame()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA + ", ids array<int>" * with_ids)
+    return exact_ids(docs.select(text_id("doc_id"), "text").mapInPandas(run, SCHEMA + ", ids array<int>" * with_ids), "doc_id")

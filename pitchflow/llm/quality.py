@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import exact_ids, labelled_sample, text_id
 
 TRAIN_ROWS = 1000
 CONTENT_SHARE = 0.5
@@ -197,7 +198,7 @@ def content_share(crf: LineCrf, text: bytes) -> tuple[int, int]:
     return sum(len(x.split()) for x, s in zip(lines, states) if s), sum(states)
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long, content_lines long"
+SCHEMA = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long, content_lines long"
 
 
 def verdict(crf: LineCrf, text: bytes) -> tuple:
@@ -215,22 +216,21 @@ def judge(docs: DataFrame, crf: LineCrf, passing: bool = False) -> DataFrame:
     """
     if passing:
 
-        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b[[t is not None and verdict(crf, t.encode())[6] for t in b["text"]]]
+                texts = b.column("_text").to_pylist()
+                yield b.drop_columns(["_text"]).filter(pa.array([t is not None and verdict(crf, t)[6] for t in texts], pa.bool_()))
 
-        return docs.mapInPandas(keep, docs.schema)
+        return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(keep, docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, t in zip(b["doc_id"], b["text"]):
                 out.append((i, *verdict(crf, bytes(t) if t is not None else b"")))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInPandas(run, SCHEMA)
+    return exact_ids(docs.select(text_id("doc_id"), F.col("text").cast("binary")).mapInPandas(run, SCHEMA), "doc_id")
 
 
 def clean_lines(crf: LineCrf, text: str) -> str:

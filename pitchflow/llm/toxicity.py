@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import exact_ids, labelled_sample, text_id
 
 TRAIN_ROWS = 5000
 LEAK = 0.002
@@ -126,7 +126,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-SCHEMA = "doc_id long, score double, n_sentences long, spans array<struct<start:int,end:int,p:double>>"
+SCHEMA = "doc_id string, score double, n_sentences long, spans array<struct<start:int,end:int,p:double>>"
 
 
 def score(docs: DataFrame, model: BagModel) -> DataFrame:
@@ -136,10 +136,10 @@ def score(docs: DataFrame, model: BagModel) -> DataFrame:
         for b in batches:
             found = [model.spans(t or "") for t in b["text"]]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"),
+                "doc_id": b["doc_id"],
                 "score": [x for x, _ in found],
                 "n_sentences": [len(s) for _, s in found],
                 "spans": [[{"start": i, "end": j, "p": p} for i, j, p in s] for _, s in found],
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
+    return exact_ids(docs.select(text_id("doc_id"), "text").mapInPandas(run, SCHEMA), "doc_id")

@@ -284,7 +284,22 @@ def test_licenses(spark, check_sql):
     texts = [mit, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit.replace(", ", ",\n  "), mit.upper().replace("SUBLICENSE", "sub-licence"), mit + " more", None, "", "© 2020 X", "x" * 300_000, mit]
     got = licenses.scan(docs(spark, texts).withColumn("license", F.lit("x"))).orderBy("doc_id").toPandas()
     assert got.license.where(got.license.notna(), None).tolist() == ["MIT", "MIT", "MIT", None, None, None, None, None, "MIT"]
-    assert licenses.scan(empty(spark)).count() == 0 and len(set(licenses.known().values())) == 12
+    assert licenses.scan(empty(spark)).count() == 0 and len(set(licenses.known().values())) == 25
+
+
+def test_licenses_full_texts_and_holders(spark):
+    import pathlib
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not (folder / "Apache-2.0").exists():
+        pytest.skip("no published texts here")
+    mit = licenses.BODIES["MIT"]
+    heads = ["Copyright Joyent, Inc.", "Copyright The Authors.", "Portions Copyright (c) 2020 Foo", "Copyright Foo 2020", "Copyright 2020 Foo\nAll rights reserved."]
+    texts = [(folder / "Apache-2.0").read_text(), (folder / "GPL-3").read_text().upper().replace(" ", "\n"), *[f"MIT License\n{h}\n\n{mit}" for h in heads], "favour favour", "favor favor"]
+    got = [(r.license, r.digest) for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0][0] == "Apache-2.0" and [x for x, _ in got[2:7]] == ["MIT"] * 5 and got[7][1] == got[8][1]
+    own = spark.createDataFrame([("OURS", "Our own words.")], "license string, text string")
+    assert [r.license for r in licenses.scan(docs(spark, ["our OWN words", mit, "x"]), own).orderBy("doc_id").collect()] == ["OURS", "MIT", None]
 
 
 # line dedup
@@ -477,14 +492,28 @@ def test_ngram_join_edges(spark):
 
 
 def test_scheme_lists_every_pair():
-    """Any two sets that link share a term, over sizes around the boundary and beyond."""
-    r, s = np.random.default_rng(7), ngram_join.Scheme(85)
-    for size in [*range(1, 30), 60, 150, 700]:
-        for _ in range(12):
-            a = r.integers(0, 1 << 63, size, dtype=np.uint64)
-            most = int(size * 15 / 185 * 2)
-            drop, add = r.integers(0, most + 1), r.integers(0, most + 1)
-            b = np.concatenate([a[drop:], r.integers(0, 1 << 63, add, dtype=np.uint64)])
-            common = size - drop
-            if common > 0 and 100 * common >= 85 * (size + add):
-                assert set(s.terms(np.unique(a)).tolist()) & set(s.terms(np.unique(b)).tolist())
+    """Any two sets that link share a listed n-gram, and a subset where both are light, whatever the rarity."""
+    r = np.random.default_rng(7)
+    for s in (ngram_join.Scheme(85, r.integers(0, 127, ngram_join.SLOTS).astype(np.uint8)), ngram_join.Scheme(80)):
+        for size in [*range(1, 30), 60, 150, 700]:
+            for _ in range(12):
+                a = r.integers(0, 1 << 63, size, dtype=np.uint64)
+                most = int(size * 15 / 185 * 2)
+                drop, add = r.integers(0, most + 1), r.integers(0, most + 1)
+                b = np.concatenate([a[drop:], r.integers(0, 1 << 63, add, dtype=np.uint64)])
+                a, b, common = np.unique(a), np.unique(b), size - drop
+                if common < max(len(a), len(b)) and 100 * common >= s.percent * (size + add):
+                    assert set(s.listed(a).tolist()) & set(s.listed(b).tolist())
+                    if max(len(a), len(b)) <= s.most_light:
+                        assert set(s.enumerated(a).tolist()) & set(s.enumerated(b).tolist())
+                    apart = np.unpackbits((ngram_join.bitmap(a) ^ ngram_join.bitmap(b)).view(np.uint8)).sum()
+                    assert apart <= len(a) + len(b) - 2 * common
+
+
+def test_ngram_join_one_id_many_texts(spark):
+    """Rows that share a doc_id are one document; ids beside a null keep their last digit."""
+    texts = ["a b c d e f g", "t u v w x y z", "t u v w x y z", None]
+    out = ngram_join.linked(docs(spark, texts, [5, 5, 7, 9007199254740993])).toPandas()
+    assert sorted(zip(out.doc_id, out.component_id)) == [(5, 5), (5, 5), (7, 5), (9007199254740993, 9007199254740993)]
+    for run in (ngram_join.linked, lambda d: toxicity.score(d, toxicity.BagModel()), lambda d: quality.judge(d, quality.LineCrf()), lambda d: packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json"))):
+        assert {r.doc_id for r in run(docs(spark, texts[:2], [None, 9007199254740993])).collect()} == {None, 9007199254740993}

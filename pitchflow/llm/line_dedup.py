@@ -31,7 +31,8 @@ from .common import Stored
 WIDTH = 8
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
-PER_BIN, SPARE = 4, 2
+PER_BIN, SPARE = 3, 4
+WORDS = 32
 PERCENT = 80
 _BLANK = " \t\x0b\x0c\r"
 
@@ -101,14 +102,14 @@ def signatures(lines: DataFrame) -> tuple[Stored, Stored]:
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """node, n, bits of each text (h, line): see pairs.py. Texts are dealt by h first; the rest stays in its task."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    word = F.pmod(F.shiftright("s", 6), F.lit(pairs.WORDS)).cast("int").alias("word")
+    """node, n, bits of each text (h, line): see pairs.py. Texts are dealt by h first, to small parts; the rest stays in its task."""
+    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    word = F.pmod(F.shiftright("s", 6), F.lit(WORDS)).cast("int").alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
     words = runs(texts.repartition(parts, "h"), "h").distinct().groupBy("h", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
     of = lambda j: F.coalesce(F.max(F.when(F.col("word") == j, F.col("bits"))), F.lit(0).cast("long"))
-    flat = words.groupBy("h").agg(F.sum("n").alias("n"), *[of(j).alias(f"w{j}") for j in range(pairs.WORDS)])
-    return flat.select(F.col("h").alias("node"), "n", F.array(*[f"w{j}" for j in range(pairs.WORDS)]).alias("bits"))
+    flat = words.groupBy("h").agg(F.sum("n").alias("n"), *[of(j).alias(f"w{j}") for j in range(WORDS)])
+    return flat.select(F.col("h").alias("node"), "n", F.array(*[f"w{j}" for j in range(WORDS)]).alias("bits"))
 
 
 def similar(met: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -133,7 +134,7 @@ def fuzzy_components(lines: DataFrame) -> DataFrame:
     texts = Stored(lines.select("h", "line").join(needed.df, "h", "left_semi").dropDuplicates(["h"]))
     needed.drop()
     feats = Stored(features(texts.df))
-    out = pairs.linked(met.df, feats.df, lambda p: similar(p, texts.df), PERCENT)
+    out = pairs.linked(met.df, feats.df, lambda p: similar(p, texts.df), PERCENT, WORDS)
     for x in (met, texts, feats):
         x.drop()
     return out

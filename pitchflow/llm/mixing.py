@@ -150,7 +150,8 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, column: str = "lang") -> DataFrame:
-    """docs with each row as many times as its rate says; rows without doc_id stay once."""
-    fitted = rates(docs, labels, targets, column).select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("times"))
-    times = F.coalesce("times", F.lit(1))
-    return docs.join(fitted, "doc_id", "left").where(times > 0).withColumn("time", F.explode(F.sequence(F.lit(1), times))).drop("times", "time")
+    """docs with each row as many times as its rate says; rows without doc_id stay once. Other columns may have any name."""
+    fitted = rates(docs.select("doc_id", "text", column), labels, targets, column)
+    times = fitted.select(F.col("doc_id").alias("_id"), copies(F.col("rate"), F.col("doc_id")).alias("_times"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row")).join(times, F.col("_row.doc_id") == F.col("_id"), "left")
+    return rows.select(F.inline(F.array_repeat("_row", F.coalesce("_times", F.lit(1)))))

@@ -38,6 +38,7 @@ from .common import Stored
 
 SLOTS, BLOCK = 1 << 20, 1 << 12
 MOST_SUBSETS = 200
+WORDS = 32
 CACHE = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -180,7 +181,7 @@ def digest(h: np.ndarray) -> int:
 
 def bitmap(h: np.ndarray) -> np.ndarray:
     """Parity of the members that fall on each bit."""
-    bits = 64 * pairs.WORDS
+    bits = 64 * WORDS
     odd = np.bincount((h >> np.uint64(30)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -261,7 +262,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     own = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
     several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     same = own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    at = pairs.linked(met.df, feats.df, verify, percent, same)
+    at = pairs.linked(met.df, feats.df, verify, percent, WORDS, same)
     met.drop()
     feats.drop()
     # equal sets are one node; rows without a set stand alone

@@ -25,19 +25,18 @@ from pyspark.sql import functions as F
 from .common import Stored
 from .graph import components
 
-WORDS = 32
 
 
-def bounds(percent: int) -> Column:
-    """Whether sizes and bitmaps allow a Jaccard of percent / 100, over the columns `spread` makes for a and b."""
-    apart = reduce(add, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WORDS)))
+def bounds(percent: int, words: int) -> Column:
+    """Whether sizes and bitmaps of so many longs allow a Jaccard of percent / 100, over the columns `spread` makes for a and b."""
+    apart = reduce(add, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)))
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
-def spread(feats: DataFrame, c: str, *more: Column) -> DataFrame:
+def spread(feats: DataFrame, words: int, c: str, *more: Column) -> DataFrame:
     """feats (node, n, bits) with columns of their own for side c, as arrays are slow to take apart once a pair."""
-    words = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0).cast("long")).alias(f"{c}{i}") for i in range(WORDS)]
-    return feats.select(F.col("node").alias(c), F.coalesce("n", F.lit(0).cast("long")).alias("n" + c), *words, *more)
+    bits = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0).cast("long")).alias(f"{c}{i}") for i in range(words)]
+    return feats.select(F.col("node").alias(c), F.coalesce("n", F.lit(0).cast("long")).alias("n" + c), *bits, *more)
 
 
 def ends(lists: DataFrame) -> Stored:
@@ -52,14 +51,14 @@ def members(lists: DataFrame, ends: DataFrame) -> Stored:
     return Stored(lists.select("key", "node").join(ends.select("key", "lo"), "key").distinct().select("key", "node", "lo"))
 
 
-def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, more: DataFrame | None = None) -> DataFrame:
+def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, words: int, more: DataFrame | None = None) -> DataFrame:
     """node, root over the nodes that link, roots left out; met: key, node, lo; feats: node, n, bits.
 
     `verify` gives the linking ones of pairs (a, b). `more` are edges known beforehand.
     """
-    fit = bounds(percent)
+    fit = bounds(percent, words)
     stars = met.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    first = Stored(stars.join(spread(feats, "b"), "b").join(spread(feats, "a"), "a").where(fit).select("a", "b"))
+    first = Stored(stars.join(spread(feats, words, "b"), "b").join(spread(feats, words, "a"), "a").where(fit).select("a", "b"))
     links = Stored(verify(first.df))
     first.drop()
     at = components(links.df if more is None else links.df.unionByName(more))
@@ -73,8 +72,8 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
     apart = known.df.where("root <> home").select("key").distinct()
     live = Stored(known.df.join(apart, "key", "left_semi").join(feats, "node"))
     known.drop()
-    a = spread(live.df.where("root <> home"), "a", F.col("key"), F.col("root").alias("ra"))
-    b = spread(live.df, "b", F.col("key"), F.col("root").alias("rb"), F.col("home"))
+    a = spread(live.df.where("root <> home"), words, "a", F.col("key"), F.col("root").alias("ra"))
+    b = spread(live.df, words, "b", F.col("key"), F.col("root").alias("rb"), F.col("home"))
     other = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("home")) | (F.col("a") < F.col("b")))
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = Stored(a.repartition(parts, "key").join(b.repartition(parts, "key"), "key").where(other & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

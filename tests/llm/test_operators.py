@@ -352,7 +352,8 @@ def test_line_dedup(spark):
     want = slow_lines(rows)
     wrong = sum(got.get(i, []) != want.get(i, []) for i, _ in rows)
     assert wrong <= 2 and len(want) > 20
-    d = line_dedup.dedup(awkward(spark).drop("gone")).toPandas()
+    d = line_dedup.dedup(awkward(spark).withColumn("n_gone", F.lit(7))).toPandas()
+    assert (d.gone == 9).all() and d[d.doc_id == 5].n_gone.item() == 1
     assert len(d) == 11 and d[d.doc_id == 5].text.item() == "" and (d[d.doc_id == 4].text == "a b c d e f").all()
     assert line_dedup.report(awkward(spark)).count() == 11 and line_dedup.report(empty(spark)).count() == 0
 
@@ -378,6 +379,28 @@ def test_line_dedup_recall(spark):
         assert len(got) >= 118, (kind, len(got))
 
 
+def test_line_dedup_recall_long(spark):
+    """Long lines, which are signed by their least hashes: words replaced, cut off, and lines that repeat themselves."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    makers = {"prose": lambda n: [word() for _ in range(n)], "repeats": lambda n: [w for w in [word() for _ in range(n // 8)] for _ in range(8)]}
+    for kind, make in makers.items():
+        pairs, n = [], 0
+        while len(pairs) < 100:
+            a = make(r.choice([60, 120, 400]))
+            b = a[: len(a) - r.randint(0, len(a) // 10)]
+            for _ in range(r.randint(0, len(a) // 60)):
+                b[r.randrange(len(b))] = word()
+            a, b = " ".join(a), " ".join(b)
+            if a != b and 100 * len(line_runs(a) & line_runs(b)) >= 80 * len(line_runs(a) | line_runs(b)):
+                pairs.append(f"{a}\n{b}")
+        got = {x.doc_id for x in line_dedup.dropped(docs(spark, pairs)).collect()}
+        assert len(got) >= 98, (kind, len(got))
+    # one set each, at very different lengths
+    bars = ["=" * 300 + "\n" + "=" * 1000]
+    assert line_dedup.dropped(docs(spark, bars)).collect()[0].gone == [1]
+
+
 def test_line_dedup_bands():
     """At the Jaccard asked for, fewer than one pair in a thousand never meets."""
     assert (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS < 1e-3
@@ -421,6 +444,9 @@ def test_mixing(spark):
     assert a.loc[1].rate == 1.0 and len(a) == 9 and mixing.rates(empty(spark), lab).count() == 0
     mixed = mixing.mix(d, lab)
     assert mixed.columns == d.columns and mixed.count() > 0 and mixing.mix(empty(spark), lab).count() == 0
+    clash = d.withColumns({c: F.lit(3) for c in ("times", "time", "rate", "_times", "_id", "p0", "n_tokens")})
+    odd = mixing.mix(clash, lab)
+    assert odd.columns == clash.columns and odd.count() == mixed.count() and odd.where("time <> 3 or times <> 3").count() == 0
     assert mixing.mix(awkward(spark).drop("rate"), lab.limit(0)).where("doc_id is null").count() == 1
 
 

@@ -15,6 +15,7 @@ from pitchflow.llm.common import stored, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; rows without doc_id cannot be told apart and go too."""
+    docs = docs.where(F.col("doc_id").isNotNull())
     kept = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")), passing=True)
     return kept.select(*docs.columns)
 
@@ -26,8 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    first = ngram_join.linked(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Of each group of documents linked by five-word shingles at 0.8 the one with the smallest doc_id stays."""
+    first = ngram_join.linked(docs, n=5, percent=80).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -51,8 +51,8 @@ def nearest_hit(frames: DataFrame, hits: DataFrame) -> DataFrame:
     """dist: frames to the nearest hit on either side, by windows over the union."""
     both = frames.select(*KEYS, "frame", F.lit(1).alias("_t"), F.lit(None).cast("long").alias("_h")).unionByName(hits.select(*KEYS, "frame", F.lit(0).alias("_t"), F.col("frame").alias("_h")))
     back = Window.partitionBy(*KEYS).orderBy("frame", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*KEYS).orderBy("frame", F.desc("_t")).rowsBetween(0, Window.unboundedFollowing)
-    d = F.least(F.col("frame") - F.last("_h", ignorenulls=True).over(back), F.first("_h", ignorenulls=True).over(ahead) - F.col("frame"))
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("frame"), "_t").rowsBetween(Window.unboundedPreceding, 0)
+    d = F.least(F.col("frame") - F.last("_h", ignorenulls=True).over(back), F.last("_h", ignorenulls=True).over(ahead) - F.col("frame"))
     return both.withColumn("dist", d).where("_t = 1").select(*KEYS, "frame", "dist")
 
 

@@ -35,8 +35,8 @@ def nearest(df: DataFrame, targets: DataFrame, value: str) -> DataFrame:
     )
     w = Window.partitionBy(*KEYS).orderBy("frame", "_t")
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*KEYS).orderBy("frame", F.desc("_t")).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumns({"_l": F.last("_v", ignorenulls=True).over(back), "_r": F.first("_v", ignorenulls=True).over(ahead)}).where("_t = 1")
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("frame"), "_t").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"_l": F.last("_v", ignorenulls=True).over(back), "_r": F.last("_v", ignorenulls=True).over(ahead)}).where("_t = 1")
     left = F.col("_r").isNull() | (F.col("frame") - F.col("_l.frame") <= F.col("_r.frame") - F.col("frame"))
     pick = F.when(F.col("_l").isNotNull() & left, F.col("_l")).otherwise(F.col("_r"))
     return found.withColumn("_p", pick).select(*KEYS, "frame", F.col("_p.frame").alias("near_frame"), F.col(f"_p.{value}").alias(value))

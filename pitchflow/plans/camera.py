@@ -30,13 +30,13 @@ def dropout_hold(spark, sf_dir):
     return rounded(C.hold_dropouts(ext, RULES).select("match_id", "frame", "hfov", F.col("taken").cast("int").alias("taken")), 6)
 
 
-_SPARSE = f"{POSITIONS}, kept AS (SELECT match_id, frame, max(x) AS yaw, min(z) AS hfov FROM positions WHERE frame % 5 = 2 GROUP BY ALL), frames AS (SELECT match_id, unnest(range(0, CAST(max(frame) + 1 AS BIGINT))) AS frame FROM positions GROUP BY match_id)"
+_SPARSE = f"{POSITIONS}, kept AS (SELECT match_id, frame, max(x) AS yaw, min(z) AS hfov FROM positions WHERE conf >= 0.84 GROUP BY ALL), frames AS (SELECT match_id, unnest(range(0, CAST(max(frame) + 1 AS BIGINT))) AS frame FROM positions GROUP BY match_id)"
 
 
 def _sparse(spark, sf_dir):
     p = positions(spark, sf_dir)
     frames = p.groupBy("match_id").agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("frame"))).alias("frame"))
-    return frames, p.where("frame % 5 = 2").groupBy("match_id", "frame").agg(F.max("x").alias("yaw"), F.min("z").alias("hfov"))
+    return frames, p.where("conf >= 0.84").groupBy("match_id", "frame").agg(F.max("x").alias("yaw"), F.min("z").alias("hfov"))
 
 
 _FILLED = f"{_SPARSE}, filled AS (SELECT match_id, frame, coalesce(last_value(yaw IGNORE NULLS) OVER b, first_value(yaw IGNORE NULLS) OVER a) AS yaw, coalesce(last_value(hfov IGNORE NULLS) OVER b, first_value(hfov IGNORE NULLS) OVER a) AS hfov FROM frames LEFT JOIN kept USING (match_id, frame) WINDOW b AS (PARTITION BY match_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"

@@ -37,12 +37,12 @@ def session_lives(spark, sf_dir):
 
 @query(
     "back_emit_merge",
-    sql=f"""WITH {POSITIONS}, late AS (SELECT match_id, track_id, frame, x + 1 AS x FROM positions WHERE frame BETWEEN 20 AND 40 AND conf >= 0.7 AND track_id % 3 = 0), span AS (SELECT match_id, min(frame) AS a, max(frame) AS b FROM late GROUP BY 1)
+    sql=f"""WITH {POSITIONS}, late AS (SELECT match_id, track_id, frame, x + 1 AS x FROM positions WHERE conf >= 0.7), span AS (SELECT match_id, min(frame) AS a, max(frame) AS b FROM late GROUP BY 1)
 SELECT match_id, track_id, frame, round(x, 9) AS x FROM positions p WHERE NOT EXISTS (SELECT 1 FROM late l JOIN span s USING (match_id) WHERE l.match_id = p.match_id AND l.track_id = p.track_id AND p.frame BETWEEN s.a AND s.b) UNION ALL SELECT match_id, track_id, frame, round(x, 9) FROM late""",
 )
 def back_emit_merge(spark, sf_dir):
     p = positions(spark, sf_dir).select("match_id", "track_id", "frame", "x", "conf")
-    late = p.where("frame between 20 and 40 and conf >= 0.7 and track_id % 3 = 0").select("match_id", "track_id", "frame", (F.col("x") + 1).alias("x"))
+    late = p.where("conf >= 0.7").select("match_id", "track_id", "frame", (F.col("x") + 1).alias("x"))
     return rounded(C.corrected(p.drop("conf"), late))
 
 

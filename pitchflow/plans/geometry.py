@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -168,33 +169,36 @@ def field_boundary(spark, sf_dir, step: float = 1.0):
     return e.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n")))).select("edge", F.col("k").cast("long").alias("k"), (F.col("x0") + F.col("k") * F.col("dx")).alias("x"), (F.col("z0") + F.col("k") * F.col("dz")).alias("z"))
 
 
-def plan_tiles(spark, ground: G.Ground = GROUND, tile_w: int = 1920, tile_h: int = 720, near_h: int = 960, overlap: float = 0.15, margin: float = 6.0, down: float = 20.0, rows: int = 2, row_overlap: float = 16.0, far_head: float = 6.0) -> list[dict]:
-    """Views that cover the field: extents by one aggregate over a grid of the ground, then at most a few rows on the driver."""
+def plan_tiles(spark, ground: G.Ground = GROUND, tile_w: int = 1920, tile_h: int = 720, near_h: int = 960, overlap: float = 0.15, margin: float = 6.0, down: float = 20.0, rows: int = 2, row_overlap: float = 16.0, far_head: float = 6.0) -> DataFrame:
+    """Views that cover the field: tile, yaw, pitch, vfov, out_w, out_h.
+
+    The extents of a grid of ground points give one row; it becomes a row a band of heights
+    and then one a view, evenly spread over the band.
+    """
     f = ground.field
-    grid = spark.range(70 * 28).select((F.lit(-f.length / 2 - 1) + (F.col("id") % 70) * ((f.length + 2) / 69)).alias("x"), (F.lit(-1.5) + F.floor(F.col("id") / 70) * ((f.width + 3) / 27)).alias("z"))
+    step = lambda first, last, n, k: F.lit(first) + k * ((last - first) / (n - 1))
+    grid = spark.range(70 * 28).select(step(-f.length / 2 - 1, f.length / 2 + 1, 70, F.col("id") % 70).alias("x"), step(-1.5, f.width + 1.5, 28, F.floor(F.col("id") / 70)).alias("z"))
     az, el = G.azimuth_elevation(ground.ray(F.col("x"), F.col("z")))
-    e = grid.agg(F.min(az).alias("a0"), F.max(az).alias("a1"), F.min(-el).alias("e0"), F.max(-el).alias("e1")).first()
-    lo, hi = e.a0 - margin, e.a1 + margin
-    head = min(max(0.85 * abs(e.e0), 14.0), 38.0)
-    if rows == 1:
-        bands = [(e.e0 - down, e.e1 + head, near_h + tile_h)]
-    else:
-        mid = (e.e0 + e.e1) / 2
-        bands = [(e.e0 - down, max(mid + row_overlap / 2, e.e0 + head), near_h), (mid - row_overlap / 2, e.e1 + far_head, tile_h)]
-    out = []
-    for low, high, h in bands:
-        vfov = min(high - low, 88.0)
-        hfov = vfov * tile_w / h
-        n = max(1, math.ceil((hi - lo) / (hfov * (1 - overlap))))
-        yaws = [(lo + hi) / 2] if n == 1 else list(np.linspace(lo + hfov / 2, hi - hfov / 2, n))
-        out += [{"yaw": float(y), "pitch": -(low + high) / 2, "vfov": vfov, "out_w": tile_w, "out_h": h} for y in yaws]
-    return [{"tile": i, **t} for i, t in enumerate(out)]
+    seen = grid.agg((F.min(az) - margin).alias("west"), (F.max(az) + margin).alias("east"), F.min(-el).alias("foot"), F.max(-el).alias("top"))
+    head = F.least(F.greatest(F.abs("foot") * 0.85, F.lit(14.0)), F.lit(38.0))
+    middle, foot, top = (F.col("foot") + F.col("top")) / 2, F.col("foot"), F.col("top")
+    band = lambda low, high, height: F.struct(low.alias("low"), high.alias("high"), F.lit(height).alias("out_h"))
+    near = band(foot - down, F.greatest(middle + row_overlap / 2, foot + head), near_h)
+    bands = F.array(near, band(middle - row_overlap / 2, top + far_head, tile_h)) if rows > 1 else F.array(band(foot - down, top + head, near_h + tile_h))
+    wide = seen.select("west", "east", F.posexplode(bands).alias("band", "b")).select("*", F.least(F.col("b.high") - F.col("b.low"), F.lit(88.0)).alias("vfov"))
+    wide = wide.withColumn("hfov", F.col("vfov") * tile_w / F.col("b.out_h")).withColumn("span", F.col("east") - F.col("west"))
+    views = wide.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("span") / (F.col("hfov") * (1 - overlap)))).cast("int"))
+    views = views.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # centres from one half view inside the west end to one inside the east end; a single one in the middle
+    part = F.when(F.col("n") > 1, F.col("k") / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(0.5)
+    yaw = (F.col("west") + F.col("east")) / 2 + (part - 0.5) * (F.col("span") - F.col("hfov"))
+    tile = F.row_number().over(Window.orderBy("band", "k")) - 1  # some tens of rows
+    return views.select(tile.alias("tile"), yaw.alias("yaw"), (-(F.col("b.low") + F.col("b.high")) / 2).alias("pitch"), "vfov", F.lit(tile_w).alias("out_w"), F.col("b.out_h").alias("out_h"))
 
 
 @query("tile_plan")
 def tile_plan(spark, sf_dir):
-    rows = [tuple(t[k] for k in ("tile", "yaw", "pitch", "vfov", "out_w", "out_h")) for t in plan_tiles(spark)]
-    return rounded(spark.createDataFrame(rows, "tile int, yaw double, pitch double, vfov double, out_w int, out_h int"), 6)
+    return rounded(plan_tiles(spark), 6)
 
 
 @query("box_to_ground")

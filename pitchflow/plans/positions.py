@@ -28,13 +28,13 @@ def frame_at_time(spark, sf_dir):
 
 @query(
     "nearest_frame",
-    sql=f"""WITH {POSITIONS}, kept AS (SELECT * FROM positions WHERE conf >= 0.6), targets AS (SELECT {_ROW} FROM positions WHERE frame % 7 = 3)
+    sql=f"""WITH {POSITIONS}, kept AS (SELECT * FROM positions WHERE conf >= 0.6), targets AS (SELECT {_ROW} FROM positions)
 SELECT t.match_id, t.track_id, t.frame, min_by(k.frame, struct_pack(d := abs(k.frame - t.frame), f := k.frame)) AS near_frame, round(min_by(k.x, struct_pack(d := abs(k.frame - t.frame), f := k.frame)), 9) AS x
 FROM targets t LEFT JOIN kept k ON k.match_id = t.match_id AND k.track_id = t.track_id GROUP BY ALL""",
 )
 def nearest_frame(spark, sf_dir):
     p = positions(spark, sf_dir)
-    return rounded(S.nearest(p.where("conf >= 0.6"), p.where("frame % 7 = 3").select("match_id", "track_id", "frame"), "x"))
+    return rounded(S.nearest(p.where("conf >= 0.6"), p.select("match_id", "track_id", "frame"), "x"))
 
 
 @query(

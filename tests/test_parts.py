@@ -52,7 +52,7 @@ def test_joint_fit_keeps_a_good_lens():
 def test_camera_place_and_tiles(spark):
     x, z = GROUND.camera()
     assert abs(x) < 1e-6 and abs(z + 8.0) < 1e-6
-    tiles = plan_tiles(spark)
+    tiles = [r.asDict() for r in plan_tiles(spark).orderBy("tile").collect()]
     assert {t["out_h"] for t in tiles} == {960, 720} and all(t["vfov"] <= 88 for t in tiles)
     assert -2.0 <= G.synthetic_ground().fixed_pitch() <= 10.0
 

@@ -3,8 +3,10 @@
 Base counts come first (see `base_counts`). A text that passes the base rules is kept when
 the words on lines that Viterbi decoding marks as content are at least `CONTENT_SHARE` of
 its words. The CRF has two states, real-valued line features, transition weights and start
-weights; it is trained on the driver from at most `TRAIN_ROWS` labelled documents, whose
-document label stands for each of their lines. With no labelled row (or one class only)
+weights; it is trained on the driver from at most `TRAIN_ROWS` labelled documents, cut to
+chains of `RUN` lines: their label stands for each of their lines, and good documents come
+once more framed by lines of bad ones (`composed`), so that chains change state. With no
+labelled row (or one class only)
 all lines count as content.
 
 Null text: as empty (no words, base_failed). Very long texts are read whole. Repeated rows
@@ -28,6 +30,7 @@ TRAIN_ROWS = 1000
 CONTENT_SHARE = 0.5
 MIN_WORDS = 20
 WINDOW = 8
+RUN, EDGE = 64, 4
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _FOLLOW = bytes(range(0x80, 0xC0))
@@ -119,30 +122,28 @@ class LineCrf:
         k = 2 * N_FEATURES
         return theta[:k].reshape(N_FEATURES, 2), theta[k : k + 4].reshape(2, 2), theta[k + 4 :]
 
-    def fit(self, texts: list[tuple[np.ndarray, int]], rounds: int = 80, ridge: float = 1e-3) -> LineCrf:
-        """Gradient ascent (Adam) on the likelihood of all chains at once, padded to runs of 64 lines."""
-        runs = [(x[i : i + 64], y) for x, y in texts for i in range(0, len(x), 64)]
-        if len({y for _, y in runs}) < 2:
+    def fit(self, chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, ridge: float = 1e-3) -> LineCrf:
+        """Gradient ascent (Adam) on the likelihood of all chains (features and states of their lines) at once, cut to runs of `RUN` lines and padded."""
+        runs = [(x[i : i + RUN], y[i : i + RUN]) for x, y in chains for i in range(0, len(x), RUN)]
+        share = Counter(int(y[0]) for _, y in runs)
+        if len({int(s) for _, y in runs for s in y}) < 2:
             return self
-        share = Counter(y for _, y in runs)
-        weight = np.array([len(runs) / (2 * share[y]) for _, y in runs])
+        weight = np.array([1 / share[int(y[0])] for _, y in runs])
         weight /= weight.sum()
         size = np.array([len(x) for x, _ in runs])
-        X = np.zeros((len(runs), size.max(), N_FEATURES))
-        for i, (x, _) in enumerate(runs):
+        X, gold = np.zeros((len(runs), size.max(), N_FEATURES)), np.zeros((len(runs), size.max(), 2))
+        for i, (x, y) in enumerate(runs):
             X[i, : len(x)] = x
-        Y = np.array([y for _, y in runs])
+            gold[i, np.arange(len(y)), y] = 1
         live = np.arange(X.shape[1])[None, :] < size[:, None]
-        gold = np.zeros((*live.shape, 2))
-        gold[np.arange(len(runs)), :, Y] = live
         m = v = np.zeros_like(self.theta)
         for step in range(1, rounds + 1):
-            g = self._gradient(X, gold, live, weight, Y, size) - ridge * self.theta
+            g = self._gradient(X, gold, live, weight) - ridge * self.theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             self.theta = self.theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         return self
 
-    def _gradient(self, X, gold, live, weight, Y, size) -> np.ndarray:
+    def _gradient(self, X, gold, live, weight) -> np.ndarray:
         W, A, start = self._parts(self.theta)
         E = X @ W
         B, T, _ = E.shape
@@ -161,9 +162,7 @@ class LineCrf:
             beta[:, t] = np.where(live[:, t + 1, None], back, 0)
         p = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
         gW = np.einsum("btf,bts,b->fs", X, gold - p, weight)
-        gA = -pair
-        for s in (0, 1):
-            gA[s, s] += (weight * (Y == s) * (size - 1)).sum()
+        gA = np.einsum("bti,btj,b->ij", gold[:, :-1], gold[:, 1:], weight) - pair
         gs = ((gold - p)[:, 0] * weight[:, None]).sum(0)
         return np.concatenate([gW.ravel(), gA.ravel(), gs])
 
@@ -184,9 +183,23 @@ class LineCrf:
         return out[::-1]
 
 
+def composed(rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Chains to learn from: each document with its label on its lines, and each good one once more within lines of a bad one.
+
+    Labels are of documents, so these chains show where content begins and ends.
+    """
+    chains = [(x, np.full(len(x), y)) for x, y in rows]
+    bad = [x for x, y in rows if not y]
+    good = [x for x, y in rows if y] if bad else []
+    for i, x in enumerate(good):
+        before, after = bad[i % len(bad)][: 1 + i % EDGE], bad[(i + 1) % len(bad)][: 1 + i // EDGE % EDGE]
+        chains.append((np.concatenate([before, x, after]), np.repeat([0, 1, 0], [len(before), len(x), len(after)])))
+    return chains
+
+
 def train(docs: DataFrame, labels: DataFrame) -> LineCrf:
     rows = [(line_features([x for x in t.split(b"\n") if x.strip()]), y) for t, y in labelled_sample(docs, labels, "quality", TRAIN_ROWS)]
-    return LineCrf().fit([(x, y) for x, y in rows if len(x)])
+    return LineCrf().fit(composed([(x, y) for x, y in rows if len(x)]))
 
 
 def content_share(crf: LineCrf, text: bytes) -> tuple[int, int]:

@@ -84,6 +84,20 @@ def test_quality_verdicts(spark):
     assert quality.content_share(untrained, b"a b\nc") == (3, 2)
 
 
+def test_quality_marks_lines():
+    """Menu lines around prose are boilerplate, the prose is content, and only its words count."""
+    r, words = random.Random(2), "the sea was calm and we went home over long green fields under open skies".split()
+    prose = lambda: " ".join(r.choices(words, k=30)).capitalize() + ", and " + " ".join(r.choices(words, k=9)) + "."
+    junk = lambda: r.choice(["Home | About | Contact", ">> Next <<", "buy buy buy buy $$ ***", "Cookies & Terms | Login"])
+    line = quality.line_features
+    rows = [(line([prose().encode() for _ in range(4)]), 1) for _ in range(60)] + [(line([junk().encode() for _ in range(5)]), 0) for _ in range(60)]
+    crf = quality.LineCrf().fit(quality.composed(rows))
+    page = [junk(), junk(), prose(), prose(), prose(), junk()]
+    assert crf.decode(line([x.encode() for x in page])) == [0, 0, 1, 1, 1, 0]
+    assert quality.clean_lines(crf, "\n".join(page)) == "\n".join(page[2:5])
+    assert quality.content_share(crf, "\n".join(page).encode()) == (sum(len(x.split()) for x in page[2:5]), 3)
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(0)
     crf = quality.LineCrf(r.standard_normal(2 * quality.N_FEATURES + 6))
@@ -102,11 +116,12 @@ def test_crf_gradient():
     r = np.random.default_rng(1)
     crf = quality.LineCrf(r.standard_normal(2 * quality.N_FEATURES + 6) * 0.3)
     X = r.standard_normal((3, 4, quality.N_FEATURES))
-    size, Y = np.array([4, 2, 1]), np.array([0, 1, 1])
+    size, paths_ = np.array([4, 2, 1]), [(0, 1, 1, 0), (1, 0), (1,)]
     live = np.arange(4)[None] < size[:, None]
     X *= live[..., None]
     gold = np.zeros((3, 4, 2))
-    gold[np.arange(3), :, Y] = live
+    for b, path in enumerate(paths_):
+        gold[b, np.arange(len(path)), path] = 1
     w = np.array([0.2, 0.5, 0.3])
 
     def loss(theta):
@@ -117,10 +132,10 @@ def test_crf_gradient():
                 return start[p[0]] + sum((X[b, i] @ W)[s] for i, s in enumerate(p)) + sum(A[i, j] for i, j in zip(p, p[1:]))
 
             paths = [tuple(map(int, f"{k:0{size[b]}b}")) for k in range(2 ** size[b])]
-            out += w[b] * (score((Y[b],) * size[b]) - np.logaddexp.reduce([score(p) for p in paths]))
+            out += w[b] * (score(paths_[b]) - np.logaddexp.reduce([score(p) for p in paths]))
         return out
 
-    g = crf._gradient(X, gold, live, w, Y, size)
+    g = crf._gradient(X, gold, live, w)
     for i in range(len(g)):
         e = np.zeros_like(crf.theta)
         e[i] = 1e-5
@@ -207,6 +222,17 @@ def test_extraction(spark):
         a = re.sub(r"<[^>]+>", "", re.sub(r"<br>|</?(p|h1|div)>", " ", a))
         hit += out.loc[p.page_id].text == " ".join(html.unescape(a).split())
     assert hit >= 0.96 * len(out) and (out.n_chars == out.text.str.len()).all()
+    for page, want in {
+        "<p>a<noscript><p>b<p>c": ["a", "b", "c"], "<p>x<object><p>y</p>": ["x", "y"], "<head><title>t</title><body><p>hey</body>": ["hey"],
+        "<p title=it's>hello</p>": ["hello"], "a < b and c > d <p>e": ["a < b and c > d", "e"], "<svg/>a<svg><title>q</title></svg>b": ["a b"],
+    }.items():
+        assert [b[1] for b in extraction.blocks(page)] == want, page
+    import time
+
+    for page in ("<title " * 8000, "<p a='\"' b=\"'" * 5000, "<" * 100_000, "<div>" * 20_000 + "x", "</" * 30_000, "<svg>" * 20_000):
+        began = time.perf_counter()
+        extraction.blocks(page)
+        assert time.perf_counter() - began < 3
     odd = page_rows(spark, ["u"] * 4, [None, "", "<p>a<p>", "<div>" * 3000 + "x &amp; y"])
     assert extraction.extract(odd).count() == 4 and extraction.extract(odd.limit(0)).count() == 0
     assert [b[1] for b in extraction.blocks("<head><title>t</title></head><p>a <b>b</b>c<br>d<script>x</script><!-- y --><li>e")] == ["a bc d", "e"]

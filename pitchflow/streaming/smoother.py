@@ -49,6 +49,8 @@ def folder(df: DataFrame, name: str) -> str:
     """A fresh folder under the session's shared one."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         import tempfile
 

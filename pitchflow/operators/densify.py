@@ -90,6 +90,11 @@ def emitted(hits: DataFrame, rules: TrackRules) -> DataFrame:
     return out
 
 
+def phantom_counts(frames: DataFrame, hits: DataFrame, rules: TrackRules) -> DataFrame:
+    """n_phantom: how many frames each match has suppressed, matches without any left out."""
+    return phantoms(frames, hits, rules).groupBy("match_id").agg(F.count("*").alias("n_phantom"))
+
+
 def emit_stats(hits: DataFrame, rules: TrackRules) -> DataFrame:
     """Counts of tracks: history, short, stationary, emitted."""
     t = spread(hits, list(KEYS))

@@ -16,6 +16,11 @@ def in_field(x: Column, z: Column, field: Field, margin: float = 0.0, near: floa
     return (F.abs(x) <= field.length / 2 + e) & (z >= -n) & (z <= field.width + f)
 
 
+def of_class(detections: DataFrame, column: str, wanted: int = 0) -> DataFrame:
+    """The detections of one class of the detector; those without a class go."""
+    return detections.where(F.col(column) == wanted)
+
+
 def plausible(x: Column, z: Column, field: Field) -> Column:
     ok = (z >= -12.0) & (z <= field.width + 15.0) & (F.abs(x) <= field.length / 2 + 25.0)
     return F.coalesce(ok & ~F.isnan(x) & ~F.isnan(z), F.lit(False))

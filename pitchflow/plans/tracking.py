@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..operators import densify as D
+from ..operators import features as P
 from ..operators import fusion, tracker
 from ..schema import TrackRules
 from .bindings import DETECTIONS, HITS, detections, hits, rounded, table
@@ -111,16 +112,22 @@ def emit_stats(spark, sf_dir):
 _TILED = f"{HITS}, tiled AS (SELECT *, CAST(tile % 2 + 1 AS BIGINT) AS tiles FROM hits)"
 
 
-@query(
-    "phantom_frames",
-    sql=f"""WITH {_TILED}, near AS (SELECT f.match_id, f.track_id, f.frame, h.x, h.z, h.tiles, quantile_cont(h.x, 0.5) OVER g AS mx, quantile_cont(h.z, 0.5) OVER g AS mz FROM tiled f JOIN tiled h ON h.match_id = f.match_id AND h.track_id = f.track_id AND h.frame BETWEEN f.frame - 24 AND f.frame + 24 WINDOW g AS (PARTITION BY f.match_id, f.track_id, f.frame))
-SELECT match_id, track_id, frame, round(quantile_cont(sqrt((x - mx) ** 2 + (z - mz) ** 2), 0.5), 6) AS near_spread FROM near GROUP BY ALL HAVING count(*) >= 2 AND max(tiles) BETWEEN 1 AND 1 AND quantile_cont(sqrt((x - mx) ** 2 + (z - mz) ** 2), 0.5) < 12""",
-)
+_PHANTOMS = f"""WITH {_TILED}, near AS (SELECT f.match_id, f.track_id, f.frame, h.x, h.z, h.tiles, quantile_cont(h.x, 0.5) OVER g AS mx, quantile_cont(h.z, 0.5) OVER g AS mz FROM tiled f JOIN tiled h ON h.match_id = f.match_id AND h.track_id = f.track_id AND h.frame BETWEEN f.frame - 24 AND f.frame + 24 WINDOW g AS (PARTITION BY f.match_id, f.track_id, f.frame))
+SELECT match_id, track_id, frame, round(quantile_cont(sqrt((x - mx) ** 2 + (z - mz) ** 2), 0.5), 6) AS near_spread FROM near GROUP BY ALL HAVING count(*) >= 2 AND max(tiles) BETWEEN 1 AND 1 AND quantile_cont(sqrt((x - mx) ** 2 + (z - mz) ** 2), 0.5) < 12"""
+
+
+@query("phantom_frames", sql=_PHANTOMS)
 def phantom_frames(spark, sf_dir):
     h = hits(spark, sf_dir).withColumn("tiles", (F.col("tile") % 2 + 1).cast("long"))
     return rounded(D.phantoms(h.select("match_id", "track_id", "frame"), h, HOURLY), 6)
 
 
+@query("phantom_counts", sql=f"SELECT match_id, count(*) AS n_phantom FROM ({_PHANTOMS}) GROUP BY match_id")
+def phantom_counts(spark, sf_dir):
+    h = hits(spark, sf_dir).withColumn("tiles", (F.col("tile") % 2 + 1).cast("long"))
+    return D.phantom_counts(h.select("match_id", "track_id", "frame"), h, HOURLY)
+
+
 @query(
     "hits_around",
     sql=f"WITH {HITS} SELECT match_id, track_id, frame, count(*) OVER w AS n, round(max(conf) OVER w, 9) AS best FROM hits WINDOW w AS (PARTITION BY match_id, track_id ORDER BY frame RANGE BETWEEN 24 PRECEDING AND 24 FOLLOWING)",
@@ -136,6 +143,12 @@ def min_hit_tracks(spark, sf_dir):
     return D.long_enough(hits(spark, sf_dir), HOURLY).groupBy("match_id", "track_id").agg(F.count("*").alias("n"))
 
 
+@query("wanted_detections", sql=f"WITH {DETECTIONS} SELECT match_id, frame, det_id FROM detections WHERE tile = 0")
+def wanted_detections(spark, sf_dir):
+    """The tile stands for the detector's class, of which the table has none."""
+    return P.of_class(detections(spark, sf_dir), "tile").select("match_id", "frame", "det_id")
+
+
 @query("detections_per_step", sql=f"WITH {DETECTIONS} SELECT match_id, frame, tile, count(*) AS n, round(max(conf), 9) AS best FROM detections GROUP BY ALL")
 def detections_per_step(spark, sf_dir):
     return rounded(detections(spark, sf_dir).groupBy("match_id", "frame", "tile").agg(F.count("*").alias("n"), F.max("conf").alias("best")))

@@ -196,9 +196,19 @@ def plan_tiles(spark, ground: G.Ground = GROUND, tile_w: int = 1920, tile_h: int
     return views.select(tile.alias("tile"), yaw.alias("yaw"), (-(F.col("b.low") + F.col("b.high")) / 2).alias("pitch"), "vfov", F.lit(tile_w).alias("out_w"), F.col("b.out_h").alias("out_h"))
 
 
-@query("tile_plan")
+@query(
+    "tile_plan",
+    sql=f"""WITH grid AS (SELECT {-FIELD.length / 2 - 1}::DOUBLE + i * {(FIELD.length + 2) / 69!r}::DOUBLE AS x, -1.5::DOUBLE + j * {(FIELD.width + 3) / 27!r}::DOUBLE AS z FROM range(70) a(i), range(28) b(j)),
+raw AS (SELECT {', '.join(f'{e} AS q{i}' for i, e in enumerate(_mul(_H, ('x', 'z', '1.0'))))} FROM grid),
+seen AS (SELECT min(degrees(atan2(q0, q2))) - 6 AS west, max(degrees(atan2(q0, q2))) + 6 AS east, min(degrees(asin(q1 / sqrt(q0 * q0 + q1 * q1 + q2 * q2)))) AS foot, max(degrees(asin(q1 / sqrt(q0 * q0 + q1 * q1 + q2 * q2)))) AS top FROM raw),
+bands AS (SELECT west, east, 0 AS band, foot - 20 AS low, greatest((foot + top) / 2 + 8, foot + least(greatest(0.85 * abs(foot), 14), 38)) AS high, 960 AS out_h FROM seen UNION ALL SELECT west, east, 1, (foot + top) / 2 - 8, top + 6, 720 FROM seen),
+wide AS (SELECT *, least(high - low, 88) AS vfov, least(high - low, 88) * 1920 / out_h AS hfov FROM bands),
+many AS (SELECT *, CAST(greatest(1, ceil((east - west) / (hfov * 0.85))) AS INT) AS n FROM wide),
+views AS (SELECT *, unnest(range(n)) AS k FROM many)
+SELECT CAST(row_number() OVER (ORDER BY band, k) - 1 AS INT) AS tile, round((west + east) / 2 + (CASE WHEN n > 1 THEN CAST(k AS DOUBLE) / greatest(n - 1, 1) ELSE 0.5 END - 0.5) * (east - west - hfov), 6) + 0.0 AS yaw, round(-(low + high) / 2, 6) AS pitch, round(vfov, 6) AS vfov, 1920 AS out_w, out_h FROM views""",
+)
 def tile_plan(spark, sf_dir):
-    return rounded(plan_tiles(spark), 6)
+    return rounded(plan_tiles(spark), 6).withColumn("yaw", F.col("yaw") + 0.0)  # no negative zero
 
 
 @query("box_to_ground")

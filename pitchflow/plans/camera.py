@@ -24,7 +24,47 @@ def _frames(p):
     return p.groupBy("match_id").agg(F.explode(F.sequence(F.min("frame"), F.max("frame"))).alias("frame"))
 
 
-@query("dropout_hold")
+def _spring(name: str, axis: C.Axis) -> str:
+    """The next speed of a spring at `name`_p with speed `name`_v towards `name`_t."""
+    rate, gap = f"{2 / max(axis.smooth, 1e-3)!r}::DOUBLE", f"({name}_t - {name}_p)"
+    ease = f"CASE WHEN abs({gap}) < {axis.deadzone!r}::DOUBLE THEN power(abs({gap}) / {axis.deadzone!r}::DOUBLE, 2) ELSE 1 END" if axis.deadzone > 0 else "1"
+    force = f"greatest(least({rate} * {rate} * {gap} * {ease} - 2 * {rate} * {name}_v, {axis.a_max!r}::DOUBLE), -{axis.a_max!r}::DOUBLE)"
+    return f"greatest(least({name}_v + {RULES.dt!r}::DOUBLE * {force}, {axis.v_max!r}::DOUBLE), -{axis.v_max!r}::DOUBLE)"
+
+
+def _springs(rows: str, into: str, names: tuple[str, ...]) -> str:
+    """A recursion over `rows` (match_id, frame, i and goals `name`_t) that moves one spring a name."""
+    ax = C.axes(RULES)
+    cols = lambda f: ", ".join(f(n) for n in names)
+    return f"""{into} AS (SELECT match_id, frame, i, {cols(lambda n: f"{n}_t AS {n}_p, 0.0::DOUBLE AS {n}_v")} FROM {rows} WHERE i = 1
+ UNION ALL SELECT match_id, frame, i, {cols(lambda n: f"{n}_p + {RULES.dt!r}::DOUBLE * {n}_n, {n}_n")} FROM (SELECT match_id, frame, i, {cols(lambda n: f"{n}_p, {_spring(n, ax[n])} AS {n}_n")}
+  FROM (SELECT n.match_id, n.frame, n.i, {cols(lambda n: f"n.{n}_t, s.{n}_p, s.{n}_v")} FROM {into} s JOIN {rows} n ON n.match_id = s.match_id AND n.i = s.i + 1)))"""
+
+
+_LIMIT = max(0, round(RULES.dropout_hold_s / RULES.dt))
+_HELD = f"""{_EXT}, seen AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame) AS i FROM ext),
+held AS (SELECT match_id, frame, yaw, hfov, i, true AS taken, hfov AS ref, CAST(NULL AS BIGINT) AS since FROM seen WHERE i = 1
+ UNION ALL SELECT match_id, frame, yaw, hfov, i, NOT (low AND frame - begun < {_LIMIT}), CASE WHEN low AND frame - begun < {_LIMIT} THEN ref ELSE hfov END, CASE WHEN low AND frame - begun < {_LIMIT} THEN begun END
+  FROM (SELECT *, CASE WHEN low THEN coalesce(since, frame) END AS begun FROM (SELECT n.match_id, n.frame, n.yaw, n.hfov, n.i, s.ref, s.since, n.hfov < {RULES.dropout_frac!r}::DOUBLE * s.ref AS low FROM held s JOIN seen n ON n.match_id = s.match_id AND n.i = s.i + 1)))"""
+_AHEAD = max(1, round(RULES.lookahead_s / RULES.dt))
+_D_RAW = f"""CASE WHEN room <= 0 THEN {RULES.d_cap!r}::DOUBLE WHEN t * c >= s THEN 0 WHEN t - s <= 1e-9 THEN {RULES.d_cap!r}::DOUBLE ELSE least({RULES.d_cap!r}::DOUBLE, greatest(0, (s - t * c) / (t - s))) END"""
+_PATH = f"""WITH RECURSIVE {_HELD},
+span AS (SELECT match_id, unnest(range(min(frame), max(frame) + 1)) AS frame FROM positions GROUP BY match_id),
+full_ AS (SELECT match_id, frame, coalesce(last_value(yaw IGNORE NULLS) OVER b, first_value(yaw IGNORE NULLS) OVER a) AS yaw, coalesce(last_value(hf IGNORE NULLS) OVER b, first_value(hf IGNORE NULLS) OVER a) AS hfov
+ FROM span LEFT JOIN (SELECT match_id, frame, yaw, least(greatest(hfov, {RULES.hfov_min!r}::DOUBLE), {RULES.hfov_max!r}::DOUBLE) AS hf FROM held WHERE taken) USING (match_id, frame)
+ WINDOW b AS (PARTITION BY match_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+goals AS MATERIALIZED (SELECT match_id, frame, row_number() OVER (PARTITION BY match_id ORDER BY frame) AS i, quantile_cont(yaw, 0.5) OVER w AS yaw_t, {GROUND.fixed_pitch()!r}::DOUBLE AS pitch_t, max(hfov) OVER w AS hfov_t FROM full_
+ WINDOW w AS (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND {_AHEAD} FOLLOWING)),
+{_springs("goals", "moved", ("yaw", "pitch", "hfov"))},
+views AS (SELECT match_id, frame, i, yaw_p AS yaw, pitch_p AS pitch, least(greatest(hfov_p, {RULES.hfov_min!r}::DOUBLE), {RULES.hfov_max!r}::DOUBLE) AS hfov FROM moved),
+rooms AS (SELECT *, {RULES.lens.vfov_deg / 2 - RULES.d_safety_deg!r}::DOUBLE - abs(pitch + {RULES.lens.pitch0_deg!r}::DOUBLE) + {RULES.d_black_deg!r}::DOUBLE AS room, {RULES.out_h / RULES.out_w!r}::DOUBLE * sin(radians(hfov) / 2) AS s, cos(radians(hfov) / 2) AS c FROM views),
+wants AS MATERIALIZED (SELECT match_id, frame, i, {_D_RAW} AS d_t FROM (SELECT *, tan(radians(room)) AS t FROM rooms)),
+{_springs("wants", "bent", ("d",))},
+path AS (SELECT v.match_id, v.frame, v.yaw, v.pitch, v.hfov, CASE WHEN least(greatest(d_p, 0), {RULES.d_cap!r}::DOUBLE) < {RULES.d_min!r}::DOUBLE THEN 0 ELSE least(greatest(d_p, 0), {RULES.d_cap!r}::DOUBLE) END AS d FROM views v JOIN bent USING (match_id, i))"""
+_PATH_ROWS = f"{_PATH} SELECT match_id, frame, round(yaw, 4) AS yaw, round(pitch, 4) AS pitch, round(hfov, 4) AS hfov, round(d, 4) AS d FROM path"
+
+
+@query("dropout_hold", sql=f"WITH RECURSIVE {_HELD} SELECT match_id, frame, round(hfov, 6) AS hfov, CAST(taken AS INT) AS taken FROM held")
 def dropout_hold(spark, sf_dir):
     ext = C.extents(positions(spark, sf_dir), GROUND, RULES)
     return rounded(C.hold_dropouts(ext, RULES).select("match_id", "frame", "hfov", F.col("taken").cast("int").alias("taken")), 6)
@@ -80,13 +120,13 @@ def damped_follow(spark, sf_dir):
     return rounded(full.groupBy("match_id").applyInPandas(solve, "match_id long, frame long, yaw double"), 6)
 
 
-@query("camera_path")
+@query("camera_path", sql=_PATH_ROWS)
 def camera_path(spark, sf_dir):
     p = positions(spark, sf_dir)
     return rounded(C.camera_path(p, _frames(p), GROUND, RULES), 4)
 
 
-@query("camera_path_summary")
+@query("camera_path_summary", sql=f"{_PATH} SELECT match_id, {', '.join(f'round(min({c}), 4) AS {c}_min, round(max({c}), 4) AS {c}_max' for c in ('yaw', 'pitch', 'hfov'))}, count(*) FILTER (d > 0) AS d_active, round(avg(d) FILTER (d > 0), 4) AS d_mean FROM path GROUP BY match_id")
 def camera_path_summary(spark, sf_dir):
     p = positions(spark, sf_dir)
     return rounded(C.summary(C.camera_path(p, _frames(p), GROUND, RULES)), 4)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..operators import chunks as C
+from .camera import _PATH_ROWS
 from .bindings import DETECTIONS, HITS, POSITIONS, detections, hits, positions, rounded, table
 
 
@@ -51,7 +52,7 @@ def distinct_ids(spark, sf_dir):
     return detections(spark, sf_dir).groupBy("frame").agg(F.count_distinct("track_id").alias("tracks"), F.count_distinct("tile").alias("tiles"))
 
 
-@query("chunked_camera_path")
+@query("chunked_camera_path", sql=_PATH_ROWS)
 def chunked_camera_path(spark, sf_dir):
     """Targets streamed through the stateful smoother in micro-batches of files; the result is read back."""
     from ..streaming.smoother import replay

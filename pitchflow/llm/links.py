@@ -11,7 +11,9 @@ All masses are whole numbers (a total of `MASS`), each message is rounded down,
 not depend on their order. Columns and SQL functions only.
 
 Null urls and urls without "://" have an empty host and path and match no rule; null html
-has no links. Repeated rows are judged alike and count as pages of their host each.
+has no links. Repeated rows are judged alike and count as pages of their host each. A host
+whose distrust equals its trust is allowed. Very long urls and pages are read whole. Other
+columns are not looked at.
 """
 
 from __future__ import annotations

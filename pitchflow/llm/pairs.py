@@ -7,8 +7,9 @@ bits than its Jaccard allows is ruled out for certain, as is one whose sizes are
 apart. What passes goes on to a check of the sets themselves.
 
 A list is not turned into its pairs. First each node is held against the most copied node
-of each of its lists. Where a list still has several components then, the nodes outside that
-node's component are held against the others in the join itself: only pairs of
+of each of its lists, then, for `TURNS` turns, where a list still has several components,
+against one more by chance. Where it has several even then, the nodes outside the first one's
+component are held against the others in the join itself: only pairs of
 different components that pass the bounds leave it. No list or partner is left out. Lists
 are dealt by key with both sides shuffled, so a long one can be split by Spark.
 """
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import Stored
 from .graph import components
 
+TURNS = 2
 
 
 def bounds(percent: int, words: int) -> Column:
@@ -40,10 +42,18 @@ def spread(feats: DataFrame, words: int, c: str, *more: Column) -> DataFrame:
 
 
 def ends(lists: DataFrame) -> Stored:
-    """key, lo, length of the keys with several nodes; lists: key, node, copies. lo is the node with the most copies."""
+    """key, lo, length of the keys with several nodes; lists: key, node, copies. lo is the node with the most copies.
+
+    Of keys with the very same nodes one is kept: they are told alike by length, lo and the
+    sums of both halves of the nodes' hashes.
+    """
     most = F.call_function("shiftleft", F.least("copies", F.lit(1 << 20)).cast("long"), F.lit(42)) + F.pmod("node", F.lit(1 << 42))
-    found = lists.groupBy("key").agg(F.max_by("node", most).alias("lo"), F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("length"))
-    return Stored(found.where("a < b").select("key", "lo", "length"))
+    digest = F.xxhash64("node")
+    found = lists.groupBy("key").agg(
+        F.max_by("node", most).alias("lo"), F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("length"),
+        F.sum(digest.bitwiseAND(0xFFFFFFFF)).alias("s"), F.sum(F.shiftrightunsigned(digest, 32)).alias("t"),
+    )
+    return Stored(found.where("a < b").groupBy("lo", "length", "s", "t").agg(F.min("key").alias("key")).select("key", "lo", "length"))
 
 
 def members(lists: DataFrame, ends: DataFrame) -> Stored:
@@ -57,11 +67,25 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
     `verify` gives the linking ones of pairs (a, b). `more` are edges known beforehand.
     """
     fit = bounds(percent, words)
-    stars = met.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    first = Stored(stars.join(spread(feats, words, "b"), "b").join(spread(feats, words, "a"), "a").where(fit).select("a", "b"))
-    links = Stored(verify(first.df))
-    first.drop()
-    at = components(links.df if more is None else links.df.unionByName(more))
+
+    def checked(found: DataFrame) -> DataFrame:
+        near = Stored(found.distinct().join(spread(feats, words, "b"), "b").join(spread(feats, words, "a"), "a").where(fit).select("a", "b"))
+        links = Stored(verify(near.df)).df
+        near.drop()
+        return links
+
+    links = checked(met.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    at = components(links if more is None else links.unionByName(more))
+    for turn in range(TURNS):
+        # another node of each list that is still apart, by chance, against those of other components
+        rooted = Stored(met.join(at, "node", "left").select("key", "node", "lo", F.coalesce("root", "node").alias("root")))
+        order = F.xxhash64("node", F.lit(turn))
+        heads = rooted.df.groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("root", order).alias("ra"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        open_ = Stored(rooted.df.join(heads.where("r0 < r1").drop("r0", "r1"), "key"))
+        rooted.drop()
+        met = open_.df.select("key", "node", "lo")
+        links = checked(open_.df.where("root <> ra").select("a", F.col("node").alias("b")))
+        at = components(_edges(at).unionByName(links))
     root = at.select("node", "root")
     home = at.select(F.col("node").alias("lo"), F.col("root").alias("home"))
     known = (
@@ -80,7 +104,8 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
     live.drop()
     late = Stored(verify(rest.df))
     rest.drop()
-    out = components(at.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late.df))
-    links.drop()
-    late.drop()
-    return out
+    return components(_edges(at).unionByName(late.df))
+
+
+def _edges(at: DataFrame) -> DataFrame:
+    return at.select(F.col("root").alias("a"), F.col("node").alias("b"))

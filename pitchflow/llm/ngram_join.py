@@ -186,6 +186,18 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def nameless(docs: DataFrame, n: int) -> DataFrame:
+    """node, text (bytes) of the rows without doc_id, whose texts no id can fetch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for b in batches:
+            rows = [(digest(h), bytes(t)) for h, t in zip(sets_of(b["text"], n, words), b["text"]) if len(h)]
+            yield pd.DataFrame(rows, columns=["node", "text"])
+
+    return docs.where("doc_id is null").select(F.col("text").cast("binary")).mapInPandas(run, "node long, text binary")
+
+
 def verified(both: DataFrame, n: int, percent: int) -> DataFrame:
     """Of a, b, ta, tb (nodes and texts) the pairs that link, by the exact overlap. A text with another set than its node's is passed over."""
 
@@ -255,7 +267,9 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     def verify(met: DataFrame) -> DataFrame:
         ends = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
         where = Stored(ends.join(named, "node").select("node", F.col("least").alias("doc_id")))
-        texts = Stored(docs.join(where.df, "doc_id").select("node", F.col("text").cast("binary").alias("text"))).df
+        held = docs.join(where.df, "doc_id").select("node", F.col("text").cast("binary").alias("text"))
+        lone = nameless(docs, n).join(where.df.where("doc_id is null").select("node"), "node").groupBy("node").agg(F.min("text").alias("text"))
+        texts = Stored(held.unionByName(lone)).df
         one = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias("t" + c))
         return verified(met.join(one("a"), "a").join(one("b"), "b"), n, percent)
 

@@ -10,8 +10,8 @@ A list is not turned into its pairs. First each node is held against the most co
 of each of its lists, then, for `TURNS` turns, where a list still has several components,
 against one more by chance. Where it has several even then, the nodes outside the first one's
 component are held against the others in the join itself: only pairs of
-different components that pass the bounds leave it. No list or partner is left out. Lists
-are dealt by key with both sides shuffled, so a long one can be split by Spark.
+different components that pass the bounds leave it. No list or partner is left out. That join
+has no partitioning of its own, so that adaptive execution can split a long list.
 """
 
 from __future__ import annotations
@@ -99,8 +99,7 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
     a = spread(live.df.where("root <> home"), words, "a", F.col("key"), F.col("root").alias("ra"))
     b = spread(live.df, words, "b", F.col("key"), F.col("root").alias("rb"), F.col("home"))
     other = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("home")) | (F.col("a") < F.col("b")))
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = Stored(a.repartition(parts, "key").join(b.repartition(parts, "key"), "key").where(other & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = Stored(a.join(b.hint("merge"), "key").where(other & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     live.drop()
     late = Stored(verify(rest.df))
     rest.drop()

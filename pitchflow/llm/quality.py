@@ -228,13 +228,16 @@ def judge(docs: DataFrame, crf: LineCrf, passing: bool = False) -> DataFrame:
     With `passing`, the rows of docs that are kept, all columns as they are.
     """
     if passing:
+        own = "_text"
+        while own in docs.columns:
+            own = "_" + own
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column("_text").to_pylist()
-                yield b.drop_columns(["_text"]).filter(pa.array([t is not None and verdict(crf, t)[6] for t in texts], pa.bool_()))
+                texts = b.column(own).to_pylist()
+                yield b.drop_columns([own]).filter(pa.array([t is not None and verdict(crf, t)[6] for t in texts], pa.bool_()))
 
-        return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(keep, docs.schema)
+        return docs.withColumn(own, F.col("text").cast("binary")).mapInArrow(keep, docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

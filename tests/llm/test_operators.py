@@ -30,7 +30,7 @@ def awkward(spark):
     long = "word another thing here " * 20_000
     texts = [None, "", " \n\n ", "one", "a b c d e f", "a b c d e f", long, "x\ty\x0bz\x0c q\r\n\u00a0w", "漢字" * 50, "a b c d e f"]
     ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, 4]
-    d = docs(spark, texts, ids).withColumns({"node": F.lit(1), "root": F.lit(2), "rate": F.lit(1.0), "h": F.lit(1), "term": F.lit(3), "rule": F.lit("r"), "gone": F.lit(9)})
+    d = docs(spark, texts, ids).withColumns({"node": F.lit(1), "root": F.lit(2), "rate": F.lit(1.0), "h": F.lit(1), "term": F.lit(3), "rule": F.lit("r"), "gone": F.lit(9), "_text": F.lit("t"), "key": F.lit("k")})
     return d.unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
 
 
@@ -543,6 +543,28 @@ def test_ngram_join_edges(spark):
     assert len(out) == 11 and out[out.doc_id == 5].component_id.item() == 4
 
 
+def test_ngram_join_light_side(spark, monkeypatch):
+    """Short texts over two words: their lists are long, so subsets are cheaper and find the links."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(r.randint(9, 12)))) for i in range(400)]
+    chosen, real = [], ngram_join.boundary
+    monkeypatch.setattr(ngram_join, "boundary", lambda s, *a: chosen.append((real(s, *a), s.least)) or chosen[-1][0])
+    check_join(spark, rows)
+    assert chosen[0][0] >= chosen[0][1]
+    monkeypatch.setattr(ngram_join, "boundary", lambda s, *a: s.most_light)
+    check_join(spark, rows)
+
+
+def test_ngram_join_over_rows_without_id(spark):
+    """A row without doc_id links its neighbours as any other does."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:50]), " ".join(words[3:53]), " ".join(words[6:56])]
+    ends = slow_join([(1, texts[0]), (3, texts[2])])
+    assert ends[1][1] != ends[3][1]
+    out = ngram_join.linked(docs(spark, texts, [1, None, 3])).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (None, 1), (3, 1)}
+
+
 def test_scheme_lists_every_pair():
     """Any two sets that link share a listed n-gram, and a subset where both are light, whatever the rarity."""
     r = np.random.default_rng(7)

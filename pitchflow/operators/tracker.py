@@ -1,12 +1,11 @@
-"""Multi-object tracking: constant-velocity Kalman filters and optimal assignment, one match a group."""
+"""Multi-object tracking: constant-velocity Kalman filters and optimal assignment, one stretch of a match a group."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..schema import TrackRules
 from .fusion import fused
@@ -48,71 +47,69 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 UNGATED = 1e6
 
 
-@dataclass
-class Track:
-    id: int
-    state: np.ndarray
-    P: np.ndarray
-    hits: int = 0
-    misses: int = 0
-
-
-@dataclass
 class Tracker:
-    """All tracks of one match. `as_dict` and `from_dict` hand the live ones from chunk to chunk."""
-
-    rules: TrackRules
-    tracks: list[Track] = field(default_factory=list)
-    next_id: int = 0
+    """All live tracks of one match, a row each of arrays. `as_dict` and `from_dict` hand them from chunk to chunk."""
 
-    def __post_init__(self) -> None:
-        dt, q, r = self.rules.dt, self.rules.q_accel**2, self.rules.r_pos**2
+    def __init__(self, rules: TrackRules):
+        dt, q, r = rules.dt, rules.q_accel**2, rules.r_pos**2
+        self.rules, self.next_id = rules, 0
         self.F = np.eye(4)
         self.F[0, 2] = self.F[1, 3] = dt
         g = np.array([[dt * dt / 2, 0], [0, dt * dt / 2], [dt, 0], [0, dt]])
         self.Q, self.R = q * g @ g.T, r * np.eye(2)
-        self.P0 = np.diag([r, r, 25.0, 25.0])
-
-    def step(self, points: np.ndarray) -> list[int]:
+        # the first point updates its own filter, which keeps it in place
+        fresh = np.diag([r, r, 25.0, 25.0])
+        self.fresh = fresh - fresh[:, :2] @ np.linalg.inv(fresh[:2, :2] + self.R) @ fresh[:2]
+        self.ids, self.hits, self.misses = (np.zeros(0, np.int64) for _ in range(3))
+        self.state, self.P = np.zeros((0, 4)), np.zeros((0, 4, 4))
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        """Mahalanobis distance of each point from each track's predicted place."""
+        S = self.P[:, :2, :2] + self.R
+        det = S[:, 0, 0] * S[:, 1, 1] - S[:, 0, 1] * S[:, 1, 0]
+        y = points[None] - self.state[:, None, :2]
+        form = S[:, None, 1, 1] * y[..., 0] ** 2 - (S[:, None, 0, 1] + S[:, None, 1, 0]) * y[..., 0] * y[..., 1] + S[:, None, 0, 0] * y[..., 1] ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.sqrt(form / det[:, None])
+
+    def step(self, points: np.ndarray) -> np.ndarray:
         """One detection step over points (n, 2); the track of each point."""
-        for t in self.tracks:
-            t.state, t.P, t.misses = self.F @ t.state, self.F @ t.P @ self.F.T + self.Q, t.misses + 1
-        owner = [-1] * len(points)
-        if self.tracks and len(points):
-            x = np.array([t.state[:2] for t in self.tracks])
-            S = np.array([t.P[:2, :2] for t in self.tracks]) + self.R
-            det = S[:, 0, 0] * S[:, 1, 1] - S[:, 0, 1] * S[:, 1, 0]
-            y = points[None] - x[:, None]
-            form = S[:, None, 1, 1] * y[..., 0] ** 2 - (S[:, None, 0, 1] + S[:, None, 1, 0]) * y[..., 0] * y[..., 1] + S[:, None, 0, 0] * y[..., 1] ** 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = np.sqrt(form / det[:, None])
+        self.state, self.P, self.misses = self.state @ self.F.T, self.F @ self.P @ self.F.T + self.Q, self.misses + 1
+        owner = np.full(len(points), -1, np.int64)
+        if len(self.ids) and len(points):
+            d = self.distances(points)
             cost = np.where(d <= self.rules.gate, d, UNGATED)  # false for nan
-            for i, j in assign(cost):
-                if cost[i, j] < UNGATED:
-                    t = self.tracks[i]
-                    K = t.P[:, :2] @ np.linalg.inv(t.P[:2, :2] + self.R)
-                    t.state = t.state + K @ (points[j] - t.state[:2])
-                    t.P = t.P - K @ t.P[:2]
-                    t.hits, t.misses, owner[j] = t.hits + 1, 0, t.id
-        for j, p in enumerate(points):
-            if owner[j] < 0:
-                fresh = Track(self.next_id, np.array([p[0], p[1], 0.0, 0.0]), self.P0.copy())
-                # the first point updates its own filter, which keeps it in place
-                K = fresh.P[:, :2] @ np.linalg.inv(fresh.P[:2, :2] + self.R)
-                fresh.P, fresh.hits = fresh.P - K @ fresh.P[:2], 1
-                self.tracks.append(fresh)
-                owner[j] = self.next_id
-                self.next_id += 1
-        self.tracks = [t for t in self.tracks if t.misses <= self.rules.max_age]
+            pairs = [(i, j) for i, j in assign(cost) if cost[i, j] < UNGATED]
+            if pairs:
+                i, j = np.array(pairs).T
+                P = self.P[i]
+                K = P[:, :, :2] @ np.linalg.inv(P[:, :2, :2] + self.R)
+                self.state[i] += (K @ (points[j] - self.state[i, :2])[..., None])[..., 0]
+                self.P[i] = P - K @ P[:, :2]
+                self.hits[i] += 1
+                self.misses[i], owner[j] = 0, self.ids[i]
+        new = np.flatnonzero(owner < 0)
+        owner[new] = self.next_id + np.arange(len(new))
+        self.next_id += len(new)
+        live = self.misses <= self.rules.max_age
+        self.ids = np.concatenate([self.ids[live], owner[new]])
+        self.hits = np.concatenate([self.hits[live], np.ones(len(new), np.int64)])
+        self.misses = np.concatenate([self.misses[live], np.zeros(len(new), np.int64)])
+        self.state = np.concatenate([self.state[live], np.hstack([points[new], np.zeros((len(new), 2))])])
+        self.P = np.concatenate([self.P[live], np.repeat(self.fresh[None], len(new), 0)])
         return owner
 
     def as_dict(self) -> dict:
-        return {"next_id": self.next_id, "tracks": [{"id": t.id, "state": t.state.tolist(), "P": t.P.tolist(), "hits": t.hits, "misses": t.misses} for t in self.tracks]}
+        rows = zip(self.ids.tolist(), self.state.tolist(), self.P.tolist(), self.hits.tolist(), self.misses.tolist())
+        return {"next_id": self.next_id, "tracks": [dict(zip(("id", "state", "P", "hits", "misses"), r)) for r in rows]}
 
     @classmethod
     def from_dict(cls, rules: TrackRules, d: dict) -> Tracker:
-        live = [Track(t["id"], np.array(t["state"], float), np.array(t["P"], float), t["hits"], t["misses"]) for t in d["tracks"]]
-        return cls(rules, live, d["next_id"])
+        out, held = cls(rules), d["tracks"]
+        out.next_id = d["next_id"]
+        out.ids, out.hits, out.misses = (np.array([t[c] for t in held], np.int64) for c in ("id", "hits", "misses"))
+        out.state, out.P = np.array([t["state"] for t in held], float).reshape(-1, 4), np.array([t["P"] for t in held], float).reshape(-1, 4, 4)
+        return out
 
 
 HITS = "match_id long, track_id long, frame long, x double, z double, conf double, tiles long"
@@ -121,23 +118,44 @@ HITS = "match_id long, track_id long, frame long, x double, z double, conf doubl
 def follow(pdf: pd.DataFrame, tracker: Tracker, first: int | None = None, last: int | None = None) -> pd.DataFrame:
     """Hits with track_id: one step for each frame from first to last, also where nothing was seen."""
     pdf = pdf.sort_values(["frame", "cluster"], kind="stable")
-    out, by = [], dict(tuple(pdf.groupby("frame", sort=True)))
-    lo = min(by, default=0) if first is None else first
-    hi = max(by, default=-1) if last is None else last
-    for f in range(lo, hi + 1):
-        g = by.get(f)
-        owner = tracker.step(np.zeros((0, 2)) if g is None else g[["x", "z"]].to_numpy(float))
-        if g is not None:
-            out.append(g.assign(track_id=owner))
+    frames, points = pdf["frame"].to_numpy(np.int64), pdf[["x", "z"]].to_numpy(float)
+    some = len(frames) > 0
+    lo = (frames[0] if some else 0) if first is None else first
+    hi = (frames[-1] if some else -1) if last is None else last
+    owner = np.zeros(len(frames), np.int64)
+    ends = np.searchsorted(frames, np.arange(lo, hi + 2)).tolist()
+    for a, b in zip(ends, ends[1:]):
+        owner[a:b] = tracker.step(points[a:b])
+    kept = slice(ends[0], ends[-1])
     columns = [c.split()[0] for c in HITS.split(", ")]
-    return (pd.concat(out) if out else pdf.assign(track_id=0))[columns]
+    return pdf.assign(track_id=owner).iloc[kept][columns]
+
+
+def segments(points: DataFrame, rules: TrackRules) -> DataFrame:
+    """points with `segment`: after more than max_age frames without any point no track of a match lives, so what follows starts anew."""
+    order = Window.partitionBy("match_id").orderBy("frame")
+    cut = F.coalesce(F.col("frame") - F.lag("frame").over(order) > rules.max_age + 1, F.lit(False))
+    return points.withColumn("_cut", cut.cast("long")).withColumn("segment", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
 
 def track(dets: DataFrame, rules: TrackRules) -> DataFrame:
-    """Hits of all matches. A tracker is a recurrence over frames: parallel over matches only."""
+    """Hits of all matches, with the ids that one tracker a match would give.
+
+    A tracker is a recurrence over frames, but it forgets: the stretches of a match between long
+    enough gaps are followed side by side, each with ids from 0, and shifted by the number of
+    tracks that began before them.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return follow(pdf, Tracker(rules))
+        out = follow(pdf, Tracker(rules))
+        return out.assign(segment=pdf["segment"].iloc[0], begins=(~out["track_id"].duplicated()).astype("int64"))
 
     points = fused(dets, rules).select("match_id", "frame", "cluster", "x", "z", "conf", "tiles")
-    return points.groupBy("match_id").applyInPandas(solve, HITS)
+    # by both columns, as a window's partitioning by match alone would hold a match in one task; and in a
+    # stated number of parts, as few bytes are much work here and would be put into one task
+    parts = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = segments(points, rules).repartition(parts, "match_id", "segment")
+    hits = apart.groupBy("match_id", "segment").applyInPandas(solve, HITS + ", segment long, begins long")
+    before = Window.partitionBy("match_id").orderBy("segment").rangeBetween(Window.unboundedPreceding, -1)
+    shifted = hits.withColumn("track_id", F.col("track_id") + F.coalesce(F.sum("begins").over(before), F.lit(0)))
+    return shifted.select(*[c.split()[0] for c in HITS.split(", ")])

@@ -21,29 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _match():
+    """Matches grow in number with the users: 32 in each."""
+    return F.floor(F.col("user_id") / 32)
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense positions: match_id, track_id, frame, x, z, conf, tile."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 8).alias("match_id"), F.col("user_id").alias("track_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"),
+        _match().alias("match_id"), F.col("user_id").alias("track_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"),
         F.expr(_X).alias("x"), F.expr(_Z).alias("z"), F.expr(_CONF).alias("conf"), F.expr(_TILE).alias("tile"),
     )
 
 
-POSITIONS = f"""positions AS (SELECT user_id % 8 AS match_id, user_id AS track_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame,
+POSITIONS = f"""positions AS (SELECT user_id // 32 AS match_id, user_id AS track_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame,
   {_sql(_X)} AS x, {_sql(_Z)} AS z, {_sql(_CONF)} AS conf, {_TILE} AS tile FROM events)"""
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw detections by the hour: match_id (a match for each of eight groups of users), track_id, frame, det_id, x, z, conf, tile, height."""
+    """Raw detections by the hour: match_id (a match for each 32 users), track_id, frame, det_id, x, z, conf, tile, height."""
     hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0) - 1704067200) / 3600).cast("long")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 8).alias("match_id"), F.col("user_id").alias("track_id"), hour.alias("frame"), F.col("event_id").alias("det_id"),
+        _match().alias("match_id"), F.col("user_id").alias("track_id"), hour.alias("frame"), F.col("event_id").alias("det_id"),
         F.expr(_X).alias("x"), F.expr(_Z).alias("z"), F.expr(_CONF).alias("conf"), F.expr(_TILE).alias("tile"), F.col("value").alias("height"),
     )
 
 
-DETECTIONS = f"""detections AS (SELECT user_id % 8 AS match_id, user_id AS track_id, CAST(floor((epoch_us(ts) / 1000000.0::DOUBLE - 1704067200) / 3600) AS BIGINT) AS frame, event_id AS det_id,
+DETECTIONS = f"""detections AS (SELECT user_id // 32 AS match_id, user_id AS track_id, CAST(floor((epoch_us(ts) / 1000000.0::DOUBLE - 1704067200) / 3600) AS BIGINT) AS frame, event_id AS det_id,
   {_sql(_X)} AS x, {_sql(_Z)} AS z, {_sql(_CONF)} AS conf, {_TILE} AS tile, value AS height FROM events)"""
 
 

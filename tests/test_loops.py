@@ -1,7 +1,9 @@
 """Recurrences and rewrites against plain loops."""
 
 import itertools
+import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,7 +11,7 @@ from pitchflow.operators import activity as A
 from pitchflow.operators import camera as C
 from pitchflow.operators import densify as D
 from pitchflow.operators import fusion
-from pitchflow.operators.tracker import Tracker, assign, track
+from pitchflow.operators.tracker import Tracker, assign, segments, track
 from pitchflow.schema import ActivityRules, CameraRules, Field, TrackRules
 
 DT, FIELD = 0.05, Field()
@@ -125,11 +127,109 @@ def test_tracker_hands_on_between_chunks():
     r, rules = np.random.default_rng(2), TrackRules()
     steps = [r.uniform(-20, 20, (r.integers(0, 5), 2)) for _ in range(60)]
     one = Tracker(rules)
-    want = [one.step(p) for p in steps]
+    want = [one.step(p).tolist() for p in steps]
     two = Tracker(rules)
-    got = [two.step(p) for p in steps[:25]]
+    got = [two.step(p).tolist() for p in steps[:25]]
     two = Tracker.from_dict(rules, two.as_dict())
-    assert got + [two.step(p) for p in steps[25:]] == want
+    assert got + [two.step(p).tolist() for p in steps[25:]] == want
+
+
+def slow_tracks(frames, rules):
+    """Whole steps, one track and one frame at a time; the matching by trying all. frames: {frame: [(x, z), ...]}; (frame, place in it) -> id."""
+    dt, live, owner, ids = rules.dt, [], {}, itertools.count()
+    move = np.array([[1, 0, dt, 0], [0, 1, 0, dt], [0, 0, 1, 0], [0, 0, 0, 1.0]])
+    look = np.array([[1.0, 0, 0, 0], [0, 1, 0, 0]])
+    a = rules.q_accel**2
+    noise = np.zeros((4, 4))
+    for k in (0, 1):
+        noise[k, k], noise[k, k + 2], noise[k + 2, k], noise[k + 2, k + 2] = dt**4 / 4 * a, dt**3 / 2 * a, dt**3 / 2 * a, dt * dt * a
+    seen = rules.r_pos**2 * np.eye(2)
+
+    def correct(t, p):
+        gain = t["P"] @ look.T @ np.linalg.inv(look @ t["P"] @ look.T + seen)
+        t["s"] = t["s"] + gain @ (np.array(p) - look @ t["s"])
+        t["P"] = (np.eye(4) - gain @ look) @ t["P"]
+        t["misses"] = 0
+
+    for f in range(min(frames), max(frames) + 1):
+        points = frames.get(f, [])
+        for t in live:
+            t["s"], t["P"], t["misses"] = move @ t["s"], move @ t["P"] @ move.T + noise, t["misses"] + 1
+        cost = np.full((len(live), len(points)), 1e6)
+        for i, t in enumerate(live):
+            for j, p in enumerate(points):
+                y = np.array(p) - look @ t["s"]
+                d = math.sqrt(y @ np.linalg.inv(look @ t["P"] @ look.T + seen) @ y)
+                if d <= rules.gate:
+                    cost[i, j] = d
+        m, n = cost.shape
+        turned = cost if m <= n else cost.T
+        ways = itertools.permutations(range(max(m, n)), min(m, n))
+        best = min(ways, key=lambda w: sum(turned[i, j] for i, j in enumerate(w)))
+        for i, j in enumerate(best):
+            i, j = (i, j) if m <= n else (j, i)
+            if cost[i, j] < 1e6:
+                correct(live[i], points[j])
+                owner[f, j] = live[i]["id"]
+        for j, p in enumerate(points):
+            if (f, j) not in owner:
+                t = {"id": next(ids), "s": np.array([*p, 0, 0], float), "P": np.diag([rules.r_pos**2, rules.r_pos**2, 25.0, 25.0])}
+                correct(t, p)
+                live.append(t)
+                owner[f, j] = t["id"]
+        live = [t for t in live if t["misses"] <= rules.max_age]
+    return owner
+
+
+def lanes(seed, rules):
+    """Detections of four lanes over 160 steps with dropouts, long gaps, and gaps just short of and at max_age."""
+    r, rows, det = random.Random(seed), [], 0
+    for match in (3, 4):
+        x = [r.uniform(-30, 30) for _ in range(4)]
+        silent = set(range(40, 40 + rules.max_age)) | set(range(90, 91 + rules.max_age)) | set(range(130, 150))
+        for f in range(160):
+            x = [v + r.uniform(-1.5, 1.5) for v in x]
+            for lane in range(4):
+                if r.random() < 0.6 and f not in silent:
+                    rows.append((match, f, det, x[lane], 5.0 + 10 * lane + r.uniform(-1.5, 1.5), 0.9, 0, 50.0))
+                    det += 1
+    return rows
+
+
+def test_tracks_equal_whole_steps(spark):
+    rules = TrackRules(fps=10.0, stride=2, coast_s=0.5, q_accel=3.0)
+    for seed in (1, 2):
+        rows = lanes(seed, rules)
+        d = spark.createDataFrame(rows, "match_id long, frame long, det_id long, x double, z double, conf double, tile int, height double")
+        out = track(d, rules).toPandas()
+        assert len(out) == len(rows) and out.groupby("match_id").track_id.nunique().min() > 8
+        for match, g in out.groupby("match_id"):
+            frames = {}
+            for m, f, _, x, z, *_ in rows:
+                if m == match:
+                    frames.setdefault(f, []).append((x, z))
+            place = {(f, round(x, 9), round(z, 9)): (f, j) for f, points in frames.items() for j, (x, z) in enumerate(points)}
+            got = {place[f, round(x, 9), round(z, 9)]: i for f, x, z, i in g[["frame", "x", "z", "track_id"]].itertuples(index=False)}
+            assert got == slow_tracks(frames, rules)
+        points = fusion.fused(d, rules).select("match_id", "frame", "x")
+        assert segments(points, rules).select("match_id", "segment").distinct().count() == 6
+    assert track(d.limit(0), rules).count() == 0
+
+
+def test_streamed_tracks_equal_batch(spark, tmp_path):
+    from pitchflow.streaming.smoother import track_stream
+
+    rules = TrackRules(fps=10.0, stride=1, coast_s=0.5)
+    d = spark.createDataFrame(lanes(5, rules), "match_id long, frame long, det_id long, x double, z double, conf double, tile int, height double")
+    points = fusion.fused(d, rules).select("match_id", "frame", "cluster", "x", "z", "conf", "tiles").cache()
+    for a in (0, 55, 110):
+        points.where(f"frame between {a} and {a + 54}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.02)
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = track_stream(stream, rules).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    key = lambda df: sorted(map(tuple, df.toPandas()[["match_id", "track_id", "frame", "x", "z"]].round(9).itertuples(index=False)))
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(track(d, rules))
 
 
 def test_tracking_finds_two_walkers(spark):

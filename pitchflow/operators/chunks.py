@@ -14,11 +14,14 @@ def plan(spark: SparkSession, t0: float, t1: float, seconds: float = 30.0, befor
     return c.select("cid", "c_t0", "c_t1", F.when(F.col("cid") == 0, F.col("c_t0")).otherwise(F.greatest(F.col("c_t0") - before, F.lit(t0))).alias("p_t0"), F.least(F.col("c_t1") + after, F.lit(t1)).alias("p_t1"))
 
 
-def corrected(base: DataFrame, late: DataFrame) -> DataFrame:
-    """base with rows of late in place of those of the same tracks over late's range of frames; other tracks keep theirs."""
-    span = late.groupBy("match_id").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"))
-    ids = late.select("match_id", "track_id").distinct().join(span, "match_id")
-    cond = [base.match_id == ids.match_id, base.track_id == ids.track_id, base.frame.between(ids._a, ids._b)]
+def corrected(base: DataFrame, late: DataFrame, by: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """base with rows of late in place of those of the same tracks over late's range of frames; other tracks keep theirs.
+
+    The range is that of each value of `by`: of a match, or of a chunk of one.
+    """
+    span = late.groupBy(*by).agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"))
+    ids = late.select(*by, "track_id").distinct().join(span, list(by))
+    cond = [base[c] == ids[c] for c in (*by, "track_id")] + [base.frame.between(ids._a, ids._b)]
     return base.join(ids, cond, "left_anti").unionByName(late)
 
 

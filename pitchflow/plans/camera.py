@@ -94,6 +94,19 @@ def look_ahead(spark, sf_dir):
     return rounded(C.look_ahead(C.fill(frames, kept, ["yaw", "hfov"]), RULES, ("yaw",)).select("match_id", "frame", "yaw_t", "hfov_t"))
 
 
+@query(
+    "delayed_targets",
+    sql=f"WITH {_FILLED} SELECT match_id, frame, round(quantile_cont(yaw, 0.5) OVER w, 9) AS yaw_t, round(quantile_cont(yaw / 2, 0.5) OVER w, 9) AS pitch_t, round(max(hfov) OVER w, 9) AS hfov_t FROM filled WINDOW w AS (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)",
+)
+def delayed_targets(spark, sf_dir):
+    """The look-ahead as a stream: each chunk of 60 frames waits for the one after it. Half the yaw stands for a pitch."""
+    from ..streaming.delay import replayed_targets
+
+    frames, kept = _sparse(spark, sf_dir)
+    full = C.fill(frames, kept, ["yaw", "hfov"]).withColumn("pitch", F.col("yaw") / 2)
+    return rounded(replayed_targets(full, RULES, 60))
+
+
 @query("look_ahead_mean", sql=f"WITH {_FILLED} SELECT match_id, frame, round(avg(yaw) OVER (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING), 9) AS yaw_t FROM filled")
 def look_ahead_mean(spark, sf_dir):
     frames, kept = _sparse(spark, sf_dir)

@@ -61,3 +61,18 @@ def chunked_camera_path(spark, sf_dir):
 
     p = positions(spark, sf_dir)
     return rounded(replay(targets(p, _frames(p), GROUND, RULES), RULES), 4)
+
+
+@query(
+    "streamed_correction",
+    sql=f"""WITH {POSITIONS}, p AS (SELECT match_id, track_id, frame, x, conf, frame // 20 AS chunk FROM positions), late AS (SELECT match_id, track_id, frame, chunk, x + 1 AS x FROM p WHERE conf >= 0.7), span AS (SELECT match_id, chunk, min(frame) AS a, max(frame) AS b FROM late GROUP BY ALL)
+SELECT match_id, track_id, frame, round(x, 9) AS x FROM p WHERE NOT EXISTS (SELECT 1 FROM late l JOIN span s USING (match_id, chunk) WHERE l.match_id = p.match_id AND l.chunk = p.chunk AND l.track_id = p.track_id AND p.frame BETWEEN s.a AND s.b) UNION ALL SELECT match_id, track_id, frame, round(x, 9) FROM late""",
+)
+def streamed_correction(spark, sf_dir):
+    """Late rows come a chunk of 20 frames a micro-batch and replace their tracks' rows there."""
+    from ..sources.shared import stepped
+    from ..streaming.corrections import replayed_corrections
+
+    p = positions(spark, sf_dir).select("match_id", "track_id", "frame", "x", "conf")
+    late = stepped(p.where("conf >= 0.7").withColumn("x", F.col("x") + 1), "chunk", 20).drop("conf")
+    return rounded(replayed_corrections(p.drop("conf"), late, "chunk", 20))

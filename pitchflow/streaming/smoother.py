@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.camera import PATH, smooth_path
 from ..operators.tracker import HITS, Tracker, follow
 from ..schema import CameraRules, TrackRules
+from ..sources.shared import folder, in_order, stepped
 
 TARGETS = "match_id long, frame long, yaw_t double, pitch_t double, hfov_t double"
 
@@ -45,41 +44,16 @@ def track_stream(points: DataFrame, rules: TrackRules) -> DataFrame:
     return points.groupBy("match_id").applyInPandasWithState(step, HITS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def folder(df: DataFrame, name: str) -> str:
-    """A fresh folder under the session's shared one."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="pitchflow-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def played(stream: DataFrame, at: str) -> DataFrame:
+    """Runs a query over what its source holds now and gives what it wrote under `at`."""
+    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
 def replay(targets: DataFrame, rules: CameraRules, chunk: int = 600) -> DataFrame:
-    """Plays a finished table as a stream, one micro-batch a chunk of frames, and gives what was written."""
-    spark, at = targets.sparkSession, folder(targets, "replay")
-    # a file a chunk: the source takes files in the order of their times, one a batch
-    kept = targets.withColumn("chunk", F.floor(F.col("frame") / chunk))
-    kept.write.parquet(f"{at}/all")
-    rows = spark.read.parquet(f"{at}/all")
-    last = rows.agg(F.max("chunk").alias("c")).first().c
-    for c in range((last if last is not None else -1) + 1):
-        rows.where(F.col("chunk") == c).drop("chunk").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    """Plays a finished table of targets as a stream, a micro-batch a chunk of frames, through the smoother."""
+    spark, at = targets.sparkSession, folder(targets.sparkSession, "replay")
+    in_order(stepped(targets, "chunk", chunk), f"{at}/in", "chunk")
     stream = spark.readStream.schema(TARGETS).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    query = (
-        smooth_stream(stream, rules).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(PATH).parquet(f"{at}/out")
-
-
-def batch_sink(path: str):
-    """For foreachBatch: each batch is kept under its id, so that a repeated batch replaces itself."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return write
+    return played(smooth_stream(stream, rules), at)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import Counter, deque
+from collections.abc import Iterator
+from math import hypot
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +72,78 @@ def around(frames: DataFrame, hits: DataFrame, width: int) -> DataFrame:
     return both.withColumn("near", F.collect_list("_h").over(w)).where("_t = 1").select(*KEYS, "frame", "near")
 
 
-def _median(c):
-    """The median of an array of doubles, halfway between the middle two."""
-    s = F.array_sort(c)
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+class SlidingSpread:
+    """Hits of a moving window: x and z in order as hits come and go, their medians, and the median distance from those.
+
+    What is asked is worked out once for each set of hits, however many frames ask.
+    """
+
+    def __init__(self) -> None:
+        self.hits: deque[tuple[int, float, float, int]] = deque()
+        self.xs: list[float] = []
+        self.zs: list[float] = []
+        self.tiles: Counter[int] = Counter()
+        self.known: float | None = None
+
+    def add(self, frame: int, x: float, z: float, tiles: int) -> None:
+        self.hits.append((frame, x, z, tiles))
+        insort(self.xs, x)
+        insort(self.zs, z)
+        self.tiles[tiles] += 1
+        self.known = None
+
+    def drop_before(self, frame: int) -> None:
+        while self.hits and self.hits[0][0] < frame:
+            _, x, z, tiles = self.hits.popleft()
+            del self.xs[bisect_left(self.xs, x)], self.zs[bisect_left(self.zs, z)]
+            self.tiles[tiles] -= 1
+            if not self.tiles[tiles]:
+                del self.tiles[tiles]
+            self.known = None
+
+    @staticmethod
+    def middle(s: list[float]) -> float:
+        return (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+
+    def spread(self) -> float:
+        if self.known is None:
+            mx, mz = self.middle(self.xs), self.middle(self.zs)
+            self.known = self.middle(sorted([hypot(x - mx, z - mz) for _, x, z, _ in self.hits]))
+        return self.known
 
 
 def phantoms(frames: DataFrame, hits: DataFrame, rules: TrackRules) -> DataFrame:
-    """The frames with at least two hits around that few tiles saw and that hardly move; hits: x, z, tiles."""
-    near = around(frames, hits, round(rules.phantom_s * rules.fps)).where(F.size("near") >= 2)
-    near = near.withColumns({"_x": _median(F.transform("near", lambda h: h["hx"])), "_z": _median(F.transform("near", lambda h: h["hz"])), "_k": F.array_max(F.transform("near", lambda h: h["tiles"]))})
-    gap = F.transform("near", lambda h: F.hypot(h["hx"] - F.col("_x"), h["hz"] - F.col("_z")))
-    return near.withColumn("near_spread", _median(gap)).where((F.col("_k") > 0) & (F.col("_k") <= rules.phantom_tiles) & (F.col("near_spread") < rules.phantom_spread)).select(*KEYS, "frame", "near_spread")
+    """The frames with at least two hits around that few tiles saw and that hardly move; hits: x, z, tiles.
+
+    Hits and frames of a track come sorted, a frame once all hits of its window have come, and pass
+    through one sliding window; only the window is held, whatever a track's length.
+    """
+    width = round(rules.phantom_s * rules.fps)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    asked = frames.select(*KEYS, "frame", (F.col("frame") + width).alias("_at"), F.lit(1).alias("_t"), none("double", "x"), none("double", "z"), none("long", "tiles"))
+    seen = hits.select(*KEYS, "frame", F.col("frame").alias("_at"), F.lit(0).alias("_t"), F.col("x").cast("double"), F.col("z").cast("double"), F.col("tiles").cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, window = None, SlidingSpread()
+        for b in batches:
+            out: list[tuple[int, int, int, float]] = []
+            for m, k, f, t, x, z, tiles in zip(*(b.column(c).to_pylist() for c in (*KEYS, "frame", "_t", "x", "z", "tiles"))):
+                if (m, k) != key:
+                    key, window = (m, k), SlidingSpread()
+                if not t:
+                    window.drop_before(f - 2 * width)  # no later frame reaches further back
+                    window.add(f, x, z, tiles)
+                    continue
+                window.drop_before(f - width)
+                if len(window.hits) >= 2 and 0 < max(window.tiles) <= rules.phantom_tiles:
+                    spread = window.spread()
+                    if spread < rules.phantom_spread:
+                        out.append((m, k, f, spread))
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 3 else pa.int64()) for i, c in enumerate(columns)], [*KEYS, "frame", "near_spread"])
+
+    both = seen.unionByName(asked).repartition(*KEYS).sortWithinPartitions(*KEYS, "_at", "_t")
+    return both.mapInArrow(run, "match_id long, track_id long, frame long, near_spread double")
 
 
 def emitted(hits: DataFrame, rules: TrackRules) -> DataFrame:
@@ -91,8 +156,9 @@ def emitted(hits: DataFrame, rules: TrackRules) -> DataFrame:
 
 
 def phantom_counts(frames: DataFrame, hits: DataFrame, rules: TrackRules) -> DataFrame:
-    """n_phantom: how many frames each match has suppressed, matches without any left out."""
-    return phantoms(frames, hits, rules).groupBy("match_id").agg(F.count("*").alias("n_phantom"))
+    """n_phantom: how many frames each match has suppressed, 0 where none."""
+    counts = phantoms(frames, hits, rules).groupBy("match_id").agg(F.count("*").alias("n"))
+    return frames.select("match_id").distinct().join(counts, "match_id", "left").select("match_id", F.coalesce("n", F.lit(0)).alias("n_phantom"))
 
 
 def emit_stats(hits: DataFrame, rules: TrackRules) -> DataFrame:

@@ -122,7 +122,7 @@ def phantom_frames(spark, sf_dir):
     return rounded(D.phantoms(h.select("match_id", "track_id", "frame"), h, HOURLY), 6)
 
 
-@query("phantom_counts", sql=f"SELECT match_id, count(*) AS n_phantom FROM ({_PHANTOMS}) GROUP BY match_id")
+@query("phantom_counts", sql=f"SELECT match_id, count(frame) AS n_phantom FROM (SELECT DISTINCT user_id // 32 AS match_id FROM events) LEFT JOIN ({_PHANTOMS}) USING (match_id) GROUP BY match_id")
 def phantom_counts(spark, sf_dir):
     h = hits(spark, sf_dir).withColumn("tiles", (F.col("tile") % 2 + 1).cast("long"))
     return D.phantom_counts(h.select("match_id", "track_id", "frame"), h, HOURLY)

@@ -287,3 +287,28 @@ def test_streamed_path_equals_batch(spark):
     got = replay(df, rules, chunk=20).toPandas().sort_values(["match_id", "frame"], ignore_index=True)
     want = pd.concat([C.smooth_path(g.sort_values("frame"), rules)[0] for _, g in df.toPandas().groupby("match_id")], ignore_index=True)
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_phantoms_against_a_loop(spark):
+    """Every frame's window read anew; repeated frames, ties, still and moving stretches, several tiles."""
+    r, rules = random.Random(12), TrackRules(fps=1.0, phantom_s=6.0, phantom_spread=2.0, phantom_tiles=1)
+    hits = []
+    for m, t in itertools.product((1, 2), range(5)):
+        x = z = 10.0
+        for f in sorted(r.choices(range(200), k=120)):
+            moving = (f // 30) % 2
+            x, z = (x + r.uniform(-4, 4) * moving, z + r.choice([0.0, 0.5, -0.5]))
+            hits.append((m, t, f, x, z, r.choice([1, 1, 1, 1, 1, 1, 1, 2]) if t else 1))
+    frames = [(m, t, f) for m in (1, 2) for t in range(6) for f in range(-9, 210)]
+    h = spark.createDataFrame(hits, "match_id long, track_id long, frame long, x double, z double, tiles long")
+    got = D.phantoms(spark.createDataFrame(frames, "match_id long, track_id long, frame long"), h, rules).collect()
+    want = {}
+    for m, t, f in frames:
+        near = [q for q in hits if q[:2] == (m, t) and abs(q[2] - f) <= 6]
+        if len(near) >= 2 and max(q[5] for q in near) <= 1:
+            mx, mz = np.median([q[3] for q in near]), np.median([q[4] for q in near])
+            s = float(np.median([math.hypot(q[3] - mx, q[4] - mz) for q in near]))
+            if s < 2.0:
+                want[m, t, f] = round(s, 9)
+    assert {(q.match_id, q.track_id, q.frame): round(q.near_spread, 9) for q in got} == want and len(got) == len(want) > 100
+    assert D.phantoms(h.select("match_id", "track_id", "frame").limit(0), h, rules).count() == 0

@@ -126,9 +126,12 @@ def fuzzy_components(lines: DataFrame) -> DataFrame:
     """node, root over the hashes of lines that are similar to others."""
     signed = signatures(lines)
     keys = signed[0].df.unionByName(signed[1].df).select(F.explode("keys").alias("key"), F.col("h").alias("node"), "copies")
-    ends = pairs.ends(keys)
-    met = pairs.members(keys, ends.df)
-    for x in (ends, *signed):
+    lists = pairs.shared(keys)
+    for x in signed:
+        x.drop()
+    ends = pairs.ends(lists.df)
+    met = pairs.members(lists.df, ends.df)
+    for x in (lists, ends):
         x.drop()
     needed = Stored(met.df.select(F.col("node").alias("h")).distinct())
     texts = Stored(lines.select("h", "line").join(needed.df, "h", "left_semi").dropDuplicates(["h"]))

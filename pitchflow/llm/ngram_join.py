@@ -246,15 +246,21 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     rows = Stored(base.df.select("doc_id", "n_shingles", "node")).df
     sets = base.df.where(F.size("bits") > 0)
     terms = lambda which, rows: rows.select(F.explode(which).alias("key"), "node", F.lit(1).alias("copies"))
-    ends = pairs.ends(terms("listed", sets))
+    listed = pairs.shared(terms("listed", sets))
+    ends = pairs.ends(listed.df)
     light = boundary(scheme, sets, ends.df)
-    heavy = sets.where(F.floor(F.col("n_shingles") * 100 / percent) > light)
-    met = pairs.members(terms("listed", heavy), ends.df)
+    if light < scheme.least:
+        met = pairs.members(listed.df, ends.df)
+    else:
+        heavy = sets.where(F.floor(F.col("n_shingles") * 100 / percent) > light).select("node").distinct()
+        met = pairs.members(listed.df.join(heavy, "node", "left_semi"), ends.df)
+    listed.drop()
     ends.drop()
     if light >= scheme.least:
-        few = terms("enumerated", sets.where(F.col("n_shingles") <= light))
-        ends = pairs.ends(few)
-        more = pairs.members(few, ends.df)
+        few = pairs.shared(terms("enumerated", sets.where(F.col("n_shingles") <= light)))
+        ends = pairs.ends(few.df)
+        more = pairs.members(few.df, ends.df)
+        few.drop()
         ends.drop()
         met = Stored(met.df.unionByName(more.df))
         more.drop()

@@ -41,6 +41,12 @@ def spread(feats: DataFrame, words: int, c: str, *more: Column) -> DataFrame:
     return feats.select(F.col("node").alias(c), F.coalesce("n", F.lit(0).cast("long")).alias("n" + c), *bits, *more)
 
 
+def shared(lists: DataFrame) -> Stored:
+    """The rows of keys with several nodes, once each. Most keys have one: two numbers a key tell, before anything else is shuffled."""
+    several = lists.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    return Stored(lists.join(several, "key", "left_semi").groupBy("key", "node").agg(F.max("copies").alias("copies")))
+
+
 def ends(lists: DataFrame) -> Stored:
     """key, lo, length of the keys with several nodes; lists: key, node, copies. lo is the node with the most copies.
 

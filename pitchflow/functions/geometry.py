@@ -28,6 +28,13 @@ def turn(m: np.ndarray, v: Vec) -> Vec:
     return tuple(sum((F.lit(float(m[i, j])) * v[j] for j in range(1, 3)), F.lit(float(m[i, 0])) * v[0]) for i in range(3))
 
 
+def look(v: Vec, yaw: Column, pitch: Column) -> Vec:
+    """v of a camera that looks along yaw and pitch (columns of degrees) in the world: as `turn` by `rotation(pitch, yaw)`."""
+    a, b = F.radians(pitch), F.radians(yaw)
+    y, z = F.cos(a) * v[1] - F.sin(a) * v[2], F.sin(a) * v[1] + F.cos(a) * v[2]
+    return F.cos(b) * v[0] + F.sin(b) * z, y, F.cos(b) * z - F.sin(b) * v[0]
+
+
 def unit(v: Vec) -> Vec:
     n = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
     return tuple(c / n for c in v)
@@ -154,8 +161,12 @@ def azimuth_elevation(v: Vec) -> tuple[Column, Column]:
     return F.degrees(F.atan2(v[0], v[2])), F.degrees(F.asin(clip(-v[1], -1, 1)))
 
 
-def view_ray(u: Column, v: Column, fov_deg: float, out_w: int, out_h: int, projection: str = "rectilinear", blend: float = 1.0) -> Vec:
+def view_ray(u: Column, v: Column, fov_deg: float | Column, out_w: int, out_h: int, projection: str = "rectilinear", blend: float = 1.0) -> Vec:
     """Unit ray of a view's pixel, offsets from its middle."""
+    if isinstance(fov_deg, Column):
+        if projection != "rectilinear":
+            raise ValueError("a column of widths is for rectilinear views")
+        return unit((u, -v, out_h / 2 / F.tan(F.radians(fov_deg) / 2)))
     half = math.radians(fov_deg) / 2
     if projection == "cylindrical":
         flat, bent = out_w / 2 / math.tan(half), out_w / 2 / half

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def plan(spark: SparkSession, t0: float, t1: float, seconds: float = 30.0, before: float = 0.0, after: float = 0.0) -> DataFrame:
-    """cid, core [c_t0, c_t1) and processed [p_t0, p_t1); the last chunk may be short, the first has nothing before it."""
-    n = max(0, -int(-(t1 - t0) // seconds))
-    c = spark.range(n).select(F.col("id").alias("cid"), (F.lit(t0) + F.col("id") * seconds).alias("c_t0"))
-    c = c.withColumn("c_t1", F.least(F.col("c_t0") + seconds, F.lit(t1)))
-    return c.select("cid", "c_t0", "c_t1", F.when(F.col("cid") == 0, F.col("c_t0")).otherwise(F.greatest(F.col("c_t0") - before, F.lit(t0))).alias("p_t0"), F.least(F.col("c_t1") + after, F.lit(t1)).alias("p_t1"))
+def plan(spans: DataFrame, seconds: float = 30.0, before: float = 0.0, after: float = 0.0) -> DataFrame:
+    """Chunks of each row's span [t0, t1): cid, core [c_t0, c_t1) and processed [p_t0, p_t1); the last may be short, the first has nothing before it."""
+    n = F.greatest(F.lit(0), F.ceil((F.col("t1") - F.col("t0")) / seconds))
+    each = spans.withColumn("cid", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))))
+    each = each.withColumn("c_t0", F.col("t0") + F.col("cid") * seconds).withColumn("c_t1", F.least(F.col("c_t0") + seconds, F.col("t1")))
+    first = F.when(F.col("cid") == 0, F.col("c_t0")).otherwise(F.greatest(F.col("c_t0") - before, F.col("t0")))
+    return each.withColumns({"p_t0": first, "p_t1": F.least(F.col("c_t1") + after, F.col("t1"))}).drop("t0", "t1")
 
 
 def corrected(base: DataFrame, late: DataFrame, by: tuple[str, ...] = ("match_id",)) -> DataFrame:

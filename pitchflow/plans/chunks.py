@@ -10,9 +10,15 @@ from .camera import _PATH_ROWS
 from .bindings import DETECTIONS, HITS, POSITIONS, detections, hits, positions, rounded, table
 
 
-@query("chunk_plan", sql="SELECT cid, 3.0::DOUBLE + 30 * cid AS c_t0, least(33.0::DOUBLE + 30 * cid, 125.0) AS c_t1, CASE WHEN cid = 0 THEN 3.0::DOUBLE ELSE 3.0::DOUBLE + 30 * cid - 2 END AS p_t0, least(33.0::DOUBLE + 30 * cid + 4, 125.0) AS p_t1 FROM range(5) t(cid)")
+@query(
+    "chunk_plan",
+    sql=f"""WITH {DETECTIONS}, span AS (SELECT match_id, min(frame) * 1.0::DOUBLE AS t0, max(frame) + 1.0::DOUBLE AS t1 FROM detections GROUP BY match_id), c AS (SELECT *, unnest(range(CAST(ceil((t1 - t0) / 30) AS BIGINT))) AS cid FROM span)
+SELECT match_id, cid, t0 + 30 * cid AS c_t0, least(t0 + 30 * cid + 30, t1) AS c_t1, CASE WHEN cid = 0 THEN t0 ELSE greatest(t0 + 30 * cid - 2, t0) END AS p_t0, least(least(t0 + 30 * cid + 30, t1) + 4, t1) AS p_t1 FROM c""",
+)
 def chunk_plan(spark, sf_dir):
-    return C.plan(spark, 3.0, 125.0, 30.0, 2.0, 4.0)
+    """Chunks of 30 hours over each match's own range."""
+    d = detections(spark, sf_dir).groupBy("match_id").agg(F.min("frame").cast("double").alias("t0"), (F.max("frame") + 1).cast("double").alias("t1"))
+    return C.plan(d, 30.0, 2.0, 4.0)
 
 
 @query("tumbling_counts", sql="SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

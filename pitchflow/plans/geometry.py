@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..functions import boxes, fitting
 from ..functions import geometry as G
+from ..operators import calibration
 from ..schema import Field, Lens
 from .bindings import POSITIONS, positions, rounded
 
@@ -22,6 +24,15 @@ _I = [repr(float(v)) + "::DOUBLE" for v in np.linalg.inv(GROUND.matrix).ravel()]
 _ROW = ("match_id", "track_id", "frame")
 
 
+_VIEWS = f"{POSITIONS}, views AS (SELECT match_id, frame, (min(x) + max(x)) / 2 AS yaw, max(z) / 10 - 2 AS pitch, 26.0::DOUBLE + least(84.0::DOUBLE, max(x) - min(x)) AS hfov FROM positions GROUP BY match_id, frame)"
+
+
+def _views(spark, sf_dir):
+    """A view a frame: in the middle of its players, as wide as they are apart."""
+    wide = F.lit(26.0) + F.least(F.lit(84.0), F.max("x") - F.min("x"))
+    return positions(spark, sf_dir).groupBy("match_id", "frame").agg(((F.min("x") + F.max("x")) / 2).alias("yaw"), (F.max("z") / 10 - 2).alias("pitch"), wide.alias("hfov"))
+
+
 def _mul(m: list[str], v: tuple[str, str, str]) -> list[str]:
     return [f"({m[3 * i]} * {v[0]} + {m[3 * i + 1]} * {v[1]} + {m[3 * i + 2]} * {v[2]})" for i in range(3)]
 
@@ -110,63 +121,76 @@ def view_pixels(spark, sf_dir):
     return rounded(_rays(spark, sf_dir).select(*_ROW, u.alias("u"), v.alias("v")), 6)
 
 
-def _outline(w: int, h: int, n: int) -> str:
-    return f"""sides AS (SELECT 0 AS side, i, CAST(i AS DOUBLE) * {w - 1} / {n - 1} AS px, 0.0::DOUBLE AS py FROM range({n}) t(i) UNION ALL SELECT 1, i, {w - 1}.0, CAST(i AS DOUBLE) * {h - 1} / {n - 1} FROM range({n}) t(i)
-UNION ALL SELECT 2, i, {w - 1} - CAST(i AS DOUBLE) * {w - 1} / {n - 1}, {h - 1}.0 FROM range({n}) t(i) UNION ALL SELECT 3, i, 0.0, {h - 1} - CAST(i AS DOUBLE) * {h - 1} / {n - 1} FROM range({n}) t(i))"""
+_SIDES = """sides AS (SELECT side, i, CASE side WHEN 0 THEN i / 7.0::DOUBLE * 1919 WHEN 1 THEN 1919.0 WHEN 2 THEN 1919 - i / 7.0::DOUBLE * 1919 ELSE 0.0 END AS px,
+  CASE side WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN i / 7.0::DOUBLE * 1079 WHEN 2 THEN 1079.0 ELSE 1079 - i / 7.0::DOUBLE * 1079 END AS py FROM range(4) a(side), range(8) b(i))"""
 
 
-def outline(spark, w: int, h: int, samples: int = 128):
-    """side, i, px, py along the edge of a frame, clockwise from the top left."""
-    i = F.col("i") / (samples - 1)
-    x, y = i * (w - 1), i * (h - 1)
-    base = spark.range(samples).select(F.col("id").alias("i"), F.explode(F.array(*[F.lit(s) for s in range(4)])).alias("side"))
+def outline(views: DataFrame, w: int, h: int, samples: int = 128) -> DataFrame:
+    """views with side, i, px, py: samples along each edge of a frame, clockwise from the top left, for every row."""
+    each = views.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(4 * samples - 1))))
+    each = each.withColumns({"side": F.floor(F.col("_k") / samples), "i": F.col("_k") % samples})
+    x, y = F.col("i") / (samples - 1) * (w - 1), F.col("i") / (samples - 1) * (h - 1)
     px = F.when(F.col("side") == 0, x).when(F.col("side") == 1, float(w - 1)).when(F.col("side") == 2, (w - 1) - x).otherwise(0.0)
     py = F.when(F.col("side") == 0, 0.0).when(F.col("side") == 1, y).when(F.col("side") == 2, float(h - 1)).otherwise((h - 1) - y)
-    return base.select("side", "i", px.alias("px"), py.alias("py"))
+    return each.withColumns({"px": px, "py": py}).drop("_k")
 
 
-_OV = _mul(_m(G.rotation(4.0, 15.0)), ("v0", "v1", "v2"))
 _OS = _mul(_m(_LR), ("w0", "w1", "w2"))
 
 
 @query(
     "view_outline",
-    sql=f"""WITH {_outline(1920, 1080, 128)}, c AS (SELECT side, i, px - 959.5 AS u, -(py - 539.5) AS v, {_FL!r}::DOUBLE AS f FROM sides),
-r AS (SELECT side, i, u / sqrt(u * u + v * v + f * f) AS v0, v / sqrt(u * u + v * v + f * f) AS v1, f / sqrt(u * u + v * v + f * f) AS v2 FROM c), w AS (SELECT side, i, {_OV[0]} AS w0, {_OV[1]} AS w1, {_OV[2]} AS w2 FROM r),
-ideal AS (SELECT side, i, (atan2({_OS[0]}, {_OS[2]}) / {math.radians(190.0)!r}::DOUBLE + 0.5) * 4607 AS ix, (0.5 - asin(greatest(least({_OS[1]}, 1), -1)) / {math.radians(80.0)!r}::DOUBLE) * 1727 AS iy FROM w),
+    sql=f"""WITH {_VIEWS}, {_SIDES}, c AS (SELECT match_id, frame, side, i, radians(yaw) AS b, radians(pitch) AS a, px - 959.5 AS u, -(py - 539.5) AS v, 540 / tan(radians(hfov) / 2) AS f FROM views, sides),
+r AS (SELECT *, u / sqrt(u * u + v * v + f * f) AS v0, v / sqrt(u * u + v * v + f * f) AS v1, f / sqrt(u * u + v * v + f * f) AS v2 FROM c),
+t AS (SELECT match_id, frame, side, i, b, v0, cos(a) * v1 - sin(a) * v2 AS w1, sin(a) * v1 + cos(a) * v2 AS z FROM r), w AS (SELECT *, cos(b) * v0 + sin(b) * z AS w0, cos(b) * z - sin(b) * v0 AS w2 FROM t),
+ideal AS (SELECT match_id, frame, side, i, (atan2({_OS[0]}, {_OS[2]}) / {math.radians(190.0)!r}::DOUBLE + 0.5) * 4607 AS ix, (0.5 - asin(greatest(least({_OS[1]}, 1), -1)) / {math.radians(80.0)!r}::DOUBLE) * 1727 AS iy FROM w),
 n AS (SELECT *, (ix - {_CX}) / {_N!r}::DOUBLE AS nx, (iy - {_CY}) / {_N!r}::DOUBLE AS ny FROM ideal), k AS (SELECT *, 1 + {LENS.k1}::DOUBLE * (nx * nx + ny * ny) + {LENS.k2}::DOUBLE * (nx * nx + ny * ny) ** 2 AS g FROM n)
-SELECT side, i, round({_CX} + nx * g * {_N!r}::DOUBLE, 6) AS sx, round({_CY} + ny * g * {_N!r}::DOUBLE, 6) AS sy FROM k""",
+SELECT match_id, frame, side, i, round({_CX} + nx * g * {_N!r}::DOUBLE, 5) AS sx, round({_CY} + ny * g * {_N!r}::DOUBLE, 5) AS sy FROM k""",
 )
 def view_outline(spark, sf_dir):
-    o = outline(spark, 1920, 1080)
-    ray = G.turn(G.rotation(4.0, 15.0), G.view_ray(F.col("px") - 959.5, F.col("py") - 539.5, 60.0, 1920, 1080))
+    """Where the edge of each frame's view lies in the source."""
+    o = outline(_views(spark, sf_dir), 1920, 1080, 8)
+    ray = G.look(G.view_ray(F.col("px") - 959.5, F.col("py") - 539.5, F.col("hfov"), 1920, 1080), F.col("yaw"), F.col("pitch"))
     x, y = G.pixel_of(ray, LENS)
-    return rounded(o.select("side", "i", x.alias("sx"), y.alias("sy")), 6)
+    return rounded(o.select("match_id", "frame", "side", F.col("i").cast("long").alias("i"), x.alias("sx"), y.alias("sy")), 5)
 
 
-@query("projection_round_trip", sql=f"WITH {_outline(1280, 720, 32)}, p(projection) AS (VALUES ('cylindrical'), ('panini'), ('rectilinear')) SELECT projection, side, i, round(px, 4) AS u, round(py, 4) AS v FROM sides, p")
+@query("projection_round_trip", sql=f"WITH {POSITIONS}, p(projection) AS (VALUES ('cylindrical'), ('panini'), ('rectilinear')) SELECT projection, match_id, track_id, frame, round((x + 52) * 12.2::DOUBLE, 4) AS u, round((z + 4) * 15.9::DOUBLE, 4) AS v FROM positions, p")
 def projection_round_trip(spark, sf_dir):
-    """Each projection's pixel to ray and back to the pixel; the three projections have fixed rows."""
-    o, out = outline(spark, 1280, 720, 32), None
+    """Each position as a pixel of a view of 1280 by 720, to its ray and back, in each of the three projections."""
+    p, out = positions(spark, sf_dir).select(*_ROW, ((F.col("x") + 52) * 12.2).alias("px"), ((F.col("z") + 4) * 15.9).alias("py")), None
     for name, fov, blend in (("cylindrical", 100.0, 0.6), ("panini", 100.0, 0.8), ("rectilinear", 60.0, 1.0)):
         ray = G.turn(G.rotation(3.0, -20.0), G.view_ray(F.col("px") - 639.5, F.col("py") - 359.5, fov, 1280, 720, name, blend))
-        w = o.select("side", "i", *[c.alias(f"r{k}") for k, c in enumerate(ray)])
+        w = p.select(*_ROW, *[c.alias(f"r{k}") for k, c in enumerate(ray)])
         u, v = G.view_pixel(_v(), -20.0, 3.0, fov, 1280, 720, projection=name, blend=blend)
-        one = w.select(F.lit(name).alias("projection"), "side", "i", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
+        one = w.select(F.lit(name).alias("projection"), *_ROW, (F.round(u, 4) + 0.0).alias("u"), (F.round(v, 4) + 0.0).alias("v"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def boundary(fields: DataFrame, step: float = 1.0) -> DataFrame:
+    """edge, k, x, z around each row's field (length, width), counterclockwise from the near left corner."""
+    hx, w = F.col("length") / 2, F.col("width")
+    zero, one = F.lit(0.0), F.lit(float(step))
+    edge = lambda name, far, x0, dx, z0, dz: F.struct(F.lit(name).alias("edge"), F.floor(far / step).cast("int").alias("n"), x0.alias("x0"), dx.alias("dx"), z0.alias("z0"), dz.alias("dz"))
+    edges = F.array(edge("near", 2 * hx, -hx, one, zero, zero), edge("right", w, hx, zero, zero, one), edge("far", 2 * hx, hx, -one, w, zero), edge("left", w, -hx, zero, w, -one))
+    each = fields.withColumn("_e", F.explode(edges)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_e.n").cast("long"))))
+    return each.withColumns({"edge": F.col("_e.edge"), "x": F.col("_e.x0") + F.col("k") * F.col("_e.dx"), "z": F.col("_e.z0") + F.col("k") * F.col("_e.dz")}).drop("_e")
+
+
+_FIELDS = f"{POSITIONS}, fields AS (SELECT match_id, 2 * ceil(max(abs(x))) AS len, ceil(max(z)) AS wid FROM positions GROUP BY match_id)"
+
+
 @query(
     "field_boundary",
-    sql="""SELECT 'near' AS edge, i AS k, -50.0::DOUBLE + i AS x, 0.0::DOUBLE AS z FROM range(0, 101) t(i) UNION ALL SELECT 'right', i, 50.0, CAST(i AS DOUBLE) FROM range(0, 38) t(i)
-UNION ALL SELECT 'far', i, 50.0 - i, 37.0 FROM range(0, 101) t(i) UNION ALL SELECT 'left', i, -50.0, 37.0 - i FROM range(0, 38) t(i)""",
+    sql=f"""WITH {_FIELDS}, e AS (SELECT match_id, 'near' AS edge, unnest(range(0, CAST(len AS BIGINT) + 1)) AS k, len, wid FROM fields UNION ALL SELECT match_id, 'right', unnest(range(0, CAST(wid AS BIGINT) + 1)), len, wid FROM fields
+UNION ALL SELECT match_id, 'far', unnest(range(0, CAST(len AS BIGINT) + 1)), len, wid FROM fields UNION ALL SELECT match_id, 'left', unnest(range(0, CAST(wid AS BIGINT) + 1)), len, wid FROM fields)
+SELECT match_id, edge, k, CASE edge WHEN 'near' THEN k - len / 2 WHEN 'right' THEN len / 2 WHEN 'far' THEN len / 2 - k ELSE -len / 2 END + 0.0 AS x, CASE edge WHEN 'near' THEN 0.0 WHEN 'right' THEN k WHEN 'far' THEN wid ELSE wid - k END + 0.0::DOUBLE AS z FROM e""",
 )
-def field_boundary(spark, sf_dir, step: float = 1.0):
-    hx, w = FIELD.length / 2, FIELD.width
-    edges = [("near", math.floor(2 * hx / step), -hx, step, 0.0, 0.0), ("right", math.floor(w / step), hx, 0.0, 0.0, step), ("far", math.floor(2 * hx / step), hx, -step, w, 0.0), ("left", math.floor(w / step), -hx, 0.0, w, -step)]
-    e = spark.createDataFrame(edges, "edge string, n int, x0 double, dx double, z0 double, dz double")
-    return e.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n")))).select("edge", F.col("k").cast("long").alias("k"), (F.col("x0") + F.col("k") * F.col("dx")).alias("x"), (F.col("z0") + F.col("k") * F.col("dz")).alias("z"))
+def field_boundary(spark, sf_dir):
+    """The boundary, a metre apart, of a field that holds each match's positions."""
+    fields = positions(spark, sf_dir).groupBy("match_id").agg((2 * F.ceil(F.max(F.abs("x")))).cast("double").alias("length"), F.ceil(F.max("z")).cast("double").alias("width"))
+    return boundary(fields).select("match_id", "edge", "k", (F.col("x") + 0.0).alias("x"), (F.col("z") + 0.0).alias("z"))
 
 
 def plan_tiles(spark, ground: G.Ground = GROUND, tile_w: int = 1920, tile_h: int = 720, near_h: int = 960, overlap: float = 0.15, margin: float = 6.0, down: float = 20.0, rows: int = 2, row_overlap: float = 16.0, far_head: float = 6.0) -> DataFrame:
@@ -196,19 +220,38 @@ def plan_tiles(spark, ground: G.Ground = GROUND, tile_w: int = 1920, tile_h: int
     return views.select(tile.alias("tile"), yaw.alias("yaw"), (-(F.col("b.low") + F.col("b.high")) / 2).alias("pitch"), "vfov", F.lit(tile_w).alias("out_w"), F.col("b.out_h").alias("out_h"))
 
 
+def covering(rays: DataFrame, tiles: list) -> DataFrame:
+    """rays (az, el in degrees) with `tile` and `off`: of a plan's views the one whose middle is nearest among those that hold the ray; nulls where none does.
+
+    A plan has some tens of views, so they are literals.
+    """
+    views = []
+    for t in tiles:
+        off = F.hypot(F.col("az") - t.yaw, F.col("el") - t.pitch)
+        inside = (F.abs(F.col("az") - t.yaw) <= t.vfov * t.out_w / t.out_h / 2) & (F.abs(F.col("el") - t.pitch) <= t.vfov / 2)
+        views.append(F.when(inside, F.struct(F.round(off, 6).alias("off"), F.lit(t.tile).alias("tile"))))
+    return rays.withColumn("_t", F.array_min(F.filter(F.array(*views), lambda v: v.isNotNull()))).withColumns({"tile": F.col("_t.tile"), "off": F.col("_t.off")}).drop("_t")
+
+
 @query(
     "tile_plan",
-    sql=f"""WITH grid AS (SELECT {-FIELD.length / 2 - 1}::DOUBLE + i * {(FIELD.length + 2) / 69!r}::DOUBLE AS x, -1.5::DOUBLE + j * {(FIELD.width + 3) / 27!r}::DOUBLE AS z FROM range(70) a(i), range(28) b(j)),
-raw AS (SELECT {', '.join(f'{e} AS q{i}' for i, e in enumerate(_mul(_H, ('x', 'z', '1.0'))))} FROM grid),
-seen AS (SELECT min(degrees(atan2(q0, q2))) - 6 AS west, max(degrees(atan2(q0, q2))) + 6 AS east, min(degrees(asin(q1 / sqrt(q0 * q0 + q1 * q1 + q2 * q2)))) AS foot, max(degrees(asin(q1 / sqrt(q0 * q0 + q1 * q1 + q2 * q2)))) AS top FROM raw),
+    sql=f"""WITH {_RAYS}, grid AS (SELECT {-FIELD.length / 2 - 1}::DOUBLE + i * {(FIELD.length + 2) / 69!r}::DOUBLE AS x, -1.5::DOUBLE + j * {(FIELD.width + 3) / 27!r}::DOUBLE AS z FROM range(70) a(i), range(28) b(j)),
+graw AS (SELECT {', '.join(f'{e} AS q{i}' for i, e in enumerate(_mul(_H, ('x', 'z', '1.0'))))} FROM grid),
+seen AS (SELECT min(degrees(atan2(q0, q2))) - 6 AS west, max(degrees(atan2(q0, q2))) + 6 AS east, min(degrees(asin(q1 / sqrt(q0 * q0 + q1 * q1 + q2 * q2)))) AS foot, max(degrees(asin(q1 / sqrt(q0 * q0 + q1 * q1 + q2 * q2)))) AS top FROM graw),
 bands AS (SELECT west, east, 0 AS band, foot - 20 AS low, greatest((foot + top) / 2 + 8, foot + least(greatest(0.85 * abs(foot), 14), 38)) AS high, 960 AS out_h FROM seen UNION ALL SELECT west, east, 1, (foot + top) / 2 - 8, top + 6, 720 FROM seen),
 wide AS (SELECT *, least(high - low, 88) AS vfov, least(high - low, 88) * 1920 / out_h AS hfov FROM bands),
 many AS (SELECT *, CAST(greatest(1, ceil((east - west) / (hfov * 0.85))) AS INT) AS n FROM wide),
-views AS (SELECT *, unnest(range(n)) AS k FROM many)
-SELECT CAST(row_number() OVER (ORDER BY band, k) - 1 AS INT) AS tile, round((west + east) / 2 + (CASE WHEN n > 1 THEN CAST(k AS DOUBLE) / greatest(n - 1, 1) ELSE 0.5 END - 0.5) * (east - west - hfov), 6) + 0.0 AS yaw, round(-(low + high) / 2, 6) AS pitch, round(vfov, 6) AS vfov, 1920 AS out_w, out_h FROM views""",
+views AS (SELECT *, unnest(range(n)) AS k FROM many),
+plan AS (SELECT CAST(row_number() OVER (ORDER BY band, k) - 1 AS INT) AS tile, (west + east) / 2 + (CASE WHEN n > 1 THEN CAST(k AS DOUBLE) / greatest(n - 1, 1) ELSE 0.5 END - 0.5) * (east - west - hfov) AS yaw, -(low + high) / 2 AS pitch, vfov, hfov FROM views),
+d AS (SELECT match_id, track_id, frame, degrees(atan2(r0, r2)) AS az, degrees(asin(greatest(least(-r1, 1), -1))) AS el FROM rays),
+met AS (SELECT match_id, track_id, frame, min(struct_pack(o := round(sqrt((az - yaw) ** 2 + (el - pitch) ** 2), 6), t := tile)) AS best FROM d JOIN plan ON abs(az - yaw) <= hfov / 2 AND abs(el - pitch) <= vfov / 2 GROUP BY ALL)
+SELECT match_id, track_id, frame, best.t AS tile, best.o AS off FROM d LEFT JOIN met USING (match_id, track_id, frame)""",
 )
 def tile_plan(spark, sf_dir):
-    return rounded(plan_tiles(spark), 6).withColumn("yaw", F.col("yaw") + 0.0)  # no negative zero
+    """The tile of the plan that sees each position best."""
+    az, el = G.azimuth_elevation(_v())
+    seen = _rays(spark, sf_dir).select(*_ROW, az.alias("az"), el.alias("el"))
+    return covering(seen, plan_tiles(spark).orderBy("tile").collect()).select(*_ROW, "tile", "off")
 
 
 @query("box_to_ground")
@@ -221,22 +264,23 @@ def box_to_ground(spark, sf_dir):
 
 @query(
     "adaptive_d",
-    sql="""WITH s AS (SELECT h, p, 38.0::DOUBLE - abs(p) AS room, 9.0::DOUBLE / 16 * sin(radians(h) / 2) AS s, cos(radians(h) / 2) AS c FROM (SELECT 20.0::DOUBLE + 2 * a AS h, -2.0::DOUBLE + b AS p FROM range(61) x(a), range(13) y(b)))
-SELECT h AS hfov, p AS pitch, round(CASE WHEN room <= 0 THEN 1.5 WHEN tan(radians(room)) * c >= s THEN 0 WHEN tan(radians(room)) - s <= 1e-9 THEN 1.5 ELSE least(1.5, greatest((s - tan(radians(room)) * c) / (tan(radians(room)) - s), 0)) END, 9) AS d FROM s""",
+    sql=f"""WITH {_VIEWS}, s AS (SELECT match_id, frame, 38.0::DOUBLE - abs(pitch) AS room, 9.0::DOUBLE / 16 * sin(radians(hfov) / 2) AS s, cos(radians(hfov) / 2) AS c FROM views)
+SELECT match_id, frame, round(CASE WHEN room <= 0 THEN 1.5 WHEN tan(radians(room)) * c >= s THEN 0 WHEN tan(radians(room)) - s <= 1e-9 THEN 1.5 ELSE least(1.5, greatest((s - tan(radians(room)) * c) / (tan(radians(room)) - s), 0)) END, 9) AS d FROM s""",
 )
 def adaptive_d(spark, sf_dir):
-    grid = spark.range(61 * 13).select((F.lit(20.0) + 2 * (F.col("id") % 61)).alias("hfov"), (F.lit(-2.0) + F.floor(F.col("id") / 61)).alias("pitch"))
+    """The least d of each frame's view."""
     d = F.least(F.lit(1.5), G.least_d(F.col("hfov"), F.col("pitch"), Lens(), 9 / 16))
-    return rounded(grid.select("hfov", "pitch", d.alias("d")))
+    return rounded(_views(spark, sf_dir).select("match_id", "frame", d.alias("d")))
 
 
 @query(
     "required_pad",
-    sql="""SELECT round(max(greatest(degrees(atan(1.5 * 9 / 16 * sin(radians(h) / 2) / (0.5 + cos(radians(h) / 2)))) + abs(p) - 40, 0)) + 2, 9) AS pad_deg FROM (SELECT 20.0::DOUBLE + 2 * a AS h, -2.0::DOUBLE + b AS p FROM range(61) x(a), range(13) y(b))""",
+    sql=f"""WITH {_VIEWS} SELECT match_id, round(max(greatest(degrees(atan(1.5 * 9 / 16 * sin(radians(hfov) / 2) / (0.5 + cos(radians(hfov) / 2)))) + abs(pitch) - 40, 0)) + 2, 9) AS pad_deg FROM views GROUP BY match_id""",
 )
 def required_pad(spark, sf_dir):
-    grid = spark.range(61 * 13).select((F.lit(20.0) + 2 * (F.col("id") % 61)).alias("hfov"), (F.lit(-2.0) + F.floor(F.col("id") / 61)).alias("pitch"))
-    return rounded(grid.agg((F.max(G.overflow(F.col("hfov"), F.col("pitch"), F.lit(0.5), Lens(), 9 / 16)) + 2.0).alias("pad_deg")))
+    """The margin that each match's views need at d = 0.5."""
+    over = G.overflow(F.col("hfov"), F.col("pitch"), F.lit(0.5), Lens(), 9 / 16)
+    return rounded(_views(spark, sf_dir).groupBy("match_id").agg((F.max(over) + 2.0).alias("pad_deg")))
 
 
 @query(
@@ -280,13 +324,41 @@ def synthetic_marks(lens: Lens = LENS, ground: G.Ground = GROUND) -> fitting.Mar
     return fitting.Marks(see(corners), corners, see(np.column_stack([line, np.zeros(10)])), see(np.column_stack([line, np.full(10, w)])))
 
 
+def camera_marks(spark, sf_dir) -> DataFrame:
+    """Marks of a camera a match: the field's corners, and each track's first positions taken to the nearer sideline, as that camera sees them.
+
+    Cameras differ in height, tilt and lens by their match; a position's conf moves its mark by up to a pixel.
+    """
+
+    def see(pdf):
+        m = int(pdf["match_id"].iloc[0])
+        ground = G.synthetic_ground(5.0 + m % 4, 6.0 + m % 5, 1.0 * (m % 3), FIELD)
+        lens = Lens(k1=-0.02 * (m % 5), hfov_deg=188.0 + m % 5)
+        pdf = pdf.sort_values(["frame", "track_id"], kind="stable")
+        side = np.where(np.abs(pdf["z"]) < np.abs(pdf["z"] - FIELD.width), "near", "far")
+        points = np.vstack([_CORNERS, np.column_stack([np.clip(pdf["x"], -45, 45), np.where(side == "near", 0.0, FIELD.width)])])
+        v = np.column_stack([points, np.ones(len(points))]) @ ground.matrix.T
+        px = fitting.np_pixel(v / np.linalg.norm(v, axis=1, keepdims=True), lens)
+        px[4:] += (pdf["conf"].to_numpy() - 0.6)[:, None] * [1.0, -1.0]
+        corner = np.arange(len(points)) < 4
+        return pd.DataFrame({"camera_id": m, "kind": ["corner"] * 4 + list(side), "px": px[:, 0], "py": px[:, 1], "x": np.where(corner, points[:, 0], np.nan), "z": np.where(corner, points[:, 1], np.nan)})
+
+    first = positions(spark, sf_dir).where("frame < 2").select("match_id", "track_id", "frame", "x", "z", "conf")
+    return first.groupBy("match_id").applyInPandas(see, calibration.MARKS)
+
+
+_CORNERS = np.array([[-FIELD.length / 2, 0], [FIELD.length / 2, 0], [FIELD.length / 2, FIELD.width], [-FIELD.length / 2, FIELD.width]])
+
+
 @query("fitted_homography")
 def fitted_homography(spark, sf_dir):
-    """Calibration from marks: entries of the fitted homography scaled to a unit norm, and the residuals."""
-    m = synthetic_marks()
-    H = fitting.fit(m, LENS, FIELD)
-    H = H / np.linalg.norm(H)
-    H = H * np.sign(H[2, 2])
-    rows = [(f"h{i}{j}", float(H[i, j])) for i in range(3) for j in range(3)]
-    rows += [("near_rms", fitting.rms(fitting.to_points(H, fitting.np_direction(m.near, LENS)), 0.0)), ("far_rms", fitting.rms(fitting.to_points(H, fitting.np_direction(m.far, LENS)), FIELD.width)), ("camera_height", fitting.camera_height(H))]
-    return rounded(spark.createDataFrame(rows, "name string, value double"), 6)
+    """Each camera's homography from its marks, the lens as it is."""
+    c = calibration.calibrate(camera_marks(spark, sf_dir), Lens(), FIELD, None)
+    return rounded(c.select("camera_id", "marks", *[F.get("h", i).alias(f"h{i // 3}{i % 3}") for i in range(9)], "near_rms", "far_rms", "height"), 5)
+
+
+@query("calibrated_cameras")
+def calibrated_cameras(spark, sf_dir):
+    """Each camera's homography and six lens terms together."""
+    c = calibration.calibrate(camera_marks(spark, sf_dir), Lens(), FIELD, calibration.TERMS)
+    return rounded(c.select("camera_id", "marks", *calibration.TERMS, "corner_rms", "near_rms", "far_rms", "height"), 4)

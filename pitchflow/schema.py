@@ -127,6 +127,10 @@ class CameraRules:
         return self.stride / self.fps
 
 
+#: How far a calibration may move each lens term, and the drift that weighs as one metre's residual does.
+LENS_BOUNDS = {"k1": (-0.1, 0.3), "k2": (-0.2, 0.2), "pitch0_deg": (-5.0, 5.0), "roll0_deg": (-5.0, 5.0), "hfov_deg": (170.0, 210.0), "vfov_deg": (70.0, 90.0)}
+LENS_DRIFT = {"k1": 0.05, "k2": 0.05, "pitch0_deg": 2.0, "roll0_deg": 2.0, "hfov_deg": 5.0, "vfov_deg": 3.0}
+
 #: Named margins and floors of the framing.
 VIEW_PRESETS = {"default": {"hfov_min": 26.0, "margin_deg": 8.0}, "wide": {"hfov_min": 26.0, "margin_deg": 15.0}}
 #: Named values of the projection's d.

@@ -119,3 +119,17 @@ STAGES = """stages AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITION
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles at a fixed number of decimals, so that engines compare."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_EVENT = "CASE event_type WHEN 'click' THEN 'ok' WHEN 'purchase' THEN 'start' WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'pause' ELSE 'resume' END WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'stop' ELSE 'retry' END ELSE CASE WHEN event_id % 4 = 0 THEN 'skip' ELSE 'start' END END"
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of job events: a user is a job of 6 to 25 stages, in the order of its events."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.row_number().over(order).cast("long").alias("seq"), F.expr(_EVENT).alias("event"), (6 + F.col("user_id") % 20).alias("stages")
+    )
+
+
+JOB_EVENTS = f"""log AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, {_EVENT} AS event, 6 + user_id % 20 AS stages FROM events)"""

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..operators import job_log
 from ..operators import jobs as J
-from .bindings import JOBS, STAGES, jobs, rounded, stages
+from .bindings import JOB_EVENTS, JOBS, STAGES, job_events, jobs, rounded, stages
 
 _MODE = "CASE WHEN mode <> 'auto' THEN mode WHEN seconds >= 120 THEN 'pipeline' ELSE 'sequential' END"
 
@@ -114,3 +115,25 @@ def last_timings(spark, sf_dir):
     """A report: the last five timings of each stage."""
     w = Window.partitionBy("stage").orderBy(F.desc("job_id"), F.desc("stage_pos"))
     return stages(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("stage", "job_id", "stage_pos", "seconds")
+
+
+_HISTORY = f"""RECURSIVE {JOB_EVENTS}, states AS (SELECT job_id, CAST(0 AS BIGINT) AS seq, '' AS event, 'pending' AS status, CAST(0 AS BIGINT) AS closed, CAST(0 AS BIGINT) AS paused, CAST(0 AS BIGINT) AS retries FROM log WHERE seq = 1
+ UNION ALL SELECT l.job_id, l.seq, l.event,
+  CASE WHEN l.event = 'start' AND s.status IN ('pending', 'interrupted') AND s.paused = 0 THEN CASE WHEN s.closed < l.stages THEN 'running' ELSE 'done' END
+   WHEN s.status = 'running' THEN CASE l.event WHEN 'ok' THEN CASE WHEN s.closed + 1 >= l.stages THEN 'done' WHEN s.paused = 1 THEN 'pending' ELSE 'running' END WHEN 'fail' THEN 'failed' WHEN 'stop' THEN 'interrupted' ELSE 'running' END
+   WHEN l.event = 'skip' AND s.closed + 1 = l.stages THEN 'done' WHEN l.event = 'retry' AND s.status IN ('failed', 'interrupted') THEN 'pending' ELSE s.status END,
+  s.closed + CASE WHEN l.event = 'ok' AND s.status = 'running' OR l.event = 'skip' AND s.status <> 'running' AND s.closed < l.stages THEN 1 ELSE 0 END,
+  CASE l.event WHEN 'pause' THEN 1 WHEN 'resume' THEN 0 ELSE s.paused END,
+  s.retries + CASE WHEN l.event = 'retry' AND s.status = 'failed' THEN 1 ELSE 0 END
+ FROM states s JOIN log l ON l.job_id = s.job_id AND l.seq = s.seq + 1)"""
+
+
+@query("job_history", sql=f"WITH {_HISTORY} SELECT * FROM states WHERE seq > 0")
+def job_history(spark, sf_dir):
+    """The state of each job after each of its events."""
+    return job_log.history(job_events(spark, sf_dir))
+
+
+@query("job_latest", sql=f"WITH {_HISTORY} SELECT job_id, seq, status, closed, paused, retries FROM states QUALIFY seq = max(seq) OVER (PARTITION BY job_id)")
+def job_latest(spark, sf_dir):
+    return job_log.latest(job_events(spark, sf_dir))

@@ -137,3 +137,31 @@ def job_history(spark, sf_dir):
 @query("job_latest", sql=f"WITH {_HISTORY} SELECT job_id, seq, status, closed, paused, retries FROM states QUALIFY seq = max(seq) OVER (PARTITION BY job_id)")
 def job_latest(spark, sf_dir):
     return job_log.latest(job_events(spark, sf_dir))
+
+
+@query(
+    "queue_documents",
+    sql="""WITH o AS (SELECT o_custkey AS owner, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS queue_pos,
+  o_orderkey % 4 = 0 AS old, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'running' ELSE 'pending' END AS was, o_custkey % 3 AS files, o_custkey % 2 = 0 AND o_orderkey % 3 <> 0 AS audio, o_orderkey % 5 = 0 AS interp FROM orders)
+SELECT owner, CAST(queue_pos AS INT) AS queue_pos, CAST(k AS VARCHAR) AS job_id, CASE WHEN old AND was <> 'done' THEN 'pending' WHEN was = 'running' THEN 'interrupted' ELSE was END AS status,
+  CASE WHEN old THEN concat_ws(',', CASE WHEN files > 1 THEN 'concat' END, 'track,classify,campath,render', CASE WHEN interp THEN 'interpolate' END, CASE WHEN audio THEN 'audio_mux' END) ELSE 'track' END AS stages,
+  CASE WHEN old THEN 'pending' WHEN was = 'running' THEN 'failed' ELSE was END AS first_status, CAST(old AS INT) AS migrated, CAST(k % 7 AS VARCHAR) AS later
+FROM o WHERE k % 11 <> 0""",
+)
+def queue_documents(spark, sf_dir):
+    """Each customer's orders as one queue document, every fourth job in the older layout and every eleventh broken, read back."""
+    from ..sources import layouts
+    from .bindings import table
+
+    o = table(spark, sf_dir, "orders")
+    was = "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'running' ELSE 'pending' END"
+    job = f"""CASE WHEN o_orderkey % 11 = 0 THEN '"broken"' ELSE to_json(named_struct('id', string(o_orderkey), 'status', {was}, 'concat_files', array_repeat('f', int(o_custkey % 3)), 'has_audio', o_custkey % 2 = 0,
+      'preserve_concat_audio', o_orderkey % 3 <> 0, 'tracking_params', named_struct('interpolate_fps', if(o_orderkey % 5 = 0, 60, 0)), 'later', o_orderkey % 7,
+      'stages', array(named_struct('name', if(o_orderkey % 4 = 0, 'pipeline', 'track'), 'status', {was})))) END"""
+    docs = o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.expr(job).alias("job")))).alias("jobs"))
+    docs = docs.select("path", F.concat(F.lit('{"paused": false, "jobs": ['), F.array_join("jobs.job", ","), F.lit("]}")).alias("doc"))
+    j = layouts.jobs_of(docs)
+    return j.select(
+        F.col("path").cast("long").alias("owner"), "queue_pos", "job_id", "status", F.array_join("stages.name", ",").alias("stages"), F.get("stages", F.lit(0))["status"].alias("first_status"),
+        F.col("migrated").cast("int").alias("migrated"), F.col("extra")["later"].alias("later"),
+    )

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import os
-from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import PATH_DOC, POSITIONS_DOC, Field, Lens
+from .layouts import LENS_KEYS, PROJECT
+
+
+def _match(doc: DataFrame) -> Column:
+    own = F.col("match_id").cast("long") if "match_id" in doc.columns else F.xxhash64(F.col("_metadata.file_path"))
+    return own.alias("match_id")
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """One row a player and frame of the documents under path; frames without players give none.
 
-    match_id is the hash of the file's name, so documents of many matches can be read at once.
+    match_id is that of the folders which write_positions makes, else the hash of the file's path,
+    so documents of many matches can be read at once.
     """
     doc = spark.read.schema(POSITIONS_DOC).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    frames = doc.select(F.xxhash64(F.col("_metadata.file_path")).alias("match_id"), "video", "fps", "stride", F.explode("frames").alias("f"))
+    frames = doc.select(_match(doc), "video", "fps", "stride", F.explode("frames").alias("f"))
     return frames.select("match_id", "video", "fps", "stride", F.explode("f.players").alias("p"), F.col("f.frame").alias("frame"), F.col("f.t").alias("t")).select(
         "match_id", F.col("p.id").alias("track_id"), "frame", "t", F.col("p.X").alias("x"), F.col("p.Z").alias("z"), F.col("p.conf").alias("conf"), F.col("p.label").alias("label"), F.col("p.boxes").alias("boxes"), "video", "fps", "stride"
     )
@@ -52,11 +59,11 @@ def write_labelled(labelled: DataFrame, pool: DataFrame, path: str, fps: float)
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:
-    """frame, yaw, pitch, fov and d; fov is vfov for rectilinear paths, hfov for others; d is 0 where absent."""
+    """match_id (as read_positions has it), frame, yaw, pitch, fov and d; fov is vfov for rectilinear paths, hfov for others; d is 0 where absent."""
     doc = spark.read.schema(PATH_DOC).option("multiLine", True).json(path)
-    rows = doc.select("projection", "out_w", "out_h", F.posexplode("path").alias("n", "p"))
+    rows = doc.select(_match(doc), "projection", "out_w", "out_h", F.posexplode("path").alias("n", "p"))
     fov = F.when(F.col("projection") == "rectilinear", F.coalesce("p.vfov", "p.hfov")).otherwise(F.coalesce("p.hfov", "p.vfov"))
-    return rows.select("projection", "p.frame", "p.yaw", "p.pitch", fov.alias("fov"), F.coalesce("p.d", F.lit(0.0)).alias("d"))
+    return rows.select("match_id", "projection", "p.frame", "p.yaw", "p.pitch", fov.alias("fov"), F.coalesce("p.d", F.lit(0.0)).alias("d"))
 
 
 def write_path(path_rows: DataFrame, path: str, fps: float, out_w: int = 1920, out_h: int = 1080, projection: str = "panini", end: dict[str, float] | None = None) -> None:
@@ -71,42 +78,46 @@ def write_table(positions: DataFrame, path: str, mode: str = "append") -> None:
     positions.repartition("match_id").sortWithinPartitions("match_id", "frame").write.mode(mode).partitionBy("match_id").parquet(path)
 
 
-@dataclass
 class Project:
-    """Settings of one video. Unknown keys are an error; missing ones take the default."""
-
-    video: str = ""
-    out_w: int = 1920
-    out_h: int = 1080
-    homography: list[float] = field(default_factory=list)
-    field_length_m: float = 100.0
-    field_width_m: float = 37.0
-    field_marks: dict[str, list] = field(default_factory=dict)
-    pano: dict[str, Any] = field(default_factory=lambda: asdict(Lens()))
-    panini_d_adaptive: bool = True
-    panini_d_cap: float = 1.5
-    panini_d_safety_deg: float = 2.0
-    panini_d_black_tolerance_deg: float = 0.0
-    panini_d_min_threshold: float = 0.0
+    """Settings of one video: the keys of `layouts.PROJECT` and `pano` as attributes.
+
+    Keys that are missing take the default; keys that are unknown are kept and written again.
+    """
+
+    def __init__(self, pano: dict[str, Any] | None = None, **values: Any):
+        self.pano = dict(LENS_KEYS) | (pano or {})
+        self.values = copy.deepcopy(PROJECT) | values
+
+    def __getattr__(self, key: str) -> Any:
+        if key in ("values", "pano") or key not in self.values:
+            raise AttributeError(key)
+        return self.values[key]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Project) and (self.values, self.pano) == (other.values, other.pano)
+
+    @property
+    def unknown(self) -> dict[str, Any]:
+        return {k: v for k, v in self.values.items() if k not in PROJECT}
 
     @classmethod
     def load(cls, path: str) -> Project:
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
-        if extra := d.keys() - {x.name for x in fields(cls)}:
-            raise TypeError(f"unknown settings: {', '.join(sorted(extra))}")
+        if not isinstance(d, dict) or not isinstance(d.get("pano", {}), dict):
+            raise TypeError(f"{path} is no project document")
         return cls(**d)
 
     @classmethod
     def for_video(cls, video: str, width: int, height: int) -> Project:
-        return cls(video=video, pano=asdict(Lens(src_w=width, src_h=height)))
+        return cls({"src_w": width, "src_h": height}, source_video=video)
 
     def save(self, path: str) -> None:
-        write_json(path, asdict(self))
+        write_json(path, {"source_video": self.values["source_video"], "pano": self.pano} | self.values)
 
     @property
     def lens(self) -> Lens:
-        return Lens(**self.pano)
+        return Lens(**{k: v for k, v in self.pano.items() if k in LENS_KEYS})
 
 
 def write_json(path: str, value: Any) -> None:

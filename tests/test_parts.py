@@ -9,7 +9,7 @@ from pitchflow.functions import fitting
 from pitchflow.functions import geometry as G
 from pitchflow.plans.geometry import GROUND, LENS, plan_tiles, synthetic_marks
 from pitchflow.schema import Field, Lens
-from pitchflow.sources import documents, progress
+from pitchflow.sources import documents, layouts, progress
 
 
 def test_lens_inverts():
@@ -62,6 +62,7 @@ def test_documents(spark, tmp_path):
     df = spark.createDataFrame(rows, "match_id long, track_id long, frame long, x double, z double, conf double")
     documents.write_positions(df, str(tmp_path / "doc"), 20.0, "v.mp4")
     back = documents.read_positions(spark, str(tmp_path / "doc")).toPandas()
+    assert set(back.match_id) == set(r.match_id for r in df.select("match_id").collect())
     assert len(back) == 6 and back.query("track_id == 2").x.item() == 1.235 and back.t.max() == 0.2
     path = spark.createDataFrame([(7, f, 1.0, 2.0, 60.0, 0.1) for f in range(3)], "match_id long, frame long, yaw double, pitch double, hfov double, d double")
     documents.write_path(path, str(tmp_path / "path"), 20.0, end={"yaw_pos": 1.0})
@@ -74,9 +75,18 @@ def test_project(tmp_path):
     p = documents.Project.for_video("a.mp4", 100, 50)
     p.save(str(tmp_path / "p.json"))
     assert documents.Project.load(str(tmp_path / "p.json")) == p and p.lens.src_w == 100
-    (tmp_path / "q.json").write_text(json.dumps({"nonsense": 1}))
+    real = {"source_video": "m.mp4", "calib_lines": [[[1.0, 2.0], [3.0, 4.0]]], "field_polygon": [[0, 1]], "projection_blend": 0.4, "pano": {"src_w": 10, "src_h": 5, "k1": 0.1, "odd": 3}, "later_key": {"a": [1]}}
+    (tmp_path / "q.json").write_text(json.dumps(real))
+    q = documents.Project.load(str(tmp_path / "q.json"))
+    assert (q.projection_blend, q.near_trust, q.lens.k1, q.unknown) == (0.4, 3.0, 0.1, {"later_key": {"a": [1]}})
+    q.save(str(tmp_path / "r.json"))
+    back = json.loads((tmp_path / "r.json").read_text())
+    assert all(back[k] == v for k, v in real.items() if k != "pano") and back["pano"]["odd"] == 3 and documents.Project.load(str(tmp_path / "r.json")) == q
+    (tmp_path / "q.json").write_text("[1]")
     with pytest.raises(TypeError):
         documents.Project.load(str(tmp_path / "q.json"))
+    with pytest.raises(AttributeError):
+        q.nothing
 
 
 def test_guard(tmp_path):
@@ -99,3 +109,40 @@ def test_queue_document(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps({"paused": False, "jobs": [{"id": "a", "status": "running", "odd": 1}, {"id": "b"}]}))
     rows = documents.read_jobs(spark, str(tmp_path / "q.json"), "id: string, status: string").collect()
     assert [(r.queue_pos, r.id, r.status) for r in rows] == [(0, "a", "running"), (1, "b", None)]
+
+
+def test_project_table(spark, tmp_path):
+    """Many project documents as rows: defaults, values of a wrong type, unknown keys, and what is no document."""
+    docs = {"a": {"source_video": "a.mp4", "near_trust": 2, "homography": [1, 2.5], "pano": {"k1": 0.2, "src_w": 99}, "later": [1, "x"], "field_marks": {"corners": [[1, 2]]}}, "b": {"out_w": "wide", "panini_d_adaptive": False}, "c": [1]}
+    for k, d in docs.items():
+        (tmp_path / f"{k}.json").write_text(json.dumps(d, indent=2))
+    (tmp_path / "d.json").write_text('{"source_video": ')
+    rows = {r.path[-6]: r for r in layouts.projects_of(layouts.whole(spark, str(tmp_path))).collect()}
+    a = rows["a"]
+    assert (a.source_video, a.near_trust, a.homography, a.pano.k1, a.pano.src_w, a.pano.src_h, a.out_w) == ("a.mp4", 2.0, [1.0, 2.5], 0.2, 99, 1728, 2560)
+    assert json.loads(a.extra["later"]) == [1, "x"] and json.loads(a.field_marks) == {"corners": [[1, 2]]} and a.problem is None
+    assert (rows["b"].out_w, rows["b"].panini_d_adaptive, rows["b"].extra, rows["b"].calib_lines) == (2560, False, {}, [])
+    assert rows["c"].problem and rows["d"].problem and rows["d"].out_h == 1440
+
+
+def test_queue_layouts(spark, tmp_path):
+    """An older layout is planned anew, a crash is recovered, one malformed job goes alone, unknown keys stay."""
+    jobs = [
+        {"id": "a", "status": "running", "stages": [{"name": "track", "status": "done"}, {"name": "classify", "status": "running"}], "odd": {"x": 1}},
+        "broken",
+        {"id": "b", "status": "failed", "concat_files": ["1", "2"], "has_audio": True, "interp_args": {"fps": 60}, "stages": [{"name": "concat", "status": "done"}, {"name": "pipeline", "status": "failed"}], "retry_count": 2},
+        {"id": "c", "stages": [1, 2]},
+        {"id": "d", "status": "done", "stages": [{"name": "pipeline", "status": "done"}], "has_audio": True, "preserve_concat_audio": False},
+        {"id": "e", "tracking_params": {"mode": "pipeline"}, "stages": [{"name": "pipeline"}]},
+        {"id": "f"},
+        None,
+    ]
+    (tmp_path / "q.json").write_text(json.dumps({"paused": True, "jobs": jobs}, indent=1))
+    (tmp_path / "half.json").write_text('{"paused": true, "jobs": [{"id"')
+    (tmp_path / "none.json").write_text('{"paused": true}')
+    r = {x.job_id: x for x in layouts.jobs_of(layouts.whole(spark, str(tmp_path))).collect()}
+    assert sorted(r) == ["a", "b", "d", "e", "f"] and [r[k].queue_pos for k in "abdef"] == [0, 2, 4, 5, 6]
+    assert r["a"].status == "interrupted" and [tuple(s) for s in r["a"].stages] == [("track", "done"), ("classify", "failed")] and json.loads(r["a"].extra["odd"]) == {"x": 1}
+    assert r["b"].status == "pending" and [s.name for s in r["b"].stages] == ["concat", "track", "classify", "campath", "render", "interpolate", "audio_mux"] and {s.status for s in r["b"].stages} == {"pending"} and r["b"].retry_count == 2
+    assert r["d"].status == "done" and [s.name for s in r["d"].stages] == ["track", "classify", "campath", "render"] and r["d"].migrated
+    assert [s.name for s in r["e"].stages] == ["pipeline"] and r["e"].status == "pending" and r["f"].stages == [] and r["f"].status == "pending"

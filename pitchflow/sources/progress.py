@@ -46,17 +46,19 @@ def read(path: str, now: float) -> dict[str, Any] | None:
 
 
 class StreamProgress(StreamingQueryListener):
-    """Keeps a progress document of a streaming query."""
+    """Keeps a progress document of a streaming query; rows are those of all its batches."""
 
     def __init__(self, progress: Progress):
-        self.progress = progress
+        self.progress, self.rows = progress, 0
 
     def onQueryStarted(self, event) -> None:
+        self.rows = 0
         self.progress.update(force=True, status="running", query=str(event.id))
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.progress.update(batch=p.batchId, rows=p.numInputRows, rows_per_s=p.processedRowsPerSecond)
+        self.rows += p.numInputRows
+        self.progress.update(batch=p.batchId, rows=self.rows, rows_per_s=p.processedRowsPerSecond)
 
     def onQueryIdle(self, event) -> None:
         self.progress.update()

@@ -9,8 +9,9 @@ import pytest
 from pitchflow.operators import camera as C
 from pitchflow.operators import chunks as K
 from pitchflow.schema import CameraRules
+from pitchflow.sources import progress
 from pitchflow.sources.shared import in_order, stepped
-from pitchflow.streaming import delay
+from pitchflow.streaming import delay, monitor
 from pitchflow.streaming.corrections import Corrected
 from pyspark.sql import functions as F
 
@@ -130,3 +131,85 @@ def test_files_in_order(spark, tmp_path):
     q = stream.writeStream.foreachBatch(lambda b, e: got.append({r.step for r in b.collect()})).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert got == [{k} for k in range(7)]
+
+
+# monitoring
+
+
+def write(path, name, **doc):
+    progress.write_json(str(path / name), doc)
+
+
+def test_staleness_by_timers(spark, tmp_path):
+    """Of three workers one ends, one falls silent and comes back, one is heard all along; half a document says nothing."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    session = spark.newSession()
+    session.conf.set(delay._STORE, delay._ROCKS)
+    write(folder, "a.1.json", status="done", step="render", updated_at=1.0)
+    write(folder, "b.1.json", status="running", step="track", updated_at=1.0)
+    write(folder, "c.1.json", status="running", step="track", updated_at=1.0)
+    (folder / "d.1.json").write_text('{"status": "runn')
+    q = monitor.signs(monitor.progress_stream(session, str(folder)), 6.0).writeStream.format("memory").queryName("signs").option("checkpointLocation", f"{tmp_path}/s").trigger(processingTime="500 milliseconds").start()
+    try:
+        seen = lambda: [(r.worker, r.event) for r in session.table("signs").collect()]
+        until = time.time() + 90
+        k = 2
+        while ("b", "stale") not in seen() and time.time() < until:
+            write(folder, f"c.{k}.json", status="running", step="track", updated_at=float(k))
+            k += 1
+            time.sleep(1)
+        write(folder, "b.2.json", status="running", step="classify", updated_at=500.0)
+        while seen().count(("b", "heard")) < 2 and time.time() < until:
+            time.sleep(0.5)
+        got = seen()
+    finally:
+        q.stop()
+    assert ("a", "ended") in got and ("a", "stale") not in got and not [x for x in got if x[0] == "d"]
+    assert [e for w, e in got if w == "b"][:3] == ["heard", "stale", "heard"] and got.count(("c", "heard")) >= 2
+
+
+def test_one_failing_query_ends_its_peers(spark, tmp_path):
+    def broken(batch, epoch):
+        if epoch >= 1:
+            raise ValueError("no room left")
+
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    start = lambda name, sink: rate.writeStream.queryName(name).foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/{name}").start()
+    good, bad = start("good", lambda b, e: None), start("bad", broken)
+    with pytest.raises(monitor.StreamsFailed, match="bad failed") as error:
+        monitor.together([good, bad], timeout=90)
+    assert error.value.name == "bad" and "no room left" in str(error.value.cause) and not good.isActive and not bad.isActive
+    assert monitor.together([]) is True
+    one = start("one", lambda b, e: None)
+    assert monitor.together([one], timeout=0.5) is False and one.isActive
+    one.stop()
+    assert monitor.together([one]) is True
+
+
+def test_stream_progress_document(spark, tmp_path):
+    """The listener's document follows a query: batches and rows while it runs, then done or failed."""
+    listener = progress.StreamProgress(progress.Progress(str(tmp_path / "p.json"), every=0.0))
+    spark.streams.addListener(listener)
+    try:
+        for k, fail in ((0, False), (1, True)):
+            def sink(batch, epoch, fail=fail):
+                if fail:
+                    raise ValueError("broken sink")
+
+            spark.range(7).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+            q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/c{k}").trigger(availableNow=True).start()
+            try:
+                q.awaitTermination()
+            except Exception:  # noqa: BLE001  the document says it
+                assert fail
+            until = time.time() + 30
+            want = "failed" if fail else "done"
+            while (progress.read(str(tmp_path / "p.json"), time.time()) or {}).get("status") != want and time.time() < until:
+                time.sleep(0.2)
+            d = progress.read(str(tmp_path / "p.json"), time.time())
+            assert d["status"] == want and d["query"] == str(q.id)
+            assert ("broken sink" in d["error"]) if fail else (d.get("rows"), d.get("batch")) == (7, 0), d
+    finally:
+        spark.streams.removeListener(listener)

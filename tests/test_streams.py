@@ -196,6 +196,7 @@ def test_stream_progress_document(spark, tmp_path):
             def sink(batch, epoch, fail=fail):
                 if fail:
                     raise ValueError("broken sink")
+                batch.write.format("noop").mode("overwrite").save()
 
             spark.range(7).write.mode("append").parquet(f"{tmp_path}/in")
             stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")

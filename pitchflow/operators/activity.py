@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ActivityRules, Field
+from ..sources.shared import kept
 from .features import KEYS, deep, in_field, recent
 
 
@@ -56,19 +57,31 @@ def active_runs(df: DataFrame, dt: float, rules: ActivityRules = ActivityRules()
 
 
 def near_starts(rows: DataFrame, rules: ActivityRules = ActivityRules()) -> DataFrame:
-    """(run that starts, older active run within reach in that frame): an equi-join on the frame with a distance."""
-    begun = rows.where("frame = start and start_well").select("match_id", "frame", F.col("track_id").alias("a_track"), F.col("run").alias("a_run"), F.col("x").alias("ax"), F.col("z").alias("az"))
-    old = rows.where("frame > start").select("match_id", "frame", F.col("track_id").alias("b_track"), F.col("run").alias("b_run"), F.col("x").alias("bx"), F.col("z").alias("bz"))
-    return begun.join(old, ["match_id", "frame"]).where(F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz")) <= rules.isolated).select("match_id", "a_track", "a_run", "b_track", "b_run")
+    """(run that starts, older active run within reach in that frame).
+
+    The join goes by grid cells as wide as the reach: a start, of which a run has one, is put into its own and the
+    neighbouring cells, and meets the rows of those in its frame.
+    """
+    cell = lambda c, i=F.lit(0): F.floor(F.col(c) / rules.isolated) + i
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    begun = rows.where("frame = start and start_well").withColumn("_o", F.explode(around))
+    begun = begun.select("match_id", "frame", cell("x", F.col("_o.i")).alias("_cx"), cell("z", F.col("_o.j")).alias("_cz"), F.col("track_id").alias("a_track"), F.col("run").alias("a_run"), F.col("x").alias("ax"), F.col("z").alias("az"))
+    old = rows.where("frame > start").select("match_id", "frame", cell("x").alias("_cx"), cell("z").alias("_cz"), F.col("track_id").alias("b_track"), F.col("run").alias("b_run"), F.col("x").alias("bx"), F.col("z").alias("bz"))
+    met = begun.join(old, ["match_id", "frame", "_cx", "_cz"]).where(F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz")) <= rules.isolated)
+    return met.select("match_id", "a_track", "a_run", "b_track", "b_run")
 
 
 def stable(df: DataFrame, dt: float, rules: ActivityRules = ActivityRules()) -> DataFrame:
-    """The active rows that are past probation.
+    """The rows of df (with active, well_in) that are past probation."""
+    return states(kept(active_runs(df, dt, rules), "runs"), rules).where("stable").drop("stable")
+
+
+def states(rows: DataFrame, rules: ActivityRules = ActivityRules()) -> DataFrame:
+    """The active rows (those of active_runs, which are read several times here) with `stable`: whether past probation.
 
     Promotion depends on runs that were promoted in an earlier frame, so it is solved over
     the runs of a match in order of their start: a few rows a track, one group a match.
     """
-    rows = active_runs(df, dt, rules)
     runs = rows.where("frame = start").select("match_id", "track_id", "run", "start", "by_count")
     edges = near_starts(rows, rules).groupBy("match_id", "a_track", "a_run").agg(F.collect_set(F.struct("b_track", "b_run")).alias("near"))
     table = runs.join(edges.withColumnsRenamed({"a_track": "track_id", "a_run": "run"}), ["match_id", "track_id", "run"], "left")
@@ -83,19 +96,18 @@ def stable(df: DataFrame, dt: float, rules: ActivityRules = ActivityRules()) ->
         pdf = pdf[pdf["promoted"] < float("inf")]
         return pdf[["match_id", "track_id", "run", "promoted"]].astype("int64")
 
-    promoted = table.groupBy("match_id").applyInPandas(solve, "match_id long, track_id long, run long, promoted long")
-    return rows.join(promoted, ["match_id", "track_id", "run"]).where("frame >= promoted").drop("run", "start", "by_count", "start_well", "promoted")
+    since = table.groupBy("match_id").applyInPandas(solve, "match_id long, track_id long, run long, promoted long")
+    out = rows.join(since, ["match_id", "track_id", "run"], "left").withColumn("stable", F.coalesce(F.col("frame") >= F.col("promoted"), F.lit(False)))
+    return out.drop("run", "start", "by_count", "start_well", "promoted")
 
 
-def final_labels(positions: DataFrame, track_labels: DataFrame, active: DataFrame, stable_rows: DataFrame) -> DataFrame:
-    """Labels of all rows: tracks keep theirs, except that player tracks are split by state."""
+def final_labels(positions: DataFrame, track_labels: DataFrame, active_rows: DataFrame) -> DataFrame:
+    """Labels of all rows: tracks keep theirs, except that player tracks are split by state (the rows of `states`)."""
     row = [*KEYS, "frame"]
     named = positions.join(track_labels.select(*KEYS, "label"), list(KEYS), "left").withColumn("label", F.coalesce("label", F.lit("player")))
-    s = stable_rows.select(*row, F.lit(True).alias("_s"))
-    a = active.where("active").select(*row, F.lit(True).alias("_a"))
-    out = named.join(a, row, "left").join(s, row, "left")
-    label = F.when(F.col("label") != "player", F.col("label")).when(F.col("_s"), "player").when(F.col("_a"), "probation").otherwise("sideline")
-    return out.withColumn("label", label).drop("_s", "_a")
+    out = named.join(active_rows.select(*row, F.col("stable").alias("_s")), row, "left")
+    label = F.when(F.col("label") != "player", F.col("label")).when(F.col("_s"), "player").when(~F.col("_s"), "probation").otherwise("sideline")
+    return out.withColumn("label", label).drop("_s")
 
 
 def framing_pool(positions: DataFrame, stable_rows: DataFrame) -> DataFrame:

@@ -254,12 +254,30 @@ def tile_plan(spark, sf_dir):
     return covering(seen, plan_tiles(spark).orderBy("tile").collect()).select(*_ROW, "tile", "off")
 
 
-@query("box_to_ground")
+_BF = 480 / math.tan(math.radians(30.0))
+_BW, _BSRC, _BBACK = _mul(_m(G.rotation(14.0, 0.0)), ("v0", "v1", "v2")), _mul(_m(_LR), ("r0", "r1", "r2")), _mul(_I, ("r0", "r1", "r2"))
+# the lens and its inverse cancel on the way to the ground; where a pixel is tells whether it is on the source
+_BOXES = f"""WITH {POSITIONS}, box AS (SELECT match_id, track_id, frame, (x + 52) * 18 AS x1, (z + 4) * 20 AS y1, (x + 52) * 18 + 20 + tile * 12 AS x2, (z + 4) * 20 + 70 AS y2 FROM positions),
+ends AS (SELECT *, 'h' AS k, y1 AS y FROM box UNION ALL SELECT *, 'f', y2 FROM box),
+p AS (SELECT *, floor(least(greatest((x1 + x2) / 2, 0), 1919)) - 959.5 AS u, -(floor(least(greatest(y, 0), 959)) - 479.5) AS v FROM ends),
+u AS (SELECT *, u / sqrt(u * u + v * v + {_BF * _BF!r}::DOUBLE) AS v0, v / sqrt(u * u + v * v + {_BF * _BF!r}::DOUBLE) AS v1, {_BF!r}::DOUBLE / sqrt(u * u + v * v + {_BF * _BF!r}::DOUBLE) AS v2 FROM p),
+r AS (SELECT *, {_BW[0]} AS r0, {_BW[1]} AS r1, {_BW[2]} AS r2 FROM u),
+i AS (SELECT *, ((atan2({_BSRC[0]}, {_BSRC[2]}) / {math.radians(LENS.hfov_deg)!r}::DOUBLE + 0.5) * {LENS.src_w - 1} - {_CX}) / {_N!r}::DOUBLE AS nx, ((0.5 - asin(greatest(least({_BSRC[1]}, 1), -1)) / {math.radians(LENS.vfov_deg)!r}::DOUBLE) * {LENS.src_h - 1} - {_CY}) / {_N!r}::DOUBLE AS ny FROM r),
+s AS (SELECT *, {_CX} + nx * (1 + {LENS.k1}::DOUBLE * (nx * nx + ny * ny) + {LENS.k2}::DOUBLE * (nx * nx + ny * ny) ** 2) * {_N!r}::DOUBLE AS sx, {_CY} + ny * (1 + {LENS.k1}::DOUBLE * (nx * nx + ny * ny) + {LENS.k2}::DOUBLE * (nx * nx + ny * ny) ** 2) * {_N!r}::DOUBLE AS sy,
+  nullif({_det(_P, _Q, _WV)}, 0) AS d, {_det(_P, _Q, _M)} AS l, {_det(_M, _Q, _WV)} AS a, {_det(_P, _M, _WV)} AS b, nullif({_BBACK[2]}, 0) AS w FROM i),
+g AS (SELECT *, CASE WHEN k = 'f' THEN {_BBACK[0]} / w WHEN l / d > 0 THEN a / d END AS gx, CASE WHEN k = 'f' THEN {_BBACK[1]} / w WHEN l / d > 0 THEN b / d END AS gz FROM s),
+ok AS (SELECT *, sx >= 0 AND sx < {LENS.src_w} AND sy >= 0 AND sy < {LENS.src_h} AND gz >= -12 AND gz <= 52 AND abs(gx) <= 75 AS fine FROM g),
+one AS (SELECT match_id, track_id, frame, any_value(x2 - x1) AS wide, any_value(y2 - y1) AS tall, any_value(y1 <= 6) AS top, any_value(y2 >= 954) AS bottom, max(CASE WHEN k = 'h' AND fine THEN struct_pack(x := gx, z := gz) END) AS h, max(CASE WHEN k = 'f' AND fine THEN struct_pack(x := gx, z := gz) END) AS f FROM ok GROUP BY ALL),
+best AS (SELECT match_id, track_id, frame, CASE WHEN bottom AND NOT top THEN h WHEN top AND NOT bottom THEN f WHEN tall / greatest(wide, 1) < 2 THEN coalesce(h, f) ELSE coalesce(f, h) END AS v FROM one)
+SELECT match_id, track_id, frame, round(v.x, 5) AS gx, round(v.z, 5) AS gz FROM best"""
+
+
+@query("box_to_ground", sql=_BOXES)
 def box_to_ground(spark, sf_dir):
     tile = {"yaw": 0.0, "pitch": 14.0, "vfov": 60.0, "out_w": 1920, "out_h": 960}
     x1, y1 = (F.col("x") + 52) * 18, (F.col("z") + 4) * 20
     box = positions(spark, sf_dir).select(*_ROW, x1.alias("x1"), y1.alias("y1"), (x1 + 20 + F.col("tile") * 12).alias("x2"), (y1 + 70).alias("y2"))
-    return rounded(boxes.to_ground(box, tile, LENS, GROUND).select(*_ROW, "gx", "gz"), 6)
+    return rounded(boxes.to_ground(box, tile, LENS, GROUND).select(*_ROW, "gx", "gz"), 5)
 
 
 @query(

@@ -9,6 +9,7 @@ from ..operators import activity as A
 from ..operators import features as P
 from ..operators import sampling as S
 from ..schema import Field
+from ..sources.shared import kept
 from .bindings import DT, POSITIONS, positions, rounded
 
 FIELD = Field()
@@ -125,29 +126,45 @@ def activity(spark, sf_dir):
     return a.select("match_id", "track_id", "frame", F.col("active").cast("int").alias("active"), F.col("well_in").cast("int").alias("well_in"))
 
 
-def _players(spark, sf_dir):
+def _states(spark, sf_dir):
+    """Positions, the tracks' labels, and the players' active rows with `stable`; what is read more than once is written down once."""
     p = positions(spark, sf_dir)
-    named = P.labels(P.features(p, DT))
-    players = p.join(named.where("label = 'player'").select("match_id", "track_id"), ["match_id", "track_id"], "left_semi")
-    return p, named, A.activity(players, DT)
-
-
-@query("stable_positions")
+    named = kept(P.labels(P.features(p, DT)).select("match_id", "track_id", "label"), "labels")
+    players = p.join(named.where("label = 'player'"), ["match_id", "track_id"], "left_semi")
+    rows = kept(A.active_runs(A.activity(players, DT), DT), "runs")
+    return p, named, A.states(rows)
+
+
+# a run is promoted by its own rows, or at its start by a near run that was promoted before: facts that only grow
+_STABLE = f"""RECURSIVE {_FEATURES}, players AS (SELECT p.* FROM positions p JOIN labelled USING (match_id, track_id) WHERE label = 'player'),
+{_ACTIVITY[len(POSITIONS) + 2:].replace("FROM positions", "FROM players")},
+r1 AS (SELECT *, active = 1 AND abs(x) <= 52 AND z >= 1 AND z <= 34 AS well, lag(active) OVER w AS before FROM acts {_W}),
+r2 AS (SELECT *, sum(CASE WHEN active = 1 AND coalesce(before, 0) = 0 THEN 1 ELSE 0 END) OVER w AS run FROM r1 {_W}),
+r3 AS (SELECT *, min(frame) OVER (PARTITION BY match_id, track_id, run) AS start, sum(CAST(well AS INT)) OVER (PARTITION BY match_id, track_id, run ORDER BY frame ROWS UNBOUNDED PRECEDING) AS c FROM r2 WHERE active = 1),
+rows_ AS MATERIALIZED (SELECT match_id, track_id, frame, x, z, run, start, well, min(CASE WHEN c >= 60 AND frame > start THEN frame END) OVER (PARTITION BY match_id, track_id, run) AS by_count FROM r3),
+met AS MATERIALIZED (SELECT DISTINCT a.match_id, a.track_id AS a_track, a.run AS a_run, a.start, b.track_id AS b_track, b.run AS b_run FROM rows_ a JOIN rows_ b ON a.match_id = b.match_id AND a.frame = b.frame WHERE a.frame = a.start AND a.well AND b.frame > b.start AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 8),
+facts AS (SELECT DISTINCT match_id, track_id, run, by_count AS since FROM rows_ WHERE by_count IS NOT NULL UNION SELECT m.match_id, m.a_track, m.a_run, m.start FROM facts f JOIN met m ON m.match_id = f.match_id AND m.b_track = f.track_id AND m.b_run = f.run WHERE f.since < m.start),
+since AS (SELECT match_id, track_id, run, min(since) AS since FROM facts GROUP BY ALL),
+states AS (SELECT r.*, coalesce(r.frame >= s.since, false) AS stable FROM rows_ r LEFT JOIN since s USING (match_id, track_id, run))"""
+
+
+@query("stable_positions", sql=f"WITH {_STABLE} SELECT {_ROW} FROM states WHERE stable")
 def stable_positions(spark, sf_dir):
-    _, _, active = _players(spark, sf_dir)
-    return A.stable(active, DT).select("match_id", "track_id", "frame")
+    return _states(spark, sf_dir)[2].where("stable").select("match_id", "track_id", "frame")
 
 
-@query("framing_pool")
+@query("framing_pool", sql=f"WITH {_STABLE} SELECT {_ROW}, round(x, 9) AS x, round(z, 9) AS z FROM states WHERE stable")
 def framing_pool(spark, sf_dir):
-    p, _, active = _players(spark, sf_dir)
-    return rounded(A.framing_pool(p, A.stable(active, DT)).select("match_id", "track_id", "frame", "x", "z"))
+    p, _, states = _states(spark, sf_dir)
+    return rounded(A.framing_pool(p, states.where("stable")).select("match_id", "track_id", "frame", "x", "z"))
 
 
-@query("labelled_positions")
+@query(
+    "labelled_positions",
+    sql=f"WITH {_STABLE} SELECT p.match_id, p.track_id, p.frame, CASE WHEN coalesce(l.label, 'player') <> 'player' THEN l.label WHEN s.stable THEN 'player' WHEN NOT s.stable THEN 'probation' ELSE 'sideline' END AS label FROM positions p LEFT JOIN labelled l USING (match_id, track_id) LEFT JOIN states s USING (match_id, track_id, frame)",
+)
 def labelled_positions(spark, sf_dir):
-    p, named, active = _players(spark, sf_dir)
-    return A.final_labels(p, named, active, A.stable(active, DT)).select("match_id", "track_id", "frame", "label")
+    return A.final_labels(*_states(spark, sf_dir)).select("match_id", "track_id", "frame", "label")
 
 
 @query("position_label_join", sql=f"WITH {_FEATURES} SELECT p.match_id, p.track_id, p.frame, coalesce(l.label, 'player') AS label FROM positions p LEFT JOIN (SELECT * FROM labelled WHERE label <> 'foreign') l USING (match_id, track_id)")

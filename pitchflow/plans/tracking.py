@@ -48,7 +48,15 @@ def fused_detections(spark, sf_dir):
     return rounded(fusion.fused(detections(spark, sf_dir), SPLIT).drop("boxes"), 6)
 
 
-@query("suppressed_boxes")
+@query(
+    "suppressed_boxes",
+    sql=f"""WITH RECURSIVE {DETECTIONS}, boxes AS (SELECT match_id, frame, tile, det_id, conf, x AS x1, z AS y1, x + 30 AS x2, z + 20 AS y2, row_number() OVER (PARTITION BY match_id, frame, tile ORDER BY conf DESC, det_id) AS i FROM detections WHERE conf >= 0.5),
+kept AS (SELECT match_id, frame, tile, i, [struct_pack(d := det_id, c := conf, x := x1, y := y1)] AS k FROM boxes WHERE i = 1
+ UNION ALL SELECT b.match_id, b.frame, b.tile, b.i, CASE WHEN len(list_filter(s.k, lambda v: greatest(0, 30 - abs(v.x - b.x1)) * greatest(0, 20 - abs(v.y - b.y1)) > 0.5 * (1200 - greatest(0, 30 - abs(v.x - b.x1)) * greatest(0, 20 - abs(v.y - b.y1))))) = 0 THEN list_append(s.k, struct_pack(d := b.det_id, c := b.conf, x := b.x1, y := b.y1)) ELSE s.k END
+ FROM kept s JOIN boxes b ON b.match_id = s.match_id AND b.frame = s.frame AND b.tile = s.tile AND b.i = s.i + 1),
+last AS (SELECT match_id, frame, tile, unnest(k) AS v FROM kept QUALIFY i = max(i) OVER (PARTITION BY match_id, frame, tile))
+SELECT match_id, frame, tile, v.d AS det_id, round(v.c, 9) AS conf, round(v.x, 9) AS x1, round(v.y, 9) AS y1, round(v.x + 30, 9) AS x2, round(v.y + 20, 9) AS y2 FROM last""",
+)
 def suppressed_boxes(spark, sf_dir):
     d = detections(spark, sf_dir)
     box = d.select("match_id", "frame", "tile", "det_id", "conf", F.col("x").alias("x1"), F.col("z").alias("y1"), (F.col("x") + 30).alias("x2"), (F.col("z") + 20).alias("y2"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[int, str] = {}
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -22,6 +24,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@atexit.register
+def _clean() -> None:
+    for spark, path in _kept:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df written once as Parquet in the shared folder and read from there by all that follows; it goes when Python ends."""
+    path = folder(df.sparkSession, name)
+    _kept.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def in_order(df: DataFrame, path: str, step: str) -> int:
     """Writes df once, a folder for each value of its whole-number column `step`, so that a file stream takes lower steps first.
 

@@ -18,18 +18,25 @@ def cuts(y1: Column, y2: Column, height: float, edge: float = 6.0) -> tuple[Colu
 
 
 def to_ground(df: DataFrame, tile: dict, lens: Lens, ground: Ground, height: float = 1.75, edge: float = 6.0) -> DataFrame:
-    """df (x1, y1, x2, y2: a box in the tile with yaw, pitch, vfov, out_w, out_h) with gx, gz; null where neither anchor is plausible.
+    """The ground under boxes.
+
+    df (x1, y1, x2, y2: a box in the tile with yaw, pitch, vfov, out_w, out_h) with gx, gz; null where neither anchor is plausible.
 
     Cut at the bottom: the head alone; cut at the top: the foot alone; else the head first
     for boxes less than twice as tall as wide, the foot first for others. Each stage is a
-    column of its own, so that no expression holds another twice.
+    column of its own, so that no expression holds another twice. Where df has ankle_x and
+    ankle_y and they lie below the box, the foot is there.
     """
     w, h = tile["out_w"], tile["out_h"]
     turned = rotation(tile["pitch"], tile["yaw"])
     within = lambda c, n: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(n - 1.0)))  # noqa: E731  pixels are whole, as of a remapped tile
     names = list(df.columns)
-    for k, y in (("h", "y1"), ("f", "y2")):
-        df = df.withColumns({f"_{k}u": within((F.col("x1") + F.col("x2")) / 2, w) - (w - 1) / 2, f"_{k}v": within(F.col(y), h) - (h - 1) / 2})
+    middle, foot_x, foot_y = (F.col("x1") + F.col("x2")) / 2, (F.col("x1") + F.col("x2")) / 2, F.col("y2")
+    if {"ankle_x", "ankle_y"} <= set(names):
+        low = F.coalesce(F.col("ankle_y") > F.col("y2"), F.lit(False)) & F.col("ankle_x").isNotNull()
+        foot_x, foot_y = F.when(low, F.col("ankle_x")).otherwise(middle), F.when(low, F.col("ankle_y")).otherwise(foot_y)
+    for k, x, y in (("h", middle, F.col("y1")), ("f", foot_x, foot_y)):
+        df = df.withColumns({f"_{k}u": within(x, w) - (w - 1) / 2, f"_{k}v": within(y, h) - (h - 1) / 2})
         df = df.withColumns({f"_{k}r{i}": c for i, c in enumerate(view_ray(F.col(f"_{k}u"), F.col(f"_{k}v"), tile["vfov"], w, h))})
         df = df.withColumns({f"_{k}w{i}": c for i, c in enumerate(turn(turned, tuple(F.col(f"_{k}r{i}") for i in range(3))))})
         df = df.withColumns(dict(zip((f"_{k}x", f"_{k}y"), pixel_of(tuple(F.col(f"_{k}w{i}") for i in range(3)), lens))))

@@ -218,3 +218,21 @@ def overflow(hfov: Column, pitch: Column, d: Column, lens: Lens, aspect: float)
     h = F.radians(hfov) / 2
     top = F.degrees(F.atan((d + 1) * aspect * F.sin(h) / F.greatest(d + F.cos(h), F.lit(1e-9))))
     return F.greatest(top + F.abs(pitch + lens.pitch0_deg) - lens.vfov_deg / 2, F.lit(0.0))
+
+
+def pad_rows(row: Column, height: Column, pad: Column, fade: Column) -> tuple[Column, Column, Column]:
+    """Weights of the wide blur, the seam's blur and the source in each row of a frame padded above and below.
+
+    From the outer edge to the seam the wide blur gives way to the seam's in equal steps; in the first `fade` rows
+    of the source the seam's blur gives way to the source. There is no fade where both would meet.
+    """
+    part = lambda i, n: F.when(n > 1, i / F.greatest(n - 1, F.lit(1))).otherwise(0.0)  # noqa: E731  from 0 at the first to 1 at the last
+    from_top, from_end = row, height + 2 * pad - 1 - row
+    outer = F.least(from_top, from_end)
+    inner = outer - pad
+    fades = (fade > 0) & (2 * fade < height)
+    # a single padded row is the wide blur's above, the seam's below
+    wide = F.when(outer < pad, F.when(pad > 1, 1 - part(outer, pad)).otherwise(F.when(from_top < pad, 1.0).otherwise(0.0))).otherwise(0.0)
+    soft = F.when(fades & (inner < fade), F.when(fade > 1, 1 - part(inner, fade)).otherwise(F.when(from_top < pad + fade, 1.0).otherwise(0.0))).otherwise(0.0)
+    seam = F.when(outer < pad, 1 - wide).otherwise(soft)
+    return wide, seam, 1 - wide - seam

@@ -12,6 +12,12 @@ def is_video(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)).isin(*VIDEO_SUFFIXES)
 
 
+def existing(clips: DataFrame, folder: str) -> DataFrame:
+    """The clips whose `name` is a file of the folder (which only Spark needs to read); files are listed, not opened."""
+    files = clips.sparkSession.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    return clips.join(files.distinct(), "name", "left_semi").select(*clips.columns)
+
+
 def has_audio(probe: Column) -> Column:
     return probe.rlike("Stream #[^;]*: Audio:")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..operators import backends
 from ..operators import camera as C
 from ..schema import CameraRules
 from .bindings import POSITIONS, positions, rounded
@@ -172,3 +173,21 @@ def snapped_d(spark, sf_dir):
 
     d = clip(F.col("z") / 20, 0.0, 1.5)
     return rounded(positions(spark, sf_dir).select("match_id", "track_id", "frame", F.when(d < 0.3, 0.0).otherwise(d).alias("d")))
+
+
+_GAPS = f"""WITH {_FILLED}, g AS (SELECT match_id, frame, yaw, hfov, lead(yaw) OVER w AS yaw2, lead(hfov) OVER w AS hfov2, lead(frame) OVER w IS NOT NULL AS more FROM filled WINDOW w AS (PARTITION BY match_id ORDER BY frame)), k(k) AS (VALUES (0), (1), (2), (3)),
+s AS (SELECT *, k / 4.0::DOUBLE AS t FROM g JOIN k ON k = 0 OR more)"""
+
+
+@query("interpolated_path", sql=f"{_GAPS} SELECT match_id, frame, CAST(k AS INT) AS k, round(CASE WHEN k = 0 THEN yaw ELSE yaw + (yaw2 - yaw) * t END, 9) AS yaw, round(CASE WHEN k = 0 THEN hfov ELSE hfov + (hfov2 - hfov) * t END, 9) AS hfov FROM s")
+def interpolated_path(spark, sf_dir):
+    """Three rows between frames, by the backend that takes all steps at once."""
+    frames, kept = _sparse(spark, sf_dir)
+    return rounded(backends.interpolated(C.fill(frames, kept, ["yaw", "hfov"]), ["yaw", "hfov"], 4))
+
+
+@query("eased_path", sql=f"{_GAPS} SELECT match_id, frame, CAST(k AS INT) AS k, round(CASE WHEN k = 0 THEN yaw ELSE yaw + (yaw2 - yaw) * (t * t * (3 - 2 * t)) END, 9) AS yaw, round(CASE WHEN k = 0 THEN hfov ELSE hfov + (hfov2 - hfov) * (t * t * (3 - 2 * t)) END, 9) AS hfov FROM s")
+def eased_path(spark, sf_dir):
+    """The same by the backend that takes one step at a time."""
+    frames, kept = _sparse(spark, sf_dir)
+    return rounded(backends.interpolated(C.fill(frames, kept, ["yaw", "hfov"]), ["yaw", "hfov"], 4, "ease"))

@@ -301,6 +301,23 @@ def required_pad(spark, sf_dir):
     return rounded(_views(spark, sf_dir).groupBy("match_id").agg((F.max(over) + 2.0).alias("pad_deg")))
 
 
+@query(
+    "pad_ramp",
+    sql=f"""WITH {_VIEWS}, pads AS (SELECT match_id, CAST(ceil(max(greatest(degrees(atan(1.5 * 9 / 16 * sin(radians(hfov) / 2) / (0.5 + cos(radians(hfov) / 2)))) + abs(pitch) - 40, 0)) + 2) AS BIGINT) AS p, match_id % 3 * 3 AS f FROM views GROUP BY match_id),
+r AS (SELECT match_id, p, f, unnest(range(40 + 2 * p)) AS i FROM pads),
+w AS (SELECT match_id, i, CASE WHEN i < p THEN 1 - i / greatest(p - 1, 1)::DOUBLE WHEN i >= 40 + p THEN CASE WHEN p > 1 THEN (i - 40 - p) / (p - 1)::DOUBLE ELSE 0 END ELSE 0 END AS wide,
+  CASE WHEN i < p OR i >= 40 + p THEN NULL WHEN f > 0 AND i - p < f THEN 1 - (i - p) / greatest(f - 1, 1)::DOUBLE WHEN f > 0 AND i - p >= 40 - f THEN (i - p - 40 + f) / (f - 1)::DOUBLE ELSE 0 END AS soft FROM r)
+SELECT match_id, i AS "row", round(wide, 9) AS wide, round(coalesce(soft, 1 - wide), 9) AS seam, round(1 - wide - coalesce(soft, 1 - wide), 9) + 0.0 AS source FROM w""",
+)
+def pad_ramp(spark, sf_dir):
+    """Weights of each row of a source of 40 rows, padded by a row for each degree that a match's views need, with a fade of 0, 3 or 6 rows."""
+    over = G.overflow(F.col("hfov"), F.col("pitch"), F.lit(0.5), Lens(), 9 / 16)
+    pads = _views(spark, sf_dir).groupBy("match_id").agg(F.ceil(F.max(over) + 2.0).alias("pad")).withColumn("fade", F.col("match_id") % 3 * 3)
+    rows = pads.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), 39 + 2 * F.col("pad"))))
+    wide, seam, source = G.pad_rows(F.col("row"), F.lit(40), F.col("pad"), F.col("fade"))
+    return rounded(rows.select("match_id", "row", wide.alias("wide"), seam.alias("seam"), source.alias("source"))).withColumn("source", F.col("source") + 0.0)
+
+
 @query(
     "crop_decision",
     sql=f"WITH {_PIXELS}, b AS (SELECT match_id, frame, greatest(0, CAST(floor(min(sx)) AS BIGINT)) AS x0, least(4607, CAST(ceil(max(sx)) AS BIGINT)) AS x1, greatest(0, CAST(floor(min(sy)) AS BIGINT)) AS y0, least(1727, CAST(ceil(max(sy)) AS BIGINT)) AS y1 FROM pixels GROUP BY ALL) SELECT match_id, frame, x1 - x0 + 1 AS crop_w, y1 - y0 + 1 AS crop_h, CAST(x1 - x0 + 1 >= 8 AND y1 - y0 + 1 >= 8 AND greatest(1920.0::DOUBLE / (x1 - x0 + 1), 1080.0::DOUBLE / (y1 - y0 + 1)) >= 1.2 AS INT) AS upscale FROM b",

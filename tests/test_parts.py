@@ -146,3 +146,70 @@ def test_queue_layouts(spark, tmp_path):
     assert r["b"].status == "pending" and [s.name for s in r["b"].stages] == ["concat", "track", "classify", "campath", "render", "interpolate", "audio_mux"] and {s.status for s in r["b"].stages} == {"pending"} and r["b"].retry_count == 2
     assert r["d"].status == "done" and [s.name for s in r["d"].stages] == ["track", "classify", "campath", "render"] and r["d"].migrated
     assert [s.name for s in r["e"].stages] == ["pipeline"] and r["e"].status == "pending" and r["f"].stages == [] and r["f"].status == "pending"
+
+
+def test_backends(spark):
+    from pitchflow.operators import backends as B
+
+    rows = [(1, 0, 0.0, 5.0), (1, 10, 8.0, None), (1, 11, 4.0, 1.0), (2, 3, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "match_id long, frame long, a double, b double")
+    out = {(r.match_id, r.frame, r.k): (r.a, r.b) for r in B.interpolated(df, ["a", "b"], 4).collect()}
+    assert len(out) == 4 + 3 * 2 and out[1, 0, 1] == (2.0, None) and out[1, 10, 3] == (5.0, None) and out[2, 3, 0] == (1.0, 1.0)
+    eased = {(r.match_id, r.frame, r.k): r.a for r in B.interpolated(df, ["a", "b"], 4, "ease").collect()}
+    assert eased[1, 0, 2] == 4.0 and abs(eased[1, 0, 1] - 8 * 0.15625) < 1e-12
+    assert B.interpolated(df, ["a"], 1).count() == 4 and B.interpolated(df.limit(0), ["a"], 3).count() == 0
+    for wrong in (lambda: B.interpolated(df, ["a"], 2, "none"), lambda: B.interpolated(df, ["a"], 0), lambda: B.backend("linear")(B.Linear)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_pad_rows(spark):
+    """Against equal steps drawn one by one, single rows and fades that would meet included."""
+    from pyspark.sql import functions as F
+
+    for h, p, f in ((12, 4, 3), (12, 1, 1), (12, 0, 2), (12, 3, 0), (6, 2, 3), (12, 2, 1)):
+        wide, seam, source = G.pad_rows(F.col("id"), F.lit(h), F.lit(p), F.lit(f))
+        got = spark.range(h + 2 * p).select(wide.alias("w"), seam.alias("s"), source.alias("o")).toPandas()
+        want = np.zeros((h + 2 * p, 3))
+        want[:, 2] = 1
+        want[:p] = np.column_stack([w := np.linspace(1, 0, p), 1 - w, 0 * w])
+        if p:
+            want[-p:] = np.column_stack([w := np.linspace(0, 1, p), 1 - w, 0 * w])
+        if f > 0 and 2 * f < h:
+            want[p : p + f] = np.column_stack([0 * (w := np.linspace(1, 0, f)), w, 1 - w])
+            want[p + h - f : p + h] = np.column_stack([0 * (w := np.linspace(0, 1, f)), w, 1 - w])
+        assert np.allclose(got.to_numpy(float), want), (h, p, f)
+
+
+def test_ankles_below_the_box_move_the_foot(spark):
+    from pitchflow.functions import boxes
+
+    tile = {"yaw": 0.0, "pitch": 14.0, "vfov": 60.0, "out_w": 1920, "out_h": 960}
+    rows = [(0, 900.0, 300.0, 920.0, 400.0, None, None), (1, 900.0, 300.0, 920.0, 400.0, 950.0, 420.0), (2, 900.0, 300.0, 920.0, 400.0, 950.0, 390.0), (3, 940.0, 300.0, 960.0, 420.0, None, None)]
+    df = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double, ankle_x double, ankle_y double")
+    g = {r.id: (r.gx, r.gz) for r in boxes.to_ground(df, tile, LENS, GROUND).collect()}
+    plain = {r.id: (r.gx, r.gz) for r in boxes.to_ground(df.drop("ankle_x", "ankle_y"), tile, LENS, GROUND).collect()}
+    assert g[0] == plain[0] == g[2] and g[1] != plain[1] and g[1] == g[3]
+
+
+def test_existing_clips_and_strict_fill(spark, tmp_path):
+    from pitchflow.operators import camera, clips
+
+    (tmp_path / "a.mp4").write_bytes(b"1")
+    df = spark.createDataFrame([("a.mp4", 1), ("b.mp4", 2)], "name string, pos int")
+    assert [tuple(r) for r in clips.existing(df, str(tmp_path)).collect()] == [("a.mp4", 1)]
+    frames = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "match_id long, frame long")
+    taken = spark.createDataFrame([(1, 1, 5.0)], "match_id long, frame long, yaw double")
+    assert {(r.match_id, r.frame, r.yaw) for r in camera.fill(frames, taken, ["yaw"]).collect()} == {(1, 0, 5.0), (1, 1, 5.0), (2, 0, None)}
+    assert camera.fill(frames.where("match_id = 1"), taken, ["yaw"], strict=True).count() == 2
+    with pytest.raises(Exception, match="no frame of match 2"):
+        camera.fill(frames, taken, ["yaw"], strict=True).collect()
+
+
+def test_labelled_and_pool_files(spark, tmp_path):
+    rows = [(7, t, f, 1.0, 2.0, 0.5, "player" if t else "sideline") for t in (0, 1) for f in range(3)]
+    df = spark.createDataFrame(rows, "match_id long, track_id long, frame long, x double, z double, conf double, label string")
+    path, other = documents.write_labelled(df, df.where("label = 'player'"), str(tmp_path / "players.json"), 20.0)
+    assert other.endswith("players_labeled.json")
+    pool, labelled = documents.read_positions(spark, path), documents.read_positions(spark, other)
+    assert pool.count() == 3 and {(r.track_id, r.label) for r in labelled.collect()} == {(0, "sideline"), (1, "player")}

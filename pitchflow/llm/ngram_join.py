@@ -267,24 +267,27 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     needed = Stored(met.df.select("node").distinct())
     feats = Stored(sets.join(needed.df, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"]))
     base.drop()
-    needed.drop()
     named = Stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))).df
+    # the texts of nodes in lists, taken out of the documents once; their ids grow with the documents, so both sides are shuffled at any size
+    where = Stored(needed.df.join(named, "node").select("node", F.col("least").alias("doc_id")))
+    needed.drop()
+    held = docs.join(where.df.hint("merge"), "doc_id").select("node", F.col("text").cast("binary").alias("text"))
+    lone = nameless(docs, n).join(where.df.where("doc_id is null").select("node"), "node").groupBy("node").agg(F.min("text").alias("text"))
+    texts = Stored(held.unionByName(lone))
+    where.drop()
 
     def verify(met: DataFrame) -> DataFrame:
         ends = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-        where = Stored(ends.join(named, "node").select("node", F.col("least").alias("doc_id")))
-        held = docs.join(where.df, "doc_id").select("node", F.col("text").cast("binary").alias("text"))
-        lone = nameless(docs, n).join(where.df.where("doc_id is null").select("node"), "node").groupBy("node").agg(F.min("text").alias("text"))
-        texts = Stored(held.unionByName(lone)).df
-        one = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias("t" + c))
+        part = Stored(texts.df.join(ends, "node", "left_semi")).df
+        one = lambda c: part.select(F.col("node").alias(c), F.col("text").alias("t" + c))
         return verified(met.join(one("a"), "a").join(one("b"), "b"), n, percent)
 
     own = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
     several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     same = own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     at = pairs.linked(met.df, feats.df, verify, percent, WORDS, same)
-    met.drop()
-    feats.drop()
+    for x in (met, feats, texts):
+        x.drop()
     # equal sets are one node; rows without a set stand alone
     rooted = named.join(at, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members"))

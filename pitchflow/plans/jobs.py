@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..operators import commands as C
 from ..operators import job_log
 from ..operators import jobs as J
 from .bindings import JOB_EVENTS, JOBS, STAGES, job_events, jobs, rounded, stages
@@ -165,3 +166,29 @@ def queue_documents(spark, sf_dir):
         F.col("path").cast("long").alias("owner"), "queue_pos", "job_id", "status", F.array_join("stages.name", ",").alias("stages"), F.get("stages", F.lit(0))["status"].alias("first_status"),
         F.col("migrated").cast("int").alias("migrated"), F.col("extra")["later"].alias("later"),
     )
+
+
+@query(
+    "stage_commands",
+    sql=f"""WITH {JOBS}, {STAGES}, j AS (SELECT job_id, files, audio, interpolate, 'out/' || owner || '/j' || job_id || '.mp4' AS result, 'out/' || owner || '/work/j' || job_id AS work, CASE WHEN files > 1 THEN 'in/' || job_id || '_all.mp4' ELSE 'in/' || job_id || '.mp4' END AS source,
+  CASE WHEN files = 2 THEN ' --stride 3' ELSE '' END AS stride, CASE WHEN job_id % 4 = 1 THEN ' --t0 2.5' ELSE '' END || CASE WHEN job_id % 3 = 1 THEN ' --t1 90.0' ELSE '' END AS span, CASE WHEN job_id % 5 = 0 THEN ' --sr' ELSE '' END AS sr FROM jobs),
+p AS (SELECT *, CASE WHEN interpolate OR audio THEN work || '/silent.mp4' ELSE result END AS rendered, CASE WHEN audio THEN work || '/silent_interpolated.mp4' ELSE result END AS between_, CASE WHEN interpolate THEN work || '/silent_interpolated.mp4' ELSE work || '/silent.mp4' END AS to_mux FROM j)
+SELECT job_id, stage_pos, stage, CASE stage
+  WHEN 'concat' THEN 'ffmpeg -y -f concat -safe 0 -i ' || work || '/files.txt -c copy' || CASE WHEN audio THEN '' ELSE ' -an' END || ' in/' || job_id || '_all.mp4'
+  WHEN 'track' THEN 'worker track --project p.json --video ' || source || ' --out ' || work || '/tracks.json' || stride || span || ' --gpu --tiles ' || files
+  WHEN 'classify' THEN 'worker classify ' || work || '/tracks.json --project p.json --out ' || work || '/players.json'
+  WHEN 'campath' THEN 'worker campath ' || work || '/players.json --project p.json --out ' || work || '/campath.json'
+  WHEN 'render' THEN 'worker render ' || work || '/campath.json --project p.json --video ' || source || ' --out ' || rendered || sr || span
+  WHEN 'interpolate' THEN 'worker interpolate ' || rendered || ' --out ' || between_ || ' --fps 60'
+  WHEN 'audio_mux' THEN 'ffmpeg -y -i ' || to_mux || ' -i ' || source || ' -map 0:v -map 1:a -c copy -shortest ' || result END AS command
+FROM stages JOIN p USING (job_id)""",
+)
+def stage_commands(spark, sf_dir):
+    """The command of each stage of each job."""
+    j = jobs(spark, sf_dir).select(
+        "job_id", "files", "audio", "interpolate", F.concat(F.lit("out/"), "owner", F.lit("/j"), "job_id", F.lit(".mp4")).alias("result"), F.concat(F.lit("in/"), "job_id", F.lit("_all.mp4")).alias("joined"),
+        F.concat(F.lit("in/"), "job_id", F.lit(".mp4")).alias("video"), F.lit("p.json").alias("project"), (F.col("job_id") % 5 == 0).alias("enlarge"), F.when(F.col("files") == 2, 3).alias("stride"),
+        F.when(F.col("job_id") % 4 == 1, 2.5).alias("t0"), F.when(F.col("job_id") % 3 == 1, 90.0).alias("t1"),
+        F.create_map(F.lit("tiles"), F.col("files").cast("string"), F.lit("gpu"), F.lit("true"), F.lit("none"), F.lit("false")).alias("flags"), F.create_map(F.lit("fps"), F.lit("60")).alias("interpolate_flags"),
+    )
+    return C.commands(j, stages(spark, sf_dir)).select("job_id", "stage_pos", "stage", F.array_join("args", " ").alias("command"))

@@ -31,7 +31,7 @@ from .common import Stored
 WIDTH = 8
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
-PER_BIN, SPARE = 3, 4
+PER_BIN = 3
 WORDS = 32
 PERCENT = 80
 _BLANK = " \t\x0b\x0c\r"
@@ -88,10 +88,11 @@ def _bands(lines: DataFrame, all_runs: bool) -> DataFrame:
 def signatures(lines: DataFrame) -> tuple[Stored, Stored]:
     """h, copies and the keys of a line's bands, in two tables.
 
-    The first pass reads long lines by their least hashes. Lines that fill fewer bins so than
-    they should (they repeat themselves) are left to the second one, over all their runs.
+    The first pass reads long lines by their least hashes: a bin's least run is the least of all
+    its runs where it has one among them. Lines that leave any bin empty so are left to the second pass,
+    over all their runs; both give the keys that a full reading gives.
     """
-    whole = F.col("filled") >= BINS - SPARE
+    whole = F.col("filled") >= BINS
     seen = Stored(_bands(lines, False))
     first = Stored(seen.df.where(whole | (F.col("n") <= 2 * PER_BIN * BINS)).select("h", "copies", "keys"))
     weak = Stored(seen.df.where(~whole & (F.col("n") > 2 * PER_BIN * BINS)).select("h"))

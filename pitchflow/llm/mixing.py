@@ -131,7 +131,9 @@ def fit(soft: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
             size /= 2
     if max(map(abs, off)) < CLOSE:
         return at.withColumn("rate", rate(v))
-    raise RuntimeError(f"rates not fitted in {steps} steps; residuals {off}")
+    # every step lowered the objective, so the last rates are the nearest of those seen
+    warnings.warn(f"rates not within {CLOSE} of the targets after {steps} steps; residuals {[round(x, 6) for x in off]}", RuntimeWarning, stacklevel=2)
+    return at.withColumn("rate", rate(v))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, column: str = "lang") -> DataFrame:

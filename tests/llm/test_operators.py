@@ -432,6 +432,18 @@ def test_line_dedup_bands():
     assert (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS < 1e-3
 
 
+def test_line_dedup_signatures_are_full(spark):
+    """Reading the least hashes first gives the keys of a full reading, at every length and for lines that repeat themselves."""
+    r = random.Random(9)
+    lines = ["".join(r.choices("abcdefgh ijkl", k=n)) for n in (3, 20, 100, 180, 190, 260, 400, 900, 5000) for _ in range(6)]
+    lines += ["abcdefghijk" * 60, "=" * 700, "na " * 500 + "x", "".join(r.choices("ab", k=3000))]
+    d = line_dedup.lines_of(docs(spark, lines))
+    first, second = line_dedup.signatures(d)
+    keys = lambda df: {x.h: sorted(x["keys"]) for x in df.collect()}
+    got = keys(first.df) | keys(second.df)
+    assert got == keys(line_dedup._bands(d, True)) and len(got) == len(set(lines)) and second.df.count() >= 1
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(-50, 200), r.randint(-50, 200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1040)]

@@ -69,8 +69,10 @@ SPELLINGS = [
 _BIG, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # valid and alike in Java's, RE2's and Python's patterns
 _CLAIM = r"(^|\n)[^a-z0-9\n]*(portions +)?(copyright +(\(c\)|©|[0-9])|\(c\) +(copyright|[0-9])|© *[0-9]|copyright +(holder|owner|statement|notice)s? *:|all +rights +reserved)[^\n]*"
-# a holder's name, which starts with a capital, but for the words holder, owner, licence, law and notice
-_NAMED = r"(^|\n)[^A-Za-z0-9\n]*(Portions +)?Copyright +([A-GI-KMP-Z]|H[^o]|L[^ia]|N[^o]|O[^w])[^\n]*"
+# the words that make a line speak of copyright itself, not of a holder; marked, so that what remains is a name
+_TERM = r"(Copyright) +((Holder|Owner|Licen[cs]e|Law|Notice|Statement)s?([^A-Za-z]|$))"
+# a holder's name, which starts with a capital, after "Copyright" or "Copyright by"
+_NAMED = r"(^|\n)[^A-Za-z0-9\n]*(Portions +)?Copyright +(by +)?[A-Z][^\n]*"
 _GAP = "[^a-z0-9]+"
 
 # Digests of the canonical forms of published texts too long to hold here.
@@ -93,7 +95,7 @@ DIGESTS = {
 
 def canonical(text: str) -> str:
     """The same form in Python, for the known texts and for tests."""
-    x = re.sub(_NAMED, r"\1", text).translate(str.maketrans(_BIG, _LOW))
+    x = re.sub(_NAMED, r"\1", re.sub(_TERM, r"\1 _\2", text)).translate(str.maketrans(_BIG, _LOW))
     x = " " + re.sub(_GAP, "  ", re.sub(_CLAIM, r"\1", x)) + " "
     for a, b in _spellings():
         x = x.replace(a, b)
@@ -106,7 +108,7 @@ def _spellings() -> list[tuple[str, str]]:
 
 
 def canonical_column(text: Column) -> Column:
-    x = F.translate(F.regexp_replace(text, _NAMED, "$1"), _BIG, _LOW)
+    x = F.translate(F.regexp_replace(F.regexp_replace(text, _TERM, "$1 _$2"), _NAMED, "$1"), _BIG, _LOW)
     x = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(x, _CLAIM, "$1"), _GAP, "  "), F.lit(" "))
     for a, b in _spellings():
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -139,7 +141,7 @@ def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
 
 def oracle_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    x = f"' ' || regexp_replace(regexp_replace(translate(regexp_replace(text, {q(_NAMED)}, '\\1', 'g'), '{_BIG}', '{_LOW}'), {q(_CLAIM)}, '\\1', 'g'), {q(_GAP)}, '  ', 'g') || ' '"
+    x = f"' ' || regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(text, {q(_TERM)}, '\\1 _\\2', 'g'), {q(_NAMED)}, '\\1', 'g'), '{_BIG}', '{_LOW}'), {q(_CLAIM)}, '\\1', 'g'), {q(_GAP)}, '  ', 'g') || ' '"
     for a, b in _spellings():
         x = f"replace({x}, '{a}', '{b}')"
     rows = ", ".join(f"({q(d)}, {q(k)})" for d, k in sorted(known().items()))

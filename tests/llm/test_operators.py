@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, and their edge cases."""
 
 import collections
+import hashlib
 import html
 import random
 import re
@@ -322,6 +323,10 @@ def test_licenses_full_texts_and_holders(spark):
     mit = licenses.BODIES["MIT"]
     heads = ["Copyright Joyent, Inc.", "Copyright The Authors.", "Portions Copyright (c) 2020 Foo", "Copyright Foo 2020", "Copyright 2020 Foo\nAll rights reserved."]
     texts = [(folder / "Apache-2.0").read_text(), (folder / "GPL-3").read_text().upper().replace(" ", "\n"), *[f"MIT License\n{h}\n\n{mit}" for h in heads], "favour favour", "favor favor"]
+    names = ["Holmes Ltd", "Linus Torvalds", "Owen Smith", "by The Authors", "Notary Inc.", "Lawson & Sons", "Holders and Sons"]
+    named = [f"MIT License\nCopyright {x}\n\n{mit}" for x in names] + [f"MIT License\nCopyright Law applies.\n\n{mit}", f"Copyright Notice\n{mit}"]
+    assert [r.license for r in licenses.scan(docs(spark, named)).orderBy("doc_id").collect()] == ["MIT"] * 6 + [None] * 3
+    assert [licenses.known().get(hashlib.sha256(licenses.canonical(t).encode()).hexdigest()) for t in named] == ["MIT"] * 6 + [None] * 3
     got = [(r.license, r.digest) for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
     assert got[0][0] == "Apache-2.0" and [x for x, _ in got[2:7]] == ["MIT"] * 5 and got[7][1] == got[8][1]
     own = spark.createDataFrame([("OURS", "Our own words.")], "license string, text string")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,21 +82,29 @@ def fused(dets: DataFrame, rules: TrackRules) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, overlap: float = 0.5, least: float = 0.5) -> DataFrame:
-    """Greedy non-maximum suppression in each (match, frame, tile): boxes x1, y1, x2, y2 with conf, the surest first."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "det_id"], ascending=[False, True], kind="stable")
-        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        area = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
-        live, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not live[i]:
-                continue
-            keep.append(i)
-            w = np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0])
-            h = np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1])
-            common = np.maximum(0, w) * np.maximum(0, h)
-            live &= common <= overlap * np.maximum(area[i] + area - common, 1e-12)
-        return pdf.iloc[keep]
-
-    return boxes.where(F.col("conf") >= least).groupBy("match_id", "frame", "tile").applyInPandas(solve, boxes.schema)
+    """Greedy non-maximum suppression in each (match, frame, tile): boxes x1, y1, x2, y2 with conf, the surest first.
+
+    Boxes come sorted, so a task passes over its frames once and holds what it has kept of one tile.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
+        for b in batches:
+            mask = []
+            for m, f, t, x1, y1, x2, y2 in zip(*(b.column(c).to_pylist() for c in ("match_id", "frame", "tile", "x1", "y1", "x2", "y2"))):
+                if (m, f, t) != key:
+                    key, kept = (m, f, t), []
+                area, free = max(0.0, x2 - x1) * max(0.0, y2 - y1), True
+                for k1, l1, k2, l2, other in kept:
+                    common = max(0.0, min(x2, k2) - max(x1, k1)) * max(0.0, min(y2, l2) - max(y1, l1))
+                    if common > overlap * max(area + other - common, 1e-12):
+                        free = False
+                        break
+                if free:
+                    kept.append((x1, y1, x2, y2, area))
+                mask.append(free)
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    keys = ("match_id", "frame", "tile")
+    ordered = boxes.where(F.col("conf") >= least).repartition(*keys).sortWithinPartitions(*keys, F.desc("conf"), "det_id")
+    return ordered.mapInArrow(run, boxes.schema)

@@ -8,8 +8,9 @@ of ever wider buckets (virtual rehashing). A vector that lies in the windows of
 when it has k verified vectors nearer than the radius stands for; otherwise the windows
 grow until they hold every row, so a part gives all its rows if k are not found.
 
-Queries are dealt in blocks of `BLOCK`, so what is sent to the tasks is bounded; every
-block meets every part once, and each part gives at most k rows a query.
+A part has about `PART_ROWS` rows (fewer where a table is small). Its rows come to a task first, then every query as a
+row: the index is built once a part and its queries pass by one after the other, so a task holds one part,
+and the driver nothing. Each part gives at most k rows a query.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do
 rows without vec_id. A query meets vectors of its own length only. Rows with the same
@@ -31,9 +32,7 @@ PROJECTIONS = 48
 SHARE = 0.6
 STOP = 0.9
 GROWTH = 1.25
-BLOCK = 4096
-QUERY_STEP = 64
-PART_ROWS = 20_000
+PART_ROWS, FEW_ROWS = 20_000, 500
 SEED = 20
 
 
@@ -98,6 +97,11 @@ class Part:
         return [(int(self.ids[i]), float(near[i])) for i in best]
 
 
+def by_length(ids: list[int], vectors: list[np.ndarray]) -> dict[int, Part]:
+    size = np.array([len(v) for v in vectors])
+    return {int(d): Part(np.array(ids)[size == d], np.stack([v for v, n in zip(vectors, size) if n == d]).astype(float)) for d in np.unique(size)}
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for each query; rows and queries: vec_id, embedding."""
     spark = rows.sparkSession
@@ -107,43 +111,31 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     )
 
-    def scan(block: dict[int, tuple[np.ndarray, np.ndarray]]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            def ask(ids: list, vectors: list) -> Iterator[pd.DataFrame]:
-                size = np.array([len(v) for v in vectors])
-                for dim in np.unique(size):
-                    if dim not in block:
-                        continue
-                    at = np.flatnonzero(size == dim)
-                    part = Part(np.array([ids[i] for i in at]), np.stack([vectors[i] for i in at]).astype(float))
-                    qs, vs = block[dim]
-                    out = [(q, i, d) for q, v in zip(qs.tolist(), vs) for i, d in part.search(q, v, k)]
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-            ids, vectors = [], []
-            for b in batches:
-                ids += b["vec_id"].tolist()
-                vectors += b["embedding"].tolist()
-                if len(ids) >= PART_ROWS:
-                    yield from ask(ids, vectors)
-                    ids, vectors = [], []
-            if ids:
-                yield from ask(ids, vectors)
-
-        return run
-
-    parts = None
-    # blocks of the stated query set, one after the other: the driver holds one of them at a time
-    lows = [r.low for r in asked.groupBy().agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / BLOCK) - 1))).alias("low")).collect()]
-    for low in lows:
-        mine = asked if len(lows) == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(len(lows))) == low)
-        got = mine.toPandas()
-        block = {}
-        if len(got):
-            size = got["embedding"].map(len)
-            block = {int(d): (g["vec_id"].to_numpy(), np.stack(g["embedding"].tolist()).astype(float)) for d, g in got.groupby(size)}
-        one = good.mapInPandas(scan(block), "query_id long, vec_id long, score double")
-        parts = one if parts is None else parts.unionByName(one)
+    n = good.count()
+    parts = max(-(-n // PART_ROWS), min(-(-n // FEW_ROWS), spark.sparkContext.defaultParallelism), 1)
+    # by place, not by id: rows of one id may be a third of all
+    held = good.select(F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("part"), F.lit(0).alias("asks"), "vec_id", "embedding")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("asks"), "vec_id", "embedding")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, ids, vectors, index = None, [], [], None
+        for b in batches:
+            out = []
+            for p, asks, i, v in zip(b["part"].tolist(), b["asks"].tolist(), b["vec_id"].tolist(), b["embedding"]):
+                if p != part:
+                    part, ids, vectors, index = p, [], [], None
+                if not asks:
+                    ids.append(i)
+                    vectors.append(v)
+                    continue
+                if index is None:  # the part's last row has come: from here on its queries
+                    index = by_length(ids, vectors)
+                if len(v) in index:
+                    out += [(i, j, d) for j, d in index[len(v)].search(i, np.asarray(v, float), k)]
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    both = held.unionByName(sent).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "asks")
+    parts = both.mapInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

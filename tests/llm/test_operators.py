@@ -278,6 +278,32 @@ def test_toxicity_held_out(spark):
 # neighbours
 
 
+@pytest.mark.parametrize("part_rows", [20_000, 300])
+def test_neighbours_at_larger_scale(spark, monkeypatch, part_rows):
+    """All 20 queries of sf0.1, in one part a core and in parts of 300 rows; nine of ten true neighbours or more."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    V, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
+    got = queries.op6_neighbours(spark, sf).toPandas()
+    assert got.query_id.nunique() == (ids % 100 == 0).sum() and got.groupby("query_id").size().eq(10).all()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((V - V[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g.vec_id))
+    assert hit >= 0.9 * len(got)
+
+
+def test_neighbours_hot_id(spark):
+    """Many rows of one id are dealt to all parts and none is its own neighbour."""
+    r = np.random.default_rng(3)
+    rows = [(100, r.normal(size=8).tolist()) for _ in range(700)] + [(i, r.normal(size=8).tolist()) for i in range(101, 900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = neighbours.search(df, neighbours.stated_queries(df)).toPandas()
+    assert set(out.query_id) == {100, *range(200, 900, 100)} and (out.query_id != out.vec_id).all()
+
+
 def test_neighbours(spark):
     rows = table(spark, "embeddings")
     e = rows.toPandas()

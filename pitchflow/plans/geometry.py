@@ -360,26 +360,27 @@ def synthetic_marks(lens: Lens = LENS, ground: G.Ground = GROUND) -> fitting.Mar
 
 
 def camera_marks(spark, sf_dir) -> DataFrame:
-    """Marks of a camera a match: the field's corners, and each track's first positions taken to the nearer sideline, as that camera sees them.
+    """Marks of a camera a match: the field's corners, and each track's mean position taken to the nearer sideline, as that camera sees them.
 
-    Cameras differ in height, tilt and lens by their match; a position's conf moves its mark by up to a pixel.
+    Cameras differ in height, tilt and lens by their match; a track's mean conf moves its mark by part of a pixel.
     """
 
     def see(pdf):
         m = int(pdf["match_id"].iloc[0])
         ground = G.synthetic_ground(5.0 + m % 4, 6.0 + m % 5, 1.0 * (m % 3), FIELD)
         lens = Lens(k1=-0.02 * (m % 5), hfov_deg=188.0 + m % 5)
-        pdf = pdf.sort_values(["frame", "track_id"], kind="stable")
+        pdf = pdf.sort_values("track_id", kind="stable")
         side = np.where(np.abs(pdf["z"]) < np.abs(pdf["z"] - FIELD.width), "near", "far")
         points = np.vstack([_CORNERS, np.column_stack([np.clip(pdf["x"], -45, 45), np.where(side == "near", 0.0, FIELD.width)])])
         v = np.column_stack([points, np.ones(len(points))]) @ ground.matrix.T
         px = fitting.np_pixel(v / np.linalg.norm(v, axis=1, keepdims=True), lens)
-        px[4:] += (pdf["conf"].to_numpy() - 0.6)[:, None] * [1.0, -1.0]
+        px[4:] += (pdf["conf"].to_numpy() - 0.6)[:, None] * [4.0, -4.0]
         corner = np.arange(len(points)) < 4
         return pd.DataFrame({"camera_id": m, "kind": ["corner"] * 4 + list(side), "px": px[:, 0], "py": px[:, 1], "x": np.where(corner, points[:, 0], np.nan), "z": np.where(corner, points[:, 1], np.nan)})
 
-    first = positions(spark, sf_dir).where("frame < 2").select("match_id", "track_id", "frame", "x", "z", "conf")
-    return first.groupBy("match_id").applyInPandas(see, calibration.MARKS)
+    # spread along the line, as means lie near the middle
+    mean = positions(spark, sf_dir).groupBy("match_id", "track_id").agg((F.avg("x") * 8).alias("x"), F.avg("z").alias("z"), F.avg("conf").alias("conf"))
+    return mean.groupBy("match_id").applyInPandas(see, calibration.MARKS)
 
 
 _CORNERS = np.array([[-FIELD.length / 2, 0], [FIELD.length / 2, 0], [FIELD.length / 2, FIELD.width], [-FIELD.length / 2, FIELD.width]])

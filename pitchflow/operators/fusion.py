@@ -43,6 +43,31 @@ def pairs(dets: DataFrame, rules: TrackRules) -> DataFrame:
     return met.withColumn("score", score).where("score < 1").select("match_id", "frame", "a_id", "b_id", "score")
 
 
+def nearest(asked: DataFrame, points: DataFrame, reach: float = 5.0) -> DataFrame:
+    """match_id, frame, det_id, near_id, dist: the nearest of points in the frame of each of asked; frames without points have none.
+
+    Both have match_id, frame, det_id, x, z; distances count to nine decimals, ties go to the smaller id. A point within
+    reach lies in the own or a neighbouring cell, so an equi-join by cell settles all that have one; only the
+    others meet their whole frame.
+    """
+    gap = F.hypot(F.col("x") - F.col("px"), F.col("z") - F.col("pz"))
+    p = points.select("match_id", "frame", F.col("det_id").alias("p_id"), F.col("x").alias("px"), F.col("z").alias("pz"))
+    cell = lambda c, i=F.lit(0): F.floor(F.col(c) / reach) + i
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    by_cell = p.withColumn("_o", F.explode(around)).withColumns({"_cx": cell("px", F.col("_o.i")), "_cz": cell("pz", F.col("_o.j"))}).drop("_o")
+    key = ["match_id", "frame", "det_id"]
+
+    def least(met: DataFrame) -> DataFrame:
+        d = met.withColumn("dist", F.round(gap, 9))
+        return d.groupBy(*key).agg(F.min_by("p_id", F.struct("dist", "p_id")).alias("near_id"), F.min("dist").alias("dist"))
+
+    own = asked.select(*key, "x", "z")
+    close = least(own.withColumns({"_cx": cell("x"), "_cz": cell("z")}).join(by_cell, ["match_id", "frame", "_cx", "_cz"]).where(gap <= reach))
+    settled = own.join(close, key, "left")
+    far = least(settled.where("near_id is null").drop("near_id", "dist").join(p, ["match_id", "frame"]))
+    return settled.where("near_id is not null").select(*key, "near_id", "dist").unionByName(far)
+
+
 def clusters(dets: DataFrame, rules: TrackRules) -> DataFrame:
     """dets with cluster: the smallest det_id of its component within the frame."""
     linked = pairs(dets, rules).groupBy("match_id", "frame").agg(F.collect_list(F.struct("a_id", "b_id")).alias("edges"))

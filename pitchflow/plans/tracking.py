@@ -193,12 +193,9 @@ SELECT l.match_id, l.frame, l.det_id, min_by(s.det_id, struct_pack(d := round(sq
 FROM low l JOIN sure s ON s.match_id = l.match_id AND s.frame = l.frame GROUP BY ALL""",
 )
 def nearest_same_frame(spark, sf_dir):
-    """Each unsure detection's nearest sure one in its frame: an equi-join on the frame, then a minimum."""
+    """Each unsure detection's nearest sure one in its frame: by cell first, then by frame for those without one near."""
     d = detections(spark, sf_dir)
-    s = d.where("conf >= 0.9").select("match_id", "frame", F.col("det_id").alias("s_id"), F.col("x").alias("sx"), F.col("z").alias("sz"))
-    gap = F.round(F.hypot(F.col("x") - F.col("sx"), F.col("z") - F.col("sz")), 9)
-    met = d.where("conf < 0.4").join(s, ["match_id", "frame"]).withColumn("dist", gap)
-    return met.groupBy("match_id", "frame", "det_id").agg(F.min_by("s_id", F.struct("dist", "s_id")).alias("near_id"), F.min("dist").alias("dist"))
+    return fusion.nearest(d.where("conf < 0.4"), d.where("conf >= 0.9"), 5.0)
 
 
 @query("customer_activity", sql="SELECT c_custkey, CAST(EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS INT) AS active FROM customer")

@@ -312,3 +312,21 @@ def test_phantoms_against_a_loop(spark):
                 want[m, t, f] = round(s, 9)
     assert {(q.match_id, q.track_id, q.frame): round(q.near_spread, 9) for q in got} == want and len(got) == len(want) > 100
     assert D.phantoms(h.select("match_id", "track_id", "frame").limit(0), h, rules).count() == 0
+
+
+def test_nearest_in_frame(spark):
+    """All pairs of a frame, with points near and far, ties, and frames without any."""
+    r = random.Random(4)
+    rows = lambda base, n: [(m, f, base + 1000 * m + 100 * f + i, round(r.uniform(-40, 40)), round(r.uniform(0, 30))) for m in (1, 2) for f in range(8) for i in range(n if f else 0)]
+    asked, points = rows(0, 9) + [(1, 0, 99_999, 0.0, 0.0)], rows(50_000, 12)
+    schema = "match_id long, frame long, det_id long, x double, z double"
+    make = lambda x: spark.createDataFrame([(m, f, i, float(a), float(b)) for m, f, i, a, b in x], schema)
+    want = {}
+    for m, f, i, x, z in asked:
+        near = [(round(math.hypot(x - a, z - b), 9), j) for n, g, j, a, b in points if (n, g) == (m, f)]
+        if near:
+            want[i] = min(near)
+    for reach in (2.0, 9.0, 200.0):
+        got = {q.det_id: (q.dist, q.near_id) for q in fusion.nearest(make(asked), make(points), reach).collect()}
+        assert got == want
+    assert fusion.nearest(make(asked).limit(0), make(points)).count() == 0

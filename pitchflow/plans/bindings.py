@@ -117,8 +117,13 @@ STAGES = """stages AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITION
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Doubles at a fixed number of decimals, so that engines compare."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles at a fixed number of decimals, so that engines compare.
+
+    Scaled, rounded to whole numbers and scaled back, as DuckDB does: Spark's own rounding to decimals goes by
+    the digits in writing and differs next to halves.
+    """
+    by = float(10**digits)
+    return df.select(*[(F.round(F.col(c) * by) / by).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 _EVENT = "CASE event_type WHEN 'click' THEN 'ok' WHEN 'purchase' THEN 'start' WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'pause' ELSE 'resume' END WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'stop' ELSE 'retry' END ELSE CASE WHEN event_id % 4 = 0 THEN 'skip' ELSE 'start' END END"

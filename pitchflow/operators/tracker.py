@@ -15,6 +15,50 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """The cheapest one-to-one matching of all rows or all columns (Kuhn-Munkres with potentials)."""
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
+    row_of = _rows_of_few(c.tolist()) if c.size <= FEW else _rows_of(c)
+    found = [(int(row_of[j]) - 1, j - 1) for j in range(1, c.shape[1] + 1) if row_of[j]]
+    return sorted((j, i) if turned else (i, j) for i, j in found)
+
+
+#: Cells up to which plain numbers are faster than arrays.
+FEW = 400
+
+
+def _rows_of_few(c: list[list[float]]) -> list[int]:
+    """As `_rows_of`, step for step, over lists."""
+    n, m = len(c), len(c[0]) if c else 0
+    u, v, row_of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j0 = i, 0
+        least, used, free = [float("inf")] * (m + 1), [0], list(range(1, m + 1))
+        while True:
+            i0 = row_of[j0]
+            row, base = c[i0 - 1], u[i0]
+            j1, delta = 0, float("inf")
+            for j in free:
+                cur = row[j - 1] - base - v[j]
+                if cur < least[j]:
+                    least[j], way[j] = cur, j0
+                if least[j] < delta or not j1:
+                    j1, delta = j, least[j]
+            for j in used:
+                u[row_of[j]] += delta
+                v[j] -= delta
+            for j in free:
+                least[j] -= delta
+            j0 = j1
+            if not row_of[j0]:
+                break
+            used.append(j0)
+            free.remove(j0)
+        while j0:
+            row_of[j0] = row_of[way[j0]]
+            j0 = way[j0]
+    return row_of
+
+
+def _rows_of(c: np.ndarray) -> np.ndarray:
+    """The row (from 1) of each column (from 1), 0 where none; at least as many columns as rows."""
     n, m = c.shape
     u, v, row_of, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -40,75 +84,99 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             j1 = way[j0]
             row_of[j0] = row_of[j1]
             j0 = j1
-    found = [(int(row_of[j]) - 1, j - 1) for j in range(1, m + 1) if row_of[j]]
-    return sorted((j, i) if turned else (i, j) for i, j in found)
+    return row_of
 
 
 UNGATED = 1e6
 
 
+def matched(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the gated pairs of the cheapest matching.
+
+    Where the cheapest columns of the rows differ, they are the matching: each row is at its least. Else the
+    matching is solved over the few columns that it can use: of k rows none needs more than its k cheapest.
+    """
+    best = cost.argmin(1)
+    i = (cost.min(1) < UNGATED).nonzero()[0]
+    j = best[i]
+    if len(set(j.tolist())) == len(j):
+        return i, j
+    few = cost[i]
+    k = len(i)
+    use = np.array(sorted(set(few.argpartition(k - 1, axis=1)[:, :k].ravel().tolist()))) if k < few.shape[1] else np.arange(few.shape[1])
+    rows, columns = np.array(assign(few[:, use])).T
+    i, j = i[rows], use[columns]
+    held = cost[i, j] < UNGATED
+    return i[held], j[held]
+
+
 class Tracker:
-    """All live tracks of one match, a row each of arrays. `as_dict` and `from_dict` hand them from chunk to chunk."""
+    """All live tracks of one match, a row each of two arrays. `as_dict` and `from_dict` hand them from chunk to chunk.
+
+    The model treats both axes alike and apart, so a covariance is three numbers: of place, of place and speed, of speed.
+    """
 
     def __init__(self, rules: TrackRules):
         dt, q, r = rules.dt, rules.q_accel**2, rules.r_pos**2
-        self.rules, self.next_id = rules, 0
-        self.F = np.eye(4)
-        self.F[0, 2] = self.F[1, 3] = dt
-        g = np.array([[dt * dt / 2, 0], [0, dt * dt / 2], [dt, 0], [0, dt]])
-        self.Q, self.R = q * g @ g.T, r * np.eye(2)
+        self.rules, self.next_id, self.r = rules, 0, r
+        # x, z, their speeds and the three covariances a step on: rows @ move + noise
+        self.move = np.eye(7)
+        self.move[2, 0] = self.move[3, 1] = self.move[6, 5] = dt
+        self.move[5, 4], self.move[6, 4] = 2 * dt, dt * dt
+        self.noise = q * np.array([0, 0, 0, 0, dt**4 / 4, dt**3 / 2, dt * dt])
         # the first point updates its own filter, which keeps it in place
-        fresh = np.diag([r, r, 25.0, 25.0])
-        self.fresh = fresh - fresh[:, :2] @ np.linalg.inv(fresh[:2, :2] + self.R) @ fresh[:2]
-        self.ids, self.hits, self.misses = (np.zeros(0, np.int64) for _ in range(3))
-        self.state, self.P = np.zeros((0, 4)), np.zeros((0, 4, 4))
-
-    def distances(self, points: np.ndarray) -> np.ndarray:
-        """Mahalanobis distance of each point from each track's predicted place."""
-        S = self.P[:, :2, :2] + self.R
-        det = S[:, 0, 0] * S[:, 1, 1] - S[:, 0, 1] * S[:, 1, 0]
-        y = points[None] - self.state[:, None, :2]
-        form = S[:, None, 1, 1] * y[..., 0] ** 2 - (S[:, None, 0, 1] + S[:, None, 1, 0]) * y[..., 0] * y[..., 1] + S[:, None, 0, 0] * y[..., 1] ** 2
+        self.fresh = np.array([0.0, 0.0, r - r * r / (r + r) if r else 0.0, 0.0, 25.0])
+        self.rows, self.counts = np.zeros((0, 7)), np.zeros((0, 3), np.int64)  # counts: id, hits, misses
+
+    def costs(self, points: np.ndarray) -> np.ndarray:
+        """Mahalanobis distance of each point from each track's predicted place; UNGATED beyond the gate."""
+        x, z = points[:, :1] - self.rows[:, 0], points[:, 1:] - self.rows[:, 1]
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.sqrt(form / det[:, None])
+            d = np.sqrt((x * x + z * z) / (self.rows[:, 4] + self.r))
+        return np.where(d <= self.rules.gate, d, UNGATED)  # false for nan
 
     def step(self, points: np.ndarray) -> np.ndarray:
         """One detection step over points (n, 2); the track of each point."""
-        self.state, self.P, self.misses = self.state @ self.F.T, self.F @ self.P @ self.F.T + self.Q, self.misses + 1
+        self.rows = self.rows @ self.move + self.noise
+        self.counts[:, 2] += 1
         owner = np.full(len(points), -1, np.int64)
-        if len(self.ids) and len(points):
-            d = self.distances(points)
-            cost = np.where(d <= self.rules.gate, d, UNGATED)  # false for nan
-            pairs = [(i, j) for i, j in assign(cost) if cost[i, j] < UNGATED]
-            if pairs:
-                i, j = np.array(pairs).T
-                P = self.P[i]
-                K = P[:, :, :2] @ np.linalg.inv(P[:, :2, :2] + self.R)
-                self.state[i] += (K @ (points[j] - self.state[i, :2])[..., None])[..., 0]
-                self.P[i] = P - K @ P[:, :2]
-                self.hits[i] += 1
-                self.misses[i], owner[j] = 0, self.ids[i]
-        new = np.flatnonzero(owner < 0)
-        owner[new] = self.next_id + np.arange(len(new))
-        self.next_id += len(new)
-        live = self.misses <= self.rules.max_age
-        self.ids = np.concatenate([self.ids[live], owner[new]])
-        self.hits = np.concatenate([self.hits[live], np.ones(len(new), np.int64)])
-        self.misses = np.concatenate([self.misses[live], np.zeros(len(new), np.int64)])
-        self.state = np.concatenate([self.state[live], np.hstack([points[new], np.zeros((len(new), 2))])])
-        self.P = np.concatenate([self.P[live], np.repeat(self.fresh[None], len(new), 0)])
+        if len(self.rows) and len(points):
+            j, i = matched(self.costs(points))
+            if len(i):
+                t = self.rows[i]
+                gain = t[:, 4:6] / (t[:, 4:5] + self.r)
+                off = points[j] - t[:, :2]
+                t[:, :2] += gain[:, :1] * off
+                t[:, 2:4] += gain[:, 1:] * off
+                t[:, 6] -= gain[:, 1] * t[:, 5]
+                t[:, 4:6] -= gain[:, :1] * t[:, 4:6]
+                self.rows[i] = t
+                self.counts[i, 1] += 1
+                self.counts[i, 2] = 0
+                owner[j] = self.counts[i, 0]
+        live = self.counts[:, 2] <= self.rules.max_age
+        if not live.all():
+            self.rows, self.counts = self.rows[live], self.counts[live]
+        new = (owner < 0).nonzero()[0]
+        if len(new):
+            owner[new] = self.next_id + np.arange(len(new))
+            self.next_id += len(new)
+            rows, counts = np.empty((len(new), 7)), np.zeros((len(new), 3), np.int64)
+            rows[:, :2], rows[:, 2:] = points[new], self.fresh
+            counts[:, 0], counts[:, 1] = owner[new], 1
+            self.rows, self.counts = np.concatenate([self.rows, rows]), np.concatenate([self.counts, counts])
         return owner
 
     def as_dict(self) -> dict:
-        rows = zip(self.ids.tolist(), self.state.tolist(), self.P.tolist(), self.hits.tolist(), self.misses.tolist())
-        return {"next_id": self.next_id, "tracks": [dict(zip(("id", "state", "P", "hits", "misses"), r)) for r in rows]}
+        state = lambda t: {"state": t[:4], "P": np.kron([[t[4], t[5]], [t[5], t[6]]], np.eye(2)).tolist()}
+        return {"next_id": self.next_id, "tracks": [{"id": n, **state(t), "hits": h, "misses": m} for t, (n, h, m) in zip(self.rows.tolist(), self.counts.tolist())]}
 
     @classmethod
     def from_dict(cls, rules: TrackRules, d: dict) -> Tracker:
         out, held = cls(rules), d["tracks"]
         out.next_id = d["next_id"]
-        out.ids, out.hits, out.misses = (np.array([t[c] for t in held], np.int64) for c in ("id", "hits", "misses"))
-        out.state, out.P = np.array([t["state"] for t in held], float).reshape(-1, 4), np.array([t["P"] for t in held], float).reshape(-1, 4, 4)
+        out.counts = np.array([[t[c] for c in ("id", "hits", "misses")] for t in held], np.int64).reshape(-1, 3)
+        out.rows = np.array([[*t["state"], t["P"][0][0], t["P"][0][2], t["P"][2][2]] for t in held], float).reshape(-1, 7)
         return out
 
 

@@ -9,6 +9,7 @@ from ..operators import densify as D
 from ..operators import features as P
 from ..operators import fusion, tracker
 from ..schema import TrackRules
+from ..sources.shared import kept
 from .bindings import DETECTIONS, HITS, detections, hits, rounded, table
 
 #: Hourly frames: six hours of coasting.
@@ -70,7 +71,8 @@ def tracks(spark, sf_dir):
 
 @query("tracked_positions")
 def tracked_positions(spark, sf_dir):
-    h = tracker.track(detections(spark, sf_dir), HOURLY)
+    """The tracker runs once: its hits are written down, as lengths, stationary tracks, frames and phantoms each read them."""
+    h = kept(tracker.track(detections(spark, sf_dir), HOURLY), "hits")
     return rounded(D.emitted(h, HOURLY))
 
 

@@ -3,8 +3,15 @@
 import math
 import random
 
+import numpy as np
+from conftest import SF
+from pyspark.sql import functions as F
+
+from pitchflow import catalog
 from pitchflow.operators import densify as D
-from pitchflow.plans.bindings import rounded
+from pitchflow.operators import tracker as T
+from pitchflow.plans import tracking
+from pitchflow.plans.bindings import detections, rounded
 
 
 def test_spread_is_the_root_of_squares_to_the_bit(spark):
@@ -26,3 +33,37 @@ def test_rounding_next_to_halves(spark):
     values = [7919 * i / 1e5 + 5e-10 + 20 for i in range(2000)]
     got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
     assert got == [x for (x,) in duckdb.execute("SELECT round(v, 9) FROM (SELECT unnest(?) AS v)", [values]).fetchall()]
+
+
+def test_positions_do_not_track_again(spark):
+    got = catalog.QUERIES["tracked_positions"](spark, SF)
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = rounded(D.emitted(T.track(detections(spark, SF), tracking.HOURLY), tracking.HOURLY))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_matching_over_few_columns_is_the_whole_one():
+    r = np.random.default_rng(0)
+    for _ in range(500):
+        cost = r.uniform(0, 8, (r.integers(1, 7), r.integers(1, 12)))
+        cost[cost > 4] = T.UNGATED
+        i, j = T.matched(cost)
+        want = [(a, b) for a, b in T.assign(cost) if cost[a, b] < T.UNGATED]
+        assert sorted(zip(i.tolist(), j.tolist())) == want
+        wide = cost.T if cost.shape[0] > cost.shape[1] else cost
+        assert T._rows_of(wide)[1:].tolist() == T._rows_of_few(wide.tolist())[1:]
+
+
+def test_phantoms_where_both_sides_are_coalesced_apart(spark, tmp_path):
+    from pitchflow.plans.bindings import hits
+
+    hits(spark, "/root/testdata/sf0.1").withColumn("tiles", F.lit(1).cast("long")).write.parquet(f"{tmp_path}/hits")
+
+    def found(adaptive):
+        session = spark.newSession()
+        session.conf.set("spark.sql.adaptive.enabled", adaptive)
+        h = session.read.parquet(f"{tmp_path}/hits")
+        kept = D.long_enough(h, tracking.HOURLY).join(D.stationary(h, tracking.HOURLY).select("match_id", "track_id"), ["match_id", "track_id"], "left_anti")
+        return D.phantoms(D.densify(kept, tracking.HOURLY), kept, tracking.HOURLY).count()
+
+    assert found("true") == found("false") > 0

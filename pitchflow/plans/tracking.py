@@ -93,9 +93,7 @@ def densified(spark, sf_dir):
 SELECT f.match_id, f.track_id, f.frame, min(abs(h.frame - f.frame)) AS dist FROM frames f JOIN hits h ON h.match_id = f.match_id AND h.track_id = f.track_id GROUP BY ALL""",
 )
 def nearest_hit_distance(spark, sf_dir):
-    h = hits(spark, sf_dir)
-    frames = h.groupBy("match_id", "track_id").agg(F.explode(F.sequence(F.min("frame"), F.max("frame"))).alias("frame"))
-    return D.nearest_hit(frames, h)
+    return D.hit_distances(hits(spark, sf_dir))
 
 
 _SPREAD = f"""{HITS}, mid AS (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY {_K}) AS mx, quantile_cont(z, 0.5) OVER (PARTITION BY {_K}) AS mz FROM hits),

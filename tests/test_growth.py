@@ -67,3 +67,11 @@ def test_phantoms_where_both_sides_are_coalesced_apart(spark, tmp_path):
         return D.phantoms(D.densify(kept, tracking.HOURLY), kept, tracking.HOURLY).count()
 
     assert found("true") == found("false") > 0
+
+
+def test_distances_shuffle_hits_alone(spark):
+    hits = [(0, 1, f) for f in (3, 4, 9, 9, 15)] + [(0, 2, 7)]
+    got = D.hit_distances(spark.createDataFrame(hits, "match_id long, track_id long, frame long"))
+    assert sorted(map(tuple, got.collect())) == [(0, t, f, min(abs(f - h) for _, k, h in hits if k == t)) for t, a, b in ((1, 3, 15), (2, 7, 7)) for f in range(a, b + 1)]
+    plan = catalog.QUERIES["nearest_hit_distance"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window")  # above all windows, so nothing exploded is sorted

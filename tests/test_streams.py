@@ -51,6 +51,27 @@ def test_delay_waits_for_the_next_chunk(spark):
     assert rows_of(got.where("match_id = 1")) == rows_of(C.look_ahead(one, rules).select(*got.columns))
 
 
+def test_delay_keeps_one_state_for_a_span_of_matches(spark, tmp_path):
+    """State calls grow with the spans, not the matches; each match still waits, ends and is timed out by itself."""
+    rules = CameraRules(lookahead_s=0.5)
+    r = random.Random(3)
+    df = spark.createDataFrame([(m, f, r.uniform(-30, 30), 1.0 * m, r.uniform(30, 80)) for m in range(0, 40, 2) for f in range(m % 7, 100 - m)], SIGNALS)
+    ended = df.where("match_id < 10")
+    marks = ended.groupBy("match_id").agg(F.lit(500).cast("long").alias("frame")).selectExpr("match_id", "frame", "null yaw", "null pitch", "null hfov", "true ended")
+    clock = spark.createDataFrame([(99, f, 0.0, 0.0, 40.0) for f in (200, 300)], SIGNALS)
+    rows = df.unionByName(clock).selectExpr("*", "false ended").unionByName(marks)
+    session = spark.newSession()
+    session.conf.set(delay._STORE, delay._ROCKS)
+    delay.in_order(delay.stepped(rows, "chunk", 20), f"file://{tmp_path}/in", "chunk")
+    stream = session.readStream.schema(delay.SIGNALS).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = delay.delayed_targets(stream, rules, 20).writeStream.format("memory").queryName("spans").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = session.table("spans").where("match_id < 99")
+    assert rows_of(got) == rows_of(C.look_ahead(df, rules).select(*got.columns)) and got.count() > 500
+    timers = [p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in q.recentProgress if p.stateOperators]
+    assert 2 <= max(timers) <= 4
+
+
 def test_late_rows_of_a_released_chunk_are_passed_over(spark, tmp_path):
     rules = CameraRules(lookahead_s=0.5)
     session = spark.newSession()

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 from math import comb
 
 import numpy as np
@@ -89,6 +89,10 @@ class Scheme:
     def least_overlap(self, size: int) -> int:
         return -(-size * self.percent // 100)
 
+    def largest(self, size: int) -> int:
+        """The size of its largest partner."""
+        return size * 100 // self.percent
+
     def subsets(self, size: int) -> int:
         return sum(comb(size, o) for o in range(self.least_overlap(size), size + 1))
 
@@ -232,9 +236,9 @@ def boundary(scheme: Scheme, sets: DataFrame, ends: DataFrame) -> int:
     small = sets.where(F.col("n_shingles").between(scheme.least, scheme.most_light))
     terms = small.select("n_shingles", "node", F.explode("listed").alias("key")).distinct()
     rows = terms.join(ends, "key", "left").groupBy("n_shingles").agg(F.sum(F.coalesce("length", F.lit(1))).alias("scan"), F.count_distinct("node").alias("sets")).collect()
-    heavy = {r.n_shingles: r.scan for r in rows}  # a row for each of a few sizes
+    heavy = {r.n_shingles: r.scan for r in rows}  # a row for each of a few sizes; those stay listed that may have a heavy partner
     light = {r.n_shingles: r.sets * scheme.subsets(r.n_shingles) for r in rows}
-    cost = lambda x: sum(v for k, v in light.items() if k <= x) + sum(v for k, v in heavy.items() if k > x)
+    cost = lambda x: sum(v for k, v in light.items() if k <= x) + sum(v for k, v in heavy.items() if scheme.largest(k) > x)
     return min(range(scheme.least - 1, scheme.most_light + 1), key=lambda x: (cost(x), x))
 
 
@@ -245,27 +249,26 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     base = Stored(signed(docs, n, percent, rarity(docs, n)))
     rows = Stored(base.df.select("doc_id", "n_shingles", "node")).df
     sets = base.df.where(F.size("bits") > 0)
-    terms = lambda which, rows: rows.select(F.explode(which).alias("key"), "node", F.lit(1).alias("copies"))
+    terms = lambda which, rows: rows.select(F.explode(which).alias("key"), "node", F.col("n_shingles").cast("int").alias("n"))
     listed = pairs.shared(terms("listed", sets))
-    ends = pairs.ends(listed.df)
+    ends = pairs.ends(listed.df.withColumn("copies", F.lit(1)))
     light = boundary(scheme, sets, ends.df)
     if light < scheme.least:
         met = pairs.members(listed.df, ends.df)
     else:
-        heavy = sets.where(F.floor(F.col("n_shingles") * 100 / percent) > light).select("node").distinct()
-        met = pairs.members(listed.df.join(heavy, "node", "left_semi"), ends.df)
+        met = pairs.members(listed.df.where(F.col("n") * 100 >= (light + 1) * percent), ends.df)
     listed.drop()
     ends.drop()
     if light >= scheme.least:
         few = pairs.shared(terms("enumerated", sets.where(F.col("n_shingles") <= light)))
-        ends = pairs.ends(few.df)
+        ends = pairs.ends(few.df.withColumn("copies", F.lit(1)))
         more = pairs.members(few.df, ends.df)
         few.drop()
         ends.drop()
         met = Stored(met.df.unionByName(more.df))
         more.drop()
     needed = Stored(met.df.select("node").distinct())
-    feats = Stored(sets.join(needed.df, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"]))
+    feats = Stored(sets.join(needed.df.hint("merge"), "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"]))
     base.drop()
     named = Stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))).df
     # the texts of nodes in lists, taken out of the documents once; their ids grow with the documents, so both sides are shuffled at any size
@@ -276,9 +279,12 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     texts = Stored(held.unionByName(lone))
     where.drop()
 
+    checks = count()
+
     def verify(met: DataFrame) -> DataFrame:
         ends = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-        part = Stored(texts.df.join(ends, "node", "left_semi")).df
+        # the nodes of the first check grow with the documents, those of later ones are few
+        part = Stored(texts.df.join(ends if next(checks) else ends.hint("merge"), "node", "left_semi")).df
         one = lambda c: part.select(F.col("node").alias(c), F.col("text").alias("t" + c))
         return verified(met.join(one("a"), "a").join(one("b"), "b"), n, percent)
 

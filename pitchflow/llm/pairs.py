@@ -42,9 +42,9 @@ def spread(feats: DataFrame, words: int, c: str, *more: Column) -> DataFrame:
 
 
 def shared(lists: DataFrame) -> Stored:
-    """The rows of keys with several nodes, once each. Most keys have one: two numbers a key tell, before anything else is shuffled."""
+    """The rows (key, node and what else a node has) of keys with several nodes, once each. Most keys have one: two numbers a key tell, before anything else is shuffled."""
     several = lists.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    return Stored(lists.join(several, "key", "left_semi").groupBy("key", "node").agg(F.max("copies").alias("copies")))
+    return Stored(lists.join(several, "key", "left_semi").groupBy("key", "node").agg(*[F.max(c).alias(c) for c in lists.columns if c not in ("key", "node")]))
 
 
 def ends(lists: DataFrame) -> Stored:
@@ -83,9 +83,10 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
     links = checked(met.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")))
     at = components(links if more is None else links.unionByName(more))
     for turn in range(TURNS):
-        # another node of each list that is still apart, by chance, against those of other components
+        # another node of each list that is still apart, by chance, against those of other components;
+        # another one in each list, as lists of a large group are many and have most of their nodes in common
         rooted = Stored(met.join(at, "node", "left").select("key", "node", "lo", F.coalesce("root", "node").alias("root")))
-        order = F.xxhash64("node", F.lit(turn))
+        order = F.xxhash64("node", "key", F.lit(turn))
         heads = rooted.df.groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("root", order).alias("ra"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         open_ = Stored(rooted.df.join(heads.where("r0 < r1").drop("r0", "r1"), "key"))
         rooted.drop()

@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pitchflow.llm import exact_dedup, queries, ranked_search, spelling
+from pitchflow.llm import exact_dedup, ngram_join, pairs, queries, ranked_search, spelling
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -260,3 +260,30 @@ def test_search_edges(spark):
     merged = [(1, "wordthing one one"), (5, "thinghere")]
     got = ranks(ranked_search.rank_all(d, asked))
     assert got == slow_search([(r.doc_id, r.text) for r in d.drop("item_id").collect()], merged)
+
+
+def test_boundary_counts_lists_that_stay(spark):
+    """Sets of six n-grams may have partners of seven: they stay listed whatever six costs, and enumerating them saves nothing."""
+    scheme = ngram_join.Scheme(85)
+    sets = spark.createDataFrame([(6, i, [1]) for i in range(50)], "n_shingles long, node long, listed array<long>")
+    lengths = spark.createDataFrame([(1, 50)], "key long, length long")
+    assert ngram_join.boundary(scheme, sets, lengths) in (scheme.least - 1, 7)
+    both = sets.unionByName(spark.createDataFrame([(7, 100 + i, [2]) for i in range(5000)], sets.schema))
+    assert ngram_join.boundary(scheme, both, lengths) == scheme.least - 1
+
+
+def test_lists_with_most_nodes_in_common_take_other_heads(spark):
+    """Thirty lists of the same sixty nodes and one of their own: each turn holds them against many nodes, not all against one."""
+    met = spark.createDataFrame([(k, i, 0) for k in range(30) for i in [*range(60), 100 + k]], "key long, node long, lo long")
+    feats = met.select("node").distinct().selectExpr("node", "10L n", "array(0L) bits")
+    heads = []
+
+    def verify(found):
+        rows = found.collect()
+        heads.append({r.a for r in rows})
+        links = [(r.a, r.b) for r in rows if r.a % 3 == r.b % 3]
+        return spark.createDataFrame(links, "a long, b long")
+
+    got = {r.node: r.root for r in pairs.linked(met, feats, verify, 85, 1).collect()}
+    assert got == {i: i % 3 for i in [*range(60), *range(100, 130)] if i > 2}
+    assert len(heads[1]) > 5

@@ -22,6 +22,9 @@ replaced where the input has it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,11 @@ from .common import Stored
 WIDTH = 8
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
-PER_BIN = 3
+PER_BIN = 8
+FEW = PER_BIN * BINS
+HALVES = 2
 WORDS = 32
+CELLS = 8 * WORDS
 PERCENT = 80
 _BLANK = " \t\x0b\x0c\r"
 
@@ -68,21 +74,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _bands(lines: DataFrame, all_runs: bool) -> DataFrame:
-    """h, copies, n, filled (bins with a run) and the bands' keys of each text; all but the first shuffle stays in its task."""
+    """h, copies (2^20 at most), many (more than FEW runs), filled (bins with a run) and the bands' keys of each text; all but the first shuffle stays in its task.
+
+    What goes with h is packed into one number with the band, as a hash table of two numbers is quicker than one of four.
+    """
     kinds = lines.groupBy("h").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
-    hashed = _positions(kinds, "h", "copies").select("h", "copies", "n", _hash().alias("s"))
+    hashed = _positions(kinds, "h", "copies").select("h", "copies", "n", "i", _hash().alias("s"))
+    many = F.col("n") > FEW
     if not all_runs:
         # long lines: the least hashes, PER_BIN a bin as expected, hold the least of nearly every bin;
         # the first run keeps a line in the table whose least hashes all lie higher
-        low = F.lit(-(1 << 63)) + F.expr(f"9223372036854775807L div n * {2 * PER_BIN * BINS}L")
-        hashed = hashed.where((F.col("n") <= 2 * PER_BIN * BINS) | (F.col("i") == 1) | (F.col("s") < F.when(F.col("n") > 2 * PER_BIN * BINS, low)))
-    by = ["h", "copies", "n"]
-    bins = hashed.groupBy(*by, F.pmod("s", F.lit(BINS)).cast("int").alias("bin")).agg(F.min("s").alias("m"))
-    row = lambda r: F.coalesce(F.min(F.when(F.pmod("bin", F.lit(ROWS)) == r, F.col("m"))), F.lit(r).cast("long"))
-    band = F.floor(F.col("bin") / ROWS).cast("int").alias("band")
-    keys = bins.groupBy(*by, band).agg(*[row(r).alias(f"m{r}") for r in range(ROWS)], F.count("*").alias("filled"))
-    keys = keys.select(*by, "filled", F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("key"))
-    return keys.groupBy(*by).agg(F.sum("filled").alias("filled"), F.collect_list("key").alias("keys"))
+        low = F.expr(f"2L * ((9223372036854775807L div n) * {FEW}L - 4611686018427387904L)")
+        hashed = hashed.where(~many | (F.col("i") == 1) | (F.col("s") < F.when(many, low)))
+    who = F.least("copies", F.lit(1 << 20)) * 2 + many.cast("long")
+    binned = hashed.select("h", who.alias("who"), "s", F.pmod("s", F.lit(BINS)).cast("int").alias("bin"))
+    at = F.col("who") * BANDS + F.expr(f"bin div {ROWS}")
+    least = [F.min(F.when(F.pmod("bin", F.lit(ROWS)) == r, F.col("s"))).alias(f"m{r}") for r in range(ROWS)]
+    bands = binned.groupBy("h", at.alias("at")).agg(*least)
+    filled = reduce(add, (F.col(f"m{r}").isNotNull().cast("int") for r in range(ROWS)))
+    band = F.pmod("at", F.lit(BANDS)).cast("int").alias("band")
+    key = F.xxhash64(band, *[F.coalesce(f"m{r}", F.lit(r).cast("long")) for r in range(ROWS)])
+    keys = bands.select("h", F.expr(f"at div {BANDS}").alias("who"), band, filled.alias("filled"), key.alias("key"))
+    each = keys.groupBy("h", "who").agg(F.sum("filled").alias("filled"), *[F.max(F.when(F.col("band") == b, F.col("key"))).alias(f"k{b}") for b in range(BANDS)])
+    return each.select(
+        "h", F.shiftright("who", 1).alias("copies"), (F.pmod("who", F.lit(2)) == 1).alias("many"), "filled",
+        F.array_compact(F.array(*[f"k{b}" for b in range(BANDS)])).alias("keys"),
+    )
 
 
 def signatures(lines: DataFrame) -> tuple[Stored, Stored]:
@@ -92,25 +109,38 @@ def signatures(lines: DataFrame) -> tuple[Stored, Stored]:
     its runs where it has one among them. Lines that leave any bin empty so are left to the second pass,
     over all their runs; both give the keys that a full reading gives.
     """
-    whole = F.col("filled") >= BINS
+    weak = F.col("many") & (F.col("filled") < BINS)
     seen = Stored(_bands(lines, False))
-    first = Stored(seen.df.where(whole | (F.col("n") <= 2 * PER_BIN * BINS)).select("h", "copies", "keys"))
-    weak = Stored(seen.df.where(~whole & (F.col("n") > 2 * PER_BIN * BINS)).select("h"))
+    first = Stored(seen.df.where(~weak).select("h", "copies", "keys"))
+    weak = Stored(seen.df.where(weak).select("h"))
     seen.drop()
-    second = Stored(_bands(lines.join(weak.df, "h", "left_semi"), True).select("h", "copies", "keys"))
+    # a line has no more runs than bytes
+    long = lines.where(F.octet_length("line") > FEW)
+    second = Stored(_bands(long.join(weak.df, "h", "left_semi"), True).select("h", "copies", "keys"))
     weak.drop()
     return first, second
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """node, n, bits of each text (h, line): see pairs.py. Texts are dealt by h first, to small parts; the rest stays in its task."""
+    """node, n, least, bits of each text (h, line): see pairs.py. Texts are dealt by h first, to small parts; the rest stays in its task.
+
+    The runs fall on the cells of 64 * CELLS bits first, where a bit tells whether any does, so
+    repeated runs do no harm and need not be taken out. Sets of cells differ in no more
+    members than the sets of runs; of them the parity bitmap is made, by folding. n counts all places and
+    least the cells, between which the number of different runs lies.
+    """
     parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    word = F.pmod(F.shiftright("s", 6), F.lit(WORDS)).cast("int").alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
-    words = runs(texts.repartition(parts, "h"), "h").distinct().groupBy("h", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    hashed = _positions(texts.repartition(parts, "h"), "h").select("h", "n", _hash().alias("s"))
+    at = F.col("n").cast("long") * CELLS + F.pmod(F.shiftright("s", 6), F.lit(CELLS))
+    cells = hashed.groupBy("h", at.alias("at")).agg(F.bit_or(bit).alias("bits"))
+    fold = (F.expr(f"at div {CELLS}") * WORDS + F.pmod("at", F.lit(WORDS))).alias("at")
+    words = cells.groupBy("h", fold).agg(F.sum(F.bit_count("bits")).alias("least"), F.bit_xor("bits").alias("bits")).select(
+        "h", F.expr(f"at div {WORDS}").alias("n"), F.pmod("at", F.lit(WORDS)).cast("int").alias("word"), "least", "bits"
+    )
     of = lambda j: F.coalesce(F.max(F.when(F.col("word") == j, F.col("bits"))), F.lit(0).cast("long"))
-    flat = words.groupBy("h").agg(F.sum("n").alias("n"), *[of(j).alias(f"w{j}") for j in range(WORDS)])
-    return flat.select(F.col("h").alias("node"), "n", F.array(*[f"w{j}" for j in range(WORDS)]).alias("bits"))
+    flat = words.groupBy("h", "n").agg(F.sum("least").alias("least"), *[of(j).alias(f"w{j}") for j in range(WORDS)])
+    return flat.select(F.col("h").alias("node"), "n", "least", F.array(*[f"w{j}" for j in range(WORDS)]).alias("bits"))
 
 
 def similar(met: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -127,12 +157,14 @@ def fuzzy_components(lines: DataFrame) -> DataFrame:
     """node, root over the hashes of lines that are similar to others."""
     signed = signatures(lines)
     keys = signed[0].df.unionByName(signed[1].df).select(F.explode("keys").alias("key"), F.col("h").alias("node"), "copies")
-    lists = pairs.shared(keys)
+    # by halves of the keys, so that only half of them lies in shuffle files at once
+    halves = [pairs.shared(keys.where(F.pmod("key", F.lit(HALVES)) == i)) for i in range(HALVES)]
+    lists = reduce(DataFrame.unionByName, (x.df for x in halves))
     for x in signed:
         x.drop()
-    ends = pairs.ends(lists.df)
-    met = pairs.members(lists.df, ends.df)
-    for x in (lists, ends):
+    ends = pairs.ends(lists)
+    met = pairs.members(lists, ends.df)
+    for x in (*halves, ends):
         x.drop()
     needed = Stored(met.df.select(F.col("node").alias("h")).distinct())
     texts = Stored(lines.select("h", "line").join(needed.df, "h", "left_semi").dropDuplicates(["h"]))

@@ -4,7 +4,8 @@ A list is a key and its nodes; a node is a set with its size and a parity bitmap
 tells whether an odd number of the set's members fall on k. The bits in which two bitmaps
 differ are at most the members in which the sets differ, so a pair that differs in more
 bits than its Jaccard allows is ruled out for certain, as is one whose sizes are too far
-apart. What passes goes on to a check of the sets themselves.
+apart. A size may be given by what it is at most (n) and at least (least). What passes goes on
+to a check of the sets themselves.
 
 A list is not turned into its pairs. First each node is held against the most copied node
 of each of its lists, then, for `TURNS` turns, where a list still has several components,
@@ -32,13 +33,14 @@ TURNS = 2
 def bounds(percent: int, words: int) -> Column:
     """Whether sizes and bitmaps of so many longs allow a Jaccard of percent / 100, over the columns `spread` makes for a and b."""
     apart = reduce(add, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return (100 * F.col("na") >= percent * F.col("lb")) & (100 * F.col("nb") >= percent * F.col("la")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def spread(feats: DataFrame, words: int, c: str, *more: Column) -> DataFrame:
-    """feats (node, n, bits) with columns of their own for side c, as arrays are slow to take apart once a pair."""
+    """feats (node, n, bits and, where n is only what it is at most, least) with columns of their own for side c, as arrays are slow to take apart once a pair."""
+    least = "least" if "least" in feats.columns else "n"
     bits = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0).cast("long")).alias(f"{c}{i}") for i in range(words)]
-    return feats.select(F.col("node").alias(c), F.coalesce("n", F.lit(0).cast("long")).alias("n" + c), *bits, *more)
+    return feats.select(F.col("node").alias(c), *[F.coalesce(x, F.lit(0).cast("long")).alias(y + c) for x, y in (("n", "n"), (least, "l"))], *bits, *more)
 
 
 def shared(lists: DataFrame) -> Stored:
@@ -92,7 +94,7 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
         rooted.drop()
         met = open_.df.select("key", "node", "lo")
         links = checked(open_.df.where("root <> ra").select("a", F.col("node").alias("b")))
-        at = components(_edges(at).unionByName(links))
+        at = carried_on(at, links)
     root = at.select("node", "root")
     home = at.select(F.col("node").alias("lo"), F.col("root").alias("home"))
     known = (
@@ -110,8 +112,16 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
     live.drop()
     late = Stored(verify(rest.df))
     rest.drop()
-    return components(_edges(at).unionByName(late.df))
-
-
-def _edges(at: DataFrame) -> DataFrame:
-    return at.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return carried_on(at, late.df)
+
+
+def carried_on(at: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root as in `at`, with the components joined that new links (a, b) connect; only roots go through the stars again."""
+    if links.isEmpty():
+        return at
+    of = lambda c: at.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    rest = at.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return Stored(rest.unionByName(moved)).df

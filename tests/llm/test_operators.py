@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pitchflow.llm import extraction, graph, licenses, line_dedup, links, mixing, neighbours, ngram_join, packing, quality, queries, toxicity
+from pitchflow.llm import extraction, graph, licenses, line_dedup, links, mixing, neighbours, ngram_join, packing, pairs, quality, queries, toxicity
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -475,6 +475,47 @@ def test_line_dedup_signatures_are_full(spark):
     assert got == keys(line_dedup._bands(d, True)) and len(got) == len(set(lines)) and second.df.count() >= 1
 
 
+def test_line_dedup_reads_few_lines_twice(spark):
+    """Long lines that do not repeat themselves seldom leave a bin empty at the first reading."""
+    r = random.Random(10)
+    lines = ["".join(r.choices("abcdefgh ijkl", k=n)) for n in (250, 400, 900, 3000) for _ in range(30)]
+    first, second = line_dedup.signatures(line_dedup.lines_of(docs(spark, lines)))
+    assert first.df.count() + second.df.count() == 120 and second.df.count() <= 6
+
+
+def test_line_dedup_bounds_hold(spark):
+    """The bitmaps of cells and the sizes given as intervals rule out no pair of lines that is similar, and most that are not."""
+    r = random.Random(11)
+    base = ["".join(r.choices("abcdefgh ijkl", k=n)) for n in (5, 30, 300, 1500, 4000)] + ["ab" * 400, "=" * 900, "na " * 300 + "x"]
+    near = [x[: int(len(x) * cut)] for x in base for cut in (0.97, 0.85, 0.6)]
+    lines = sorted({*base, *near, *["".join(r.choices("mnopqrst", k=300)) for _ in range(5)]})
+    d = line_dedup.lines_of(docs(spark, lines))
+    text = {x.h: x.line for x in d.collect()}
+    feats = line_dedup.features(d.select("h", "line"))
+    for x in feats.collect():
+        assert x.least <= len(line_runs(text[x.node])) <= x.n
+    a, b = pairs.spread(feats, line_dedup.WORDS, "a"), pairs.spread(feats, line_dedup.WORDS, "b")
+    fit = pairs.bounds(line_dedup.PERCENT, line_dedup.WORDS)
+    fits = {(x.a, x.b) for x in a.crossJoin(b).where(fit).select("a", "b").collect()}
+    alike = {(x, y) for x in text for y in text if jaccard(line_runs(text[x]), line_runs(text[y])) >= 0.8}
+    assert alike <= fits
+    plain = {x for x in text if len(set(text[x])) > 3}
+    more = {(x, y) for x, y in fits - alike if x in plain and y in plain}
+    assert len(more) < 0.1 * len(plain) ** 2
+
+
+def test_components_carried_on(spark):
+    """New links joined to known components give what all links together give."""
+    r = random.Random(4)
+    edge = lambda: (r.randint(-200, 200), r.randint(-200, 200))
+    old, new = [edge() for _ in range(150)], [edge() for _ in range(60)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    whole = {tuple(x) for x in graph.components(frame(old + new)).select("node", "root").collect()}
+    known = graph.components(frame(old))
+    assert {tuple(x) for x in pairs.carried_on(known, frame(new)).select("node", "root").collect()} == whole
+    assert pairs.carried_on(known, frame([])) is known
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(-50, 200), r.randint(-50, 200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1040)]

@@ -7,7 +7,7 @@ they fill `GROUP` windows; then the differencing method deals them into as few w
 their total allows, and into one more each time one exceeds the capacity.
 
 Null and empty texts have the closing id alone. Repeated rows are packed each for itself.
-Very long texts are cut like others; memory is that of one text and one group of parts.
+Very long texts are cut like others; memory is that of one group of texts or one long text, and one group of parts.
 Sequence ids are made of the task's number, which is the same when a task runs again.
 Columns other than doc_id and text are not looked at.
 """
@@ -30,7 +30,9 @@ PART = 128
 GROUP = 512
 END_ID = 1
 _PARTS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
+_CONTROLS = re.compile("[\x1c-\x1f]").search
 CACHE = 400_000
+TEXTS = 500_000
 
 
 def differencing(sizes: list[int], k: int) -> np.ndarray:
@@ -77,7 +79,7 @@ class WordIds:
     Both the normaliser and the splitter of this tokenizer work within white space, so
     the ids of a text are those of its words in turn. A word of Latin letters followed by
     marks is split there by the tokenizer too, and its case is dropped; so new words are
-    looked up by their parts, and the letters still unknown are encoded in one call a text:
+    looked up by their parts, and the letters still unknown are encoded in one call for several texts:
     each ends with a token that ends a word.
     """
 
@@ -93,40 +95,59 @@ class WordIds:
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def ask(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words, which are kept if they are short."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of words into the cache."""
+        parts, known = self.parts, self.words
+        split, marks = [], set()
+        for w in words:
+            m = _PARTS(w)
+            if m:
+                x, y = m.groups()
+                split.append((w, x.lower(), y))
+                marks.add(y)
+            else:
+                known[w] = self.ask(w).tobytes()
+        letters = list({x for _, x, _ in split}.difference(parts))
+        if letters:
+            ids = self.ask(" ".join(letters))
+            raw, at = ids.tobytes(), 0
+            for x, end in zip(letters, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                parts[x] = raw[at:end]
+                at = end
+        for y in marks.difference(parts):
+            parts[y] = self.ask(y).tobytes() if y else b""
+        known.update([(w, parts[x] + parts[y]) for w, x, y in split])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE:
             self.words.clear()
         if len(self.parts) > CACHE:
             self.parts.clear()
-        split = [(w, _PARTS(w)) for w in words]
-        letters = sorted({x for _, m in split if m and (x := m[1].lower()) not in self.parts})
-        if letters:
-            ids = self.ask(" ".join(letters))
-            for x, run in zip(letters, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1), strict=True):
-                self.parts[x] = run.tobytes()
-        out = {}
-        for w, m in split:
-            if m:
-                if m[2] and m[2] not in self.parts:
-                    self.parts[m[2]] = self.ask(m[2]).tobytes()
-                out[w] = self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
-            else:
-                out[w] = self.ask(w).tobytes()
-        self.words.update((w, i) for w, i in out.items() if len(w) < 64)
+        # white space to Python only: such texts are encoded whole
+        split = [None if _CONTROLS(t) else t.split() for t in texts]
+        new = set().union(*filter(None, split)).difference(self.words)
+        self.learn(new)
+        ids = self.words.__getitem__
+        out = [self.ask(t).tobytes() if s is None else b"".join(map(ids, s)) for t, s in zip(texts, split)]
+        for w in new:
+            if len(w) >= 64:  # not kept
+                del self.words[w]
         return out
 
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
-            return self.ask(text).tobytes()
-        words = text.split()
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            new = self.learn({w for w, i in zip(words, ids) if i is None})
-            ids = [i if i is not None else new[w] for w, i in zip(words, ids)]
-        return b"".join(ids)
+
+def together(rows: Iterator[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
+    """Rows (doc, text) by groups, each closed once it has `TEXTS` characters."""
+    group, held = [], 0
+    for doc, text in rows:
+        group.append((doc, text))
+        held += len(text)
+        if held >= TEXTS:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def cuts(n: int) -> list[tuple[int, int]]:
@@ -181,23 +202,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
             return f
 
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = words.encode(text or "") + end
-                total = len(ids) // 4
-                for start, size in cuts(total):
-                    p = piece(doc, start, ids[4 * start : 4 * (start + size)], total)
-                    if size == CAPACITY:
-                        out.append((*p[:5], base + made, 0, p[5]))
-                        made += 1
-                    else:
-                        loose.append(p)
-                        held += size
-                    if held >= GROUP * CAPACITY:
-                        deal(loose)
-                        loose.clear()
-                        held = 0
-                    if len(out) >= 20_000:
-                        yield frame()
+            for group in together(zip(b["doc_id"], b["text"].fillna(""))):
+                for (doc, _), ids in zip(group, words.encode([t for _, t in group])):
+                    ids += end
+                    total = len(ids) // 4
+                    for start, size in cuts(total):
+                        p = piece(doc, start, ids[4 * start : 4 * (start + size)], total)
+                        if size == CAPACITY:
+                            out.append((*p[:5], base + made, 0, p[5]))
+                            made += 1
+                        else:
+                            loose.append(p)
+                            held += size
+                        if held >= GROUP * CAPACITY:
+                            deal(loose)
+                            loose.clear()
+                            held = 0
+                        if len(out) >= 20_000:
+                            yield frame()
             if out:
                 yield frame()
         if loose:

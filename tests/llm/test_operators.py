@@ -174,6 +174,23 @@ def test_packing(spark):
     assert packing.pack_documents(awkward(spark), public_tokenizers.path("word_bpe_49k.json")).where("doc_id is null").count() == 1
 
 
+def test_packing_learns_words_of_texts_together():
+    """Groups of texts give the tokenizer's own ids, and new letters are encoded once a group; long words are not kept."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["It's DON'T, it's", "don't ALPHA beta. 12", "", "x\x1cy beta", "beta " * 50 + "z" * 90 + " ÀÉ*** <|endoftext|>", "漢字 ΑΣ x̧ alpha,"] * 3
+    asked, ask = [], words.ask
+    words.ask = lambda text: asked.append(text) or ask(text)
+    got = words.encode(texts)
+    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum("alpha" in x for x in asked) == 1 and max(map(len, words.words)) < 64
+    assert words.encode(texts) == got
+    groups = list(packing.together(iter([(1, "a" * packing.TEXTS), (2, ""), (3, "b")])))
+    assert groups == [[(1, "a" * packing.TEXTS)], [(2, ""), (3, "b")]]
+
+
 def test_differencing_is_near_even():
     r = random.Random(2)
     sizes = [r.randint(1, 128) for _ in range(4000)]

@@ -39,6 +39,7 @@ FEW = PER_BIN * BINS
 HALVES = 2
 WORDS = 32
 CELLS = 8 * WORDS
+LONG = 1 << 18
 PERCENT = 80
 _BLANK = " \t\x0b\x0c\r"
 
@@ -143,14 +144,33 @@ def features(texts: DataFrame) -> DataFrame:
     return flat.select(F.col("h").alias("node"), "n", "least", F.array(*[f"w{j}" for j in range(WORDS)]).alias("bits"))
 
 
-def similar(met: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) those whose lines (h, line) have the Jaccard asked for, by all runs of both."""
-    one = lambda c, name: texts.select(F.col("h").alias(c), F.col("line").alias(name))
-    both = met.join(one("a", "la"), "a").join(one("b", "lb"), "b")
-    sides = both.select("a", "b", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("la").alias("line")), F.struct(F.lit(2).alias("side"), F.col("lb").alias("line")))))
+def run_set(u: str, n: str) -> Column:
+    """The different hashes of a line's n runs as an array; the line in UTF-16 goes in as a lambda's variable, as a column would be copied once a run."""
+    at = F.sequence(F.lit(1), F.col(n))
+    hashes = lambda x: F.transform(at, lambda i: F.xxhash64(F.substring(x, 2 * i - 1, F.lit(2 * WIDTH))))
+    return F.array_distinct(F.get(F.transform(F.array(u), hashes), F.lit(0)))
+
+
+def similar(met: DataFrame, texts: DataFrame, percent: int = PERCENT, long: int = LONG) -> DataFrame:
+    """Of pairs (a, b) those whose lines (h, line) have the Jaccard asked for, by all runs of both.
+
+    Both sets are made where the pair lies, so no run is a row; where a line has more than
+    `long` bytes, runs are rows, as such sets may not fit a task.
+    """
+    one = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias("l" + c), (F.octet_length("line") > long).alias("far" + c))
+    both = met.join(one("a"), "a").join(one("b"), "b")
+    far = F.col("fara") | F.col("farb")
+    runs_of = lambda c: F.greatest((F.length("u" + c) / 2).cast("int") - (WIDTH - 1), F.lit(1)).alias("n" + c)
+    short = both.where(~far).select("a", "b", F.encode("la", "UTF-16BE").alias("ua"), F.encode("lb", "UTF-16BE").alias("ub"))
+    short = short.select("a", "b", "ua", "ub", runs_of("a"), runs_of("b"))
+    # a step at a time in lambdas, so that each is done once
+    sets = F.array(F.struct(run_set("ua", "na").alias("x"), run_set("ub", "nb").alias("y")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s.x, s.y)).alias("common"), (F.size(s.x) + F.size(s.y)).alias("sum")))
+    near = short.where(F.exists(sizes, lambda z: 100 * z.common.cast("long") >= percent * (z.sum - z.common).cast("long"))).select("a", "b")
+    sides = both.where(far).select("a", "b", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("la").alias("line")), F.struct(F.lit(2).alias("side"), F.col("lb").alias("line")))))
     of = runs(sides, "a", "b", "side").groupBy("a", "b", "s").agg(F.bit_or("side").alias("in"))
     count = of.groupBy("a", "b").agg(F.count("*").alias("all"), F.count_if(F.col("in") == 3).alias("common"))
-    return count.where(100 * F.col("common") >= percent * F.col("all")).select("a", "b")
+    return near.unionByName(count.where(100 * F.col("common") >= percent * F.col("all")).select("a", "b"))
 
 
 def fuzzy_components(lines: DataFrame) -> DataFrame:
@@ -158,7 +178,7 @@ def fuzzy_components(lines: DataFrame) -> DataFrame:
     signed = signatures(lines)
     keys = signed[0].df.unionByName(signed[1].df).select(F.explode("keys").alias("key"), F.col("h").alias("node"), "copies")
     # by halves of the keys, so that only half of them lies in shuffle files at once
-    halves = [pairs.shared(keys.where(F.pmod("key", F.lit(HALVES)) == i)) for i in range(HALVES)]
+    halves = [pairs.counted(keys.where(F.pmod("key", F.lit(HALVES)) == i)) for i in range(HALVES)]
     lists = reduce(DataFrame.unionByName, (x.df for x in halves))
     for x in signed:
         x.drop()
@@ -178,7 +198,7 @@ def fuzzy_components(lines: DataFrame) -> DataFrame:
 
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, gone: the places (from 0, rising) of the lines that go; documents that lose none are absent."""
-    kept = Stored(lines_of(docs))
+    kept = Stored(lines_of(docs), repeats=False)
     lines = kept.df
     found = fuzzy_components(lines)
     at = found.select(F.col("node").alias("h"), "root").unionByName(found.select(F.col("root").alias("h"), "root").distinct())
@@ -188,8 +208,11 @@ def dropped(docs: DataFrame) -> DataFrame:
     )
     placed = Stored(placed).df
     kept.drop()
-    first = placed.groupBy("k", "g").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = placed.join(first, ["k", "g"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
+    # the least document first, then its least place: a hash table holds numbers, not structs
+    first = placed.groupBy("k", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = Stored(placed.join(first, ["k", "g"])).df
+    stays = several.where("doc_id = first").groupBy("k", "g").agg(F.min("place").alias("stays"))
+    gone = several.join(stays, ["k", "g"]).where("doc_id <> first or place <> stays")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("gone"))
 
 

@@ -8,10 +8,11 @@ apart. A size may be given by what it is at most (n) and at least (least). What
 to a check of the sets themselves.
 
 A list is not turned into its pairs. First each node is held against the most copied node
-of each of its lists, then, for `TURNS` turns, where a list still has several components,
-against one more by chance. Where it has several even then, the nodes outside the first one's
+of one of its lists, then against those of its other lists that are in other components, then,
+for `TURNS` turns, where a list of three or more still has several components, against one more
+by chance. Where it has several even then, the nodes outside the first one's
 component are held against the others in the join itself: only pairs of
-different components that pass the bounds leave it. No list or partner is left out. That join
+different components that pass the bounds leave it; of them a node's nearest one is checked first. No list or partner is left out. That join
 has no partitioning of its own, so that adaptive execution can split a long list.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored
@@ -30,9 +31,14 @@ from .graph import components
 TURNS = 2
 
 
+def differing(words: int) -> Column:
+    """The bits in which the bitmaps of a and b differ."""
+    return reduce(add, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)))
+
+
 def bounds(percent: int, words: int) -> Column:
     """Whether sizes and bitmaps of so many longs allow a Jaccard of percent / 100, over the columns `spread` makes for a and b."""
-    apart = reduce(add, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)))
+    apart = differing(words)
     return (100 * F.col("na") >= percent * F.col("lb")) & (100 * F.col("nb") >= percent * F.col("la")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
@@ -49,6 +55,11 @@ def shared(lists: DataFrame) -> Stored:
     return Stored(lists.join(several, "key", "left_semi").groupBy("key", "node").agg(*[F.max(c).alias(c) for c in lists.columns if c not in ("key", "node")]))
 
 
+def counted(lists: DataFrame) -> Stored:
+    """As `shared`, for lists in which a node has one row a key: one shuffle, and the rows of a key are counted where they lie."""
+    return Stored(lists.withColumn("length", F.count("*").over(Window.partitionBy("key"))).where("length > 1").drop("length"))
+
+
 def ends(lists: DataFrame) -> Stored:
     """key, lo, length of the keys with several nodes; lists: key, node, copies. lo is the node with the most copies.
 
@@ -78,41 +89,67 @@ def linked(met: DataFrame, feats: DataFrame, verify: Callable[[DataFrame], DataF
 
     def checked(found: DataFrame) -> DataFrame:
         near = Stored(found.distinct().join(spread(feats, words, "b"), "b").join(spread(feats, words, "a"), "a").where(fit).select("a", "b"))
-        links = Stored(verify(near.df)).df
+        links = near.df if near.df.isEmpty() else Stored(verify(near.df)).df
+        if links is near.df:
+            return links
         near.drop()
         return links
 
-    links = checked(met.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    def rooted(met: DataFrame, at: DataFrame) -> DataFrame:
+        """met with the components of node and of lo."""
+        home = at.select(F.col("node").alias("lo"), F.col("root").alias("home"))
+        both = met.join(at.select("node", "root"), "node", "left").join(home, "lo", "left")
+        return both.select("key", "node", "lo", F.coalesce("root", "node").alias("root"), F.coalesce("home", "lo").alias("home"))
+
+    # one lo a node, by an order all nodes share; the others' turn comes where these links do not join them
+    best = Stored(met.where("node <> lo").groupBy("node").agg(F.min("lo").alias("best")))
+    links = checked(best.df.select(F.col("best").alias("a"), F.col("node").alias("b")))
     at = components(links if more is None else links.unionByName(more))
+    others = rooted(met, at).where("root <> home").join(best.df, "node").where("lo <> best")
+    at = carried_on(at, checked(others.select(F.col("lo").alias("a"), F.col("node").alias("b"))))
+    best.drop()
     for turn in range(TURNS):
         # another node of each list that is still apart, by chance, against those of other components;
-        # another one in each list, as lists of a large group are many and have most of their nodes in common
-        rooted = Stored(met.join(at, "node", "left").select("key", "node", "lo", F.coalesce("root", "node").alias("root")))
+        # another one in each list, as lists of a large group are many and have most of their nodes in common;
+        # the one pair of a list of two is checked by now
+        known = Stored(rooted(met, at))
         order = F.xxhash64("node", "key", F.lit(turn))
-        heads = rooted.df.groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("root", order).alias("ra"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        open_ = Stored(rooted.df.join(heads.where("r0 < r1").drop("r0", "r1"), "key"))
-        rooted.drop()
+        heads = known.df.groupBy("key").agg(
+            F.min_by("node", order).alias("a"), F.min_by("root", order).alias("ra"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("length")
+        )
+        open_ = Stored(known.df.join(heads.where("length > 2 and r0 < r1").select("key", "a", "ra"), "key"))
+        known.drop()
         met = open_.df.select("key", "node", "lo")
-        links = checked(open_.df.where("root <> ra").select("a", F.col("node").alias("b")))
-        at = carried_on(at, links)
-    root = at.select("node", "root")
-    home = at.select(F.col("node").alias("lo"), F.col("root").alias("home"))
-    known = (
-        met.join(root, "node", "left").join(home, "lo", "left")
-        .select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("home", "lo").alias("home"))
-    )
+        # what is held against lo is checked by now
+        at = carried_on(at, checked(open_.df.where("root <> ra and node <> lo and a <> lo").select("a", F.col("node").alias("b"))))
+    known = rooted(met, at)
     known = Stored(known)
     apart = known.df.where("root <> home").select("key").distinct()
-    live = Stored(known.df.join(apart, "key", "left_semi").join(feats, "node"))
+    # pairs with lo are checked by now
+    live = Stored(known.df.where("node <> lo").join(apart, "key", "left_semi").join(feats, "node"))
     known.drop()
-    a = spread(live.df.where("root <> home"), words, "a", F.col("key"), F.col("root").alias("ra"))
-    b = spread(live.df, words, "b", F.col("key"), F.col("root").alias("rb"), F.col("home"))
+    # a pair leaves the join in the first of the lists in which it meets
+    keys = live.df.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    rows = live.df.join(keys, "node")
+    a = spread(rows.where("root <> home"), words, "a", F.col("key"), F.col("root").alias("ra"), F.col("keys").alias("ka"))
+    b = spread(rows, words, "b", F.col("key"), F.col("root").alias("rb"), F.col("home"), F.col("keys").alias("kb"))
+    once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
     other = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("home")) | (F.col("a") < F.col("b")))
-    rest = Stored(a.join(b.hint("merge"), "key").where(other & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = Stored(a.join(b.hint("merge"), "key").where(other & fit & once).select("a", "b", differing(words).alias("apart")))
     live.drop()
-    late = Stored(verify(rest.df))
-    rest.drop()
-    return carried_on(at, late.df)
+    for _ in range(TURNS):
+        # the nearest by bitmap first; what its link joins needs no further check
+        if rest.df.isEmpty():
+            break
+        nearest = Stored(rest.df.groupBy("a").agg(F.min_by("b", "apart").alias("b")))
+        at = carried_on(at, Stored(verify(nearest.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())).df)
+        of = lambda c: at.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+        apart = rest.df.join(nearest.df.hint("merge"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        last, rest = rest, Stored(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "apart"))
+        last.drop()
+        nearest.drop()
+    late = rest.df if rest.df.isEmpty() else Stored(verify(rest.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())).df
+    return carried_on(at, late)
 
 
 def carried_on(at: DataFrame, links: DataFrame) -> DataFrame:

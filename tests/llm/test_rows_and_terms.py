@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pitchflow.llm import exact_dedup, ngram_join, pairs, queries, ranked_search, spelling
+from pitchflow.llm import exact_dedup, line_dedup, ngram_join, pairs, queries, ranked_search, spelling
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -287,3 +287,40 @@ def test_lists_with_most_nodes_in_common_take_other_heads(spark):
     got = {r.node: r.root for r in pairs.linked(met, feats, verify, 85, 1).collect()}
     assert got == {i: i % 3 for i in [*range(60), *range(100, 130)] if i > 2}
     assert len(heads[1]) > 5
+
+
+def test_pairs_with_the_most_copied_are_checked_once(spark):
+    """Lists of two whose one pair does not link, and a large list: what was held against its most copied node is not checked again."""
+    met = spark.createDataFrame([(k, 10 * k + i, 10 * k) for k in range(5) for i in (0, 1)] + [(9, i, 100) for i in range(100, 112)], "key long, node long, lo long")
+    feats = met.select("node").distinct().selectExpr("node", "10L n", "array(0L) bits")
+    seen = []
+
+    def verify(found):
+        rows = [tuple(sorted(x)) for x in found.collect()]
+        seen.extend(rows)
+        return spark.createDataFrame([x for x in rows if x[0] >= 100 and x[0] % 4 == x[1] % 4], "a long, b long")
+
+    got = {r.node: r.root for r in pairs.linked(met, feats, verify, 80, 1).collect()}
+    assert got == {i: 100 + i % 4 for i in range(104, 112)}
+    heads = [x for x in seen if x[0] % 10 == 0 and x[0] <= 100]
+    assert len(heads) == len(set(heads)) == 16 and {(10 * k, 10 * k + 1) for k in range(5)} <= set(seen)
+
+
+def test_similar_lines_without_a_row_a_run(spark):
+    """Sets made where the pair lies and runs as rows give the same pairs, those of brute force."""
+    r = random.Random(3)
+    lines = ["".join(r.choices("abcdef gh", k=n)) for n in (1, 7, 9, 40, 300, 900)] + ["=" * 50, "=" * 90, "na " * 60, "\u00e4\U0001f600" * 20]
+    lines += [x[:-1] for x in lines if len(x) > 20] + [x[: len(x) // 2] for x in lines]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    met = texts.selectExpr("h a").crossJoin(texts.selectExpr("h b")).where("a < b")
+    of = lambda **k: sorted(tuple(x) for x in line_dedup.similar(met, texts, **k).collect())
+    got = of()
+    assert got == of(long=0) == of(long=100) and len(got) > 5
+    want = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if jaccard_of(lines[a], lines[b]) >= 0.8]
+    assert got == want
+
+
+def jaccard_of(x, y):
+    units = lambda t: t.encode("utf-16-be")
+    runs = lambda t: {units(t)[2 * i : 2 * i + 16] for i in range(max(len(units(t)) // 2 - 7, 1))}
+    return len(runs(x) & runs(y)) / len(runs(x) | runs(y))

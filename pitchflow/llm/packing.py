@@ -31,7 +31,7 @@ GROUP = 512
 END_ID = 1
 _PARTS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
 _CONTROLS = re.compile("[\x1c-\x1f]").search
-CACHE = 400_000
+CACHE = 800_000
 TEXTS = 500_000
 
 
@@ -137,6 +137,16 @@ class WordIds:
         return out
 
 
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The one of this Python process, so that a worker's next task finds the words of those before."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
+
+
 def together(rows: Iterator[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
     """Rows (doc, text) by groups, each closed once it has `TEXTS` characters."""
     group, held = [], 0
@@ -174,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
         from pyspark import TaskContext
 
         base, made = TaskContext.get().partitionId() << 40, 0
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         loose: list[tuple] = []
         out: list[tuple] = []

@@ -191,6 +191,20 @@ def test_packing_learns_words_of_texts_together():
     assert groups == [[(1, "a" * packing.TEXTS)], [(2, ""), (3, "b")]]
 
 
+def test_packing_keeps_words_for_the_next_task():
+    """A Python worker's second task asks the tokenizer for no word of the first, and gives the same ids."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.word_ids(path)
+    assert packing.word_ids(path) is words
+    texts = ["Alpha beta, gamma! 12", "delta Beta"]
+    got = words.encode(texts)
+    ask, words.ask = words.ask, None
+    assert packing.word_ids(path).encode(texts) == got == packing.WordIds(path).encode(texts)
+    words.ask = ask
+
+
 def test_differencing_is_near_even():
     r = random.Random(2)
     sizes = [r.randint(1, 128) for _ in range(4000)]
